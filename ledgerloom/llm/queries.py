@@ -5,17 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_join
+from .line_templates import drop_recurring_lines
+from .mixing import mixed_sizes
+from .near_vectors import near_vectors
+from .packing import pack
 from .work import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the places of the lines that went, their number, and the text that is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return drop_recurring_lines(docs).select("doc_id", "dropped_lines", F.size("dropped_lines").alias("n_dropped"), "text")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+    known = (op1_embedding_near_dedup, op3_packing, op7_mixing, op9_line_dedup, op10_ngram_jaccard_join)
+    return {f.__name__: f for f in known}
 
 
 def oracle_sql() -> dict[str, str]:
