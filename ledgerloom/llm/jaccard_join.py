@@ -148,14 +148,17 @@ def _admissible(n1, i, n2, j):
     return (7 * (n1 - i) >= both) & (7 * (n2 - j) >= both) & (7 * (i + j) <= n1 + n2)
 
 
-_MET = "s long, a long, b long, nb int, posb int, big boolean"
+_MET = "s long, a long, b long, nb int, posb int, big boolean, first boolean"
+
+_NAMES = ["s", "a", "b", "nb", "posb", "big", "first"]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows of (s, salt) to candidate pairs (a, b), or members of large regions (big).
 
     A run of one frequent shingle, or of more than SMALL rows, yields its members for the
-    recursion; any other run yields its admissible pairs. At most SMALL rows of a run are
+    recursion; any other run yields its admissible pairs, ``first`` set for those with the
+    run's pivot, the row of least rank. At most SMALL rows of a run are
     held from one batch to the next.
     """
     names = ["s", "id", "n", "pos", "hot"]
@@ -164,7 +167,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def members(rows: list[np.ndarray], at) -> pa.RecordBatch:
         s, d, n, pos = (c[at] for c in rows[:4])
-        return pa.record_batch([pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(d), pa.array(n), pa.array(pos), pa.array(np.ones(len(s), bool))], names=["s", "a", "b", "nb", "posb", "big"])
+        return pa.record_batch([pa.array(s), pa.nulls(len(s), pa.int64()), pa.array(d), pa.array(n), pa.array(pos), pa.array(np.ones(len(s), bool)), pa.nulls(len(s), pa.bool_())], names=_NAMES)
 
     def small(rows: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
         for length in np.unique(lengths):
@@ -175,11 +178,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
             _, d, n, pos = (c.astype(np.int64) for c in rows[:4])
             ok = (d[x] != d[y]) & _admissible(n[x], pos[x], n[y], pos[y])
-            u, v = np.minimum(d[x], d[y])[ok], np.maximum(d[x], d[y])[ok]
-            if len(u):
-                pair = np.unique(np.stack([u, v]), axis=1)
+            u, v, star = np.minimum(d[x], d[y])[ok], np.maximum(d[x], d[y])[ok], np.tile(i == 0, len(at))[ok]
+            for first in (True, False):
+                pair = np.unique(np.stack([u[star == first], v[star == first]]), axis=1)
                 k = pair.shape[1]
-                yield pa.record_batch([pa.nulls(k, pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(np.zeros(k, bool))], names=["s", "a", "b", "nb", "posb", "big"])
+                if k:
+                    yield pa.record_batch([pa.nulls(k, pa.int64()), pa.array(pair[0]), pa.array(pair[1]), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.array(np.zeros(k, bool)), pa.array(np.full(k, first))], names=_NAMES)
 
     for batch in batches:
         rows = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
@@ -345,13 +349,20 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     hot = spark.sparkContext.broadcast(_hot(survey.where("kind = 1")))
     windows = docs.where("doc_id is not null").mapInArrow(_window_rows(hot), "s long, id long, n int, pos int, hot int")
     windows = windows.withColumn("salt", F.when(F.col("hot") >= HOT, F.pmod(F.col("id"), F.lit(SALT))).otherwise(0).cast("int"))
-    met = stored(windows.repartition("s", "salt").sortWithinPartitions("s").mapInArrow(_meet, _MET), "met")
+    met = stored(windows.repartition("s", "salt").sortWithinPartitions("s", "pos", "id").mapInArrow(_meet, _MET), "met")
     regions = stored(met.where("big").select("s", "b", "nb", "posb").distinct(), "members")
     stars = regions.join(_heads(regions), "s").where("b != p").where(
         "7 * (np - posp) >= 3 * (np + nb) and 7 * (nb - posb) >= 3 * (np + nb) and 7 * (posp + posb) <= np + nb")
-    pairs = stored(_ordered(met.where("not big").select("a", "b").union(stars.select(F.col("p").alias("a"), "b"))), "pairs")
+    pairs = stored(_ordered(met.where("first").select("a", "b").union(stars.select(F.col("p").alias("a"), "b"))), "pairs")
     known = _verified(docs, nodes, pairs)
-    discard(met, pairs)
+    # Other pairs of small regions, unless their pivots have joined them already.
+    label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels")
+    other = met.where("not big and not first").select("a", "b").distinct().join(
+        label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(
+        label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left").where("la is null or lb is null or la != lb")
+    more = stored(other.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
+    known = stored(known.union(_verified(docs, nodes, more)), "known")
+    discard(met, pairs, label, more)
     if regions.limit(1).count():
         known = _rounds(docs, nodes, regions, known)
     label = _labels(nodes, known.where("link").select("a", "b"))
