@@ -17,7 +17,9 @@ The distance d = 1 - |x & y| / |x | y| is a metric, and documents link when d <=
   them, go to the next round with new pivots out of the rest, until no region holds a pair
   that is neither joined nor compared.
 
-Every pair compared is compared on the whole sets. The result is the exact transitive
+A pair is dropped if one-bit sketches of the two sets show more than (|x| + |y|) / 7
+shingles that only one of them has, which no linked pair has; every other pair is compared on
+the whole sets. The result is the exact transitive
 closure; copies of one set are one node, so a group of copies never makes pairs.
 
 Which shingles count as frequent only steers the order and never the result. It is taken
@@ -53,23 +55,51 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
     yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    """A bit for each shingle, in the smallest power of two of bits that the set may fill."""
+    m = 1 << max(3, int(len(s) - 1).bit_length()) if len(s) else 8
+    bits = np.zeros(m, np.uint8)
+    bits[(s & np.uint64(m - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """At least how many shingles are in one set only, from their sketches."""
+    a, b = (np.frombuffer(z, np.uint8) for z in sorted((x, y), key=len))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that may link: 7 |x - y| <= |x| + |y| for what the sketches tell of |x - y|."""
+    for batch in batches:
+        a, b = batch.column(0), batch.column(1)
+        n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+        apart = np.fromiter((_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())), np.int64, len(n))
+        ok = pa.array(7 * apart <= n)
+        yield pa.record_batch([a.filter(ok), b.filter(ok)], names=["a", "b"])
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (kind 0: doc_id, size, fingerprint) and (kind 1: -, count, shingle)."""
     held: list[np.ndarray] = []
     seen: set[int] = set()
     size = 0
+    names = ["kind", "doc_id", "n", "fp", "sketch"]
 
     def frequent() -> pa.RecordBatch:
         shingle, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
         keep = count >= OFTEN
         shingle, count = shingle[keep], count[keep]
         n = len(shingle)
-        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64))], names=["kind", "doc_id", "n", "fp"])
+        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64)), pa.nulls(n, pa.binary())], names=names)
 
     for batch in batches:
-        ids, sizes, prints = [], [], []
+        ids, sizes, prints, sketches = [], [], [], []
         for doc, s in _sets(batch):
             fp = fingerprint(s)
+            sketches.append(_sketch(s))
             ids.append(doc)
             sizes.append(len(s))
             prints.append(fp)
@@ -80,7 +110,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= BLOCK:
                     yield frequent()
                     held, seen, size = [], set(), 0
-        yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64())], names=["kind", "doc_id", "n", "fp"])
+        yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=names)
     yield frequent()
 
 
@@ -261,8 +291,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Exact distances of the pairs (a < b, fingerprints): a, b, d, link. Stored."""
+    """Exact distances of the pairs (a < b, fingerprints) that may link: a, b, d, link. Stored."""
     spark = docs.sparkSession
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    pairs = stored(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"), "possible")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = stored(wanted.join(nodes.select("id", "rep"), "id"), "wanted")
     bits = np.zeros(BITS // 8, np.uint8)
@@ -270,12 +303,12 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bits)
     blobs = docs.mapInArrow(_blobs(shared), "rep long, id long, blob binary")
-    # A repeated doc_id may bring other texts; the fingerprint picks the right one.
-    blobs = stored(blobs.join(wanted, ["rep", "id"], "left_semi").dropDuplicates(["id"]).select("id", "blob"), "sets")
+    # The bits pass some documents too many, and a repeated id may bring other texts.
+    blobs = stored(blobs.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "blob"), "sets")
     full = pairs.join(blobs.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a").join(
         blobs.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
     done = stored(full.mapInArrow(_compare, "a long, b long, d double, link boolean"), "distances")
-    discard(wanted, blobs)
+    discard(wanted, blobs, pairs)
     shared.unpersist()
     return done
 
@@ -343,9 +376,9 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long"), "survey")
-    own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"))
-    nodes = stored(own.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep")), "nodes")
+    survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, sketch binary"), "survey")
+    own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"), "sketch")
+    nodes = stored(own.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
     hot = spark.sparkContext.broadcast(_hot(survey.where("kind = 1")))
     windows = docs.where("doc_id is not null").mapInArrow(_window_rows(hot), "s long, id long, n int, pos int, hot int")
     windows = windows.withColumn("salt", F.when(F.col("hot") >= HOT, F.pmod(F.col("id"), F.lit(SALT))).otherwise(0).cast("int"))
