@@ -5,7 +5,7 @@ a digit is a variable field. In a leaf, lines that share at least ``ALIKE`` of t
 place by place, are one template, and the places where they differ become variable.
 
 A template recurs when it stands in documents that have nothing else in common. On either
-side of a line, its neighbour is known by its path in the tree. Over the distinct documents
+side of a line, its neighbour is known by its first tokens. Over the distinct documents
 with the template, if those outside the most common neighbour are at least ``LEAST`` and at
 least ``APART`` of all on one side, its lines are dropped. Copies and near copies of a
 document keep their lines: they have the same neighbours. A document's only line is kept.
@@ -57,6 +57,11 @@ def path_of(tokens: list[str]) -> int:
     return _signed(xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH]])))
 
 
+def opening_of(tokens: list[str]) -> int:
+    """What a line is known by as a neighbour: its first two tokens, whatever its length."""
+    return _signed(xxhash.xxh3_64_intdigest("\x1f".join(tokens[:2])))
+
+
 def line_id(tokens: list[str]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens)))
 
@@ -129,7 +134,7 @@ _SEEN = "path long, line long, body string, doc long, before long, after long"
 
 
 def _occurrences(bits_value):
-    """Distinct (line, document) of busy leaves, with the paths of the neighbours."""
+    """Distinct (line, document) of busy leaves, with the openings of the neighbours."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = _Busy(bits_value.value)
@@ -156,7 +161,7 @@ def _occurrences(bits_value):
                 if line not in bodies:  # the words go along once in a block
                     bodies.add(line)
                     body = " ".join(tokens)
-                held[line, doc] = (path, line, body, doc, kept[i - 1][2] if i else _START, kept[i + 1][2] if i + 1 < len(kept) else _END)
+                held[line, doc] = (path, line, body, doc, opening_of(kept[i - 1][1]) if i else _START, opening_of(kept[i + 1][1]) if i + 1 < len(kept) else _END)
             if len(held) > BLOCK:
                 yield out()
                 held, bodies = {}, set()

@@ -7,26 +7,59 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .html_text import extract
 from .jaccard_join import jaccard_join
+from .language import identify, learn
 from .line_templates import drop_recurring_lines
 from .mixing import mixed_sizes
 from .near_vectors import near_vectors
 from .packing import pack
-from .work import table
+from .quality import classify, fit_evidence
+from .url_filter import judge_urls
+from .vector_graph import nearest
+from .work import crc_of_id, table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose crc32 leaves 0 or 2 modulo 3; predicts all."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id(F.col("doc_id")) % 3 == 1
+    model = learn(docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
+    return identify(docs, model, held_out=held_out)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the posterior that the document is good, and whether it is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    evidence = fit_evidence(docs, table(spark, sf_dir, "labels"))
+    return classify(docs, evidence).select("doc_id", "quality_score", "quality_kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the places of the lines that went, their number, and the text that is left."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,7 +71,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_embedding_near_dedup, op3_packing, op7_mixing, op9_line_dedup, op10_ngram_jaccard_join)
+    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join)
     return {f.__name__: f for f in known}
 
 
