@@ -42,14 +42,12 @@ def count_replacement(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))
 
 
-@F.pandas_udf("string")
 def _nfkc(s: pd.Series) -> pd.Series:
     import unicodedata
 
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("int")
 def _nfkc_changes(s: pd.Series) -> pd.Series:
     import unicodedata
 
@@ -61,7 +59,7 @@ _NOT_ASCII = r"[^\x00-\x7F]"
 
 def normalize_unicode(c: Column) -> Column:
     """NFKC, then plain punctuation. Python runs only on texts beyond ASCII."""
-    c = F.when(c.rlike(_NOT_ASCII), _nfkc(c)).otherwise(c)
+    c = F.when(c.rlike(_NOT_ASCII), F.pandas_udf(_nfkc, "string")(c)).otherwise(c)
     single = {k: v for k, v in PUNCTUATION.items() if len(v) == 1}
     c = F.translate(c, "".join(single), "".join(single.values()))
     for k, v in PUNCTUATION.items():
@@ -72,7 +70,7 @@ def normalize_unicode(c: Column) -> Column:
 
 def encoding_changes(c: Column) -> Column:
     """How many characters NFKC would change."""
-    return F.when(c.rlike(_NOT_ASCII), _nfkc_changes(c)).otherwise(F.lit(0))
+    return F.when(c.rlike(_NOT_ASCII), F.pandas_udf(_nfkc_changes, "int")(c)).otherwise(F.lit(0))
 
 
 def strip_html(c: Column) -> Column:
