@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("evaluation", "corpus")
+MODULES = ("evaluation", "corpus", "finance")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
