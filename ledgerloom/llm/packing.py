@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,19 +32,30 @@ OPEN = 64
 GAP = 8
 FAN = 16
 END_ID = 1
-_CACHE = 400_000
-_SLICE = 1 << 20
+_CACHE = 800_000
+_SLICE = 1 << 22
 # White space to Python's str.split only: the tokenizer sees these as characters.
 _ODD = re.compile("[\x1c-\x1f]")
+# Where lower-casing character by character is str.lower, and no special token can stand.
+_PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
+# A run of letters with symbols after it: two tokens' worth of text that never mix.
+_WORD = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, ids binary"
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The slices of the pool, one after another."""
+    total = int(lengths.sum())
+    return pool[np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(total)]
+
+
 class WordEncoder:
-    """Token ids of whole texts, with the ids of each distinct white-space chunk kept.
+    """Token ids of whole texts, with the ids of each distinct word kept.
 
-    The tokenizer drops white space and never lets a token span it, so a text's ids are its
-    chunks' ids in a row.
+    The tokenizer lower-cases, drops white space and never lets a token span it, so a text's
+    ids are its lower-cased chunks' ids in a row; a chunk of letters and symbols is its
+    letters' ids and its symbols'. Texts beyond the Latin blocks keep their case and chunks.
     """
 
     def __init__(self, path: str):
@@ -53,48 +65,65 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
-        self.flat = np.empty(0, np.uint32)
-        self.starts = np.empty(0, np.int64)
-        self.lengths = np.empty(0, np.int64)
-
-    def _learn(self, chunks: list[str]) -> None:
-        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
+        self.known: dict[str, int] = {"": 0}
+        self.pool = np.empty(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+        self.lengths = np.zeros(1, np.int64)
+
+    def _learn(self, parts: list[str]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, *got])
-        self.starts = np.concatenate([self.starts, starts])
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        base = len(self.known)
-        self.known.update((c, base + k) for k, c in enumerate(chunks))
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
+
+    def _parts(self, chunks: list[str]) -> np.ndarray:
+        """The codes of each chunk's letters and symbols, or of the chunk and of nothing."""
+        found = list(map(_WORD.fullmatch, chunks))
+        heads = [m[1] if m else c for m, c in zip(found, chunks)]
+        tails = [m[2] if m else "" for m in found]
+        if len(self.known) > _CACHE:
+            self._reset()
+        new = list({c for c in chain(heads, tails) if c not in self.known})
+        if new:
+            self._learn(new)
+        code = self.known.__getitem__
+        return np.stack([np.fromiter(map(code, heads), np.int64, len(heads)), np.fromiter(map(code, tails), np.int64, len(tails))], axis=1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [[] if _ODD.search(t) else t.split() for t in texts]
+        split = []
+        for t in texts:
+            if _PLAIN.fullmatch(t) and "<|" not in t:
+                split.append(t.lower().split())
+            else:
+                split.append([] if _ODD.search(t) else t.split())
         flat = [c for s in split for c in s]
         held = np.empty(len(flat), dtype=object)
         held[:] = flat
         codes, unique = pd.factorize(held)
-        if len(self.known) > _CACHE:
-            self._reset()
-        new = [c for c in unique if c not in self.known]
-        if new:
-            self._learn(new)
-        at = np.fromiter((self.known[c] for c in unique), np.int64, len(unique))
-        codes = at[codes] if len(codes) else codes.astype(np.int64)
+        parts = self._parts(list(unique))
         out, pos = [], 0
         for text, chunks in zip(texts, split):
-            own = codes[pos : pos + len(chunks)]
+            own = parts[codes[pos : pos + len(chunks)]].ravel()
             pos += len(chunks)
-            if not chunks:
-                ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
+            if chunks:
+                out.append(_gather(self.pool, self.starts[own], self.lengths[own]))
             else:
-                n = self.lengths[own]
-                ids = self.flat[np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            out.append(ids)
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32))
         return out
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for each Python worker and vocabulary, so that tasks share what it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def _slices(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
     at = 0
     while at < len(texts):
@@ -180,7 +209,7 @@ def _pack(path: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = WordEncoder(path or public_tokenizers.path("word_bpe_49k.json"))
+        encoder = encoder_for(path or public_tokenizers.path("word_bpe_49k.json"))
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32)
         for batch in batches:
