@@ -55,13 +55,13 @@ INTENTS = (
     "Tell me about my credit score and the {}.",
 )
 _CHOICE = "CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(INTENTS)) + " END"
-INTENT_COLUMNS = f"p_partkey AS msg_id, p_partkey % 50 AS user_id, replace({_CHOICE}, '{{}}', p_name) AS text"
+INTENT_COLUMNS = f"p_partkey AS msg_id, p_partkey % 37 AS user_id, replace({_CHOICE}, '{{}}', p_name) AS text"
 
 
 def intent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(msg_id, user_id, text): template messages over the parts."""
     return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("msg_id"), (F.col("p_partkey") % 50).alias("user_id"), F.expr(f"replace({_CHOICE}, '{{}}', p_name)").alias("text"))
+        F.col("p_partkey").alias("msg_id"), (F.col("p_partkey") % 37).alias("user_id"), F.expr(f"replace({_CHOICE}, '{{}}', p_name)").alias("text"))
 
 
 INTENTS_SQL = f"intents AS (SELECT {INTENT_COLUMNS} FROM part)"
