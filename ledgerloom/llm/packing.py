@@ -13,7 +13,9 @@ Memory per task: one batch of text, ``OPEN`` windows, and in a merge FAN * OPEN
 
 from __future__ import annotations
 
+import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -25,18 +27,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, stored
+from .work import lean_batches, stored
 
 SIZE = 2048
 OPEN = 64
 GAP = 8
 FAN = 16
 END_ID = 1
-_CACHE = 800_000
+_CACHE = 700_000
 _SLICE = 1 << 22
 # White space to Python's str.split only: the tokenizer sees these as characters.
 _ODD = re.compile("[\x1c-\x1f]")
 # Where lower-casing character by character is str.lower, and no special token can stand.
+_MARK = " \x01 "
 _PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 # A run of letters with symbols after it: two tokens' worth of text that never mix.
 _WORD = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
@@ -92,38 +95,51 @@ class WordEncoder:
         return np.stack([np.fromiter(map(code, heads), np.int64, len(heads)), np.fromiter(map(code, tails), np.int64, len(tails))], axis=1)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = []
-        for t in texts:
-            if _PLAIN.fullmatch(t) and "<|" not in t:
-                split.append(t.lower().split())
-            else:
-                split.append([] if _ODD.search(t) else t.split())
-        flat = [c for s in split for c in s]
+        joined = _MARK.join(["", *texts, ""])
+        if _PLAIN.fullmatch(joined, 1) and "<|" not in joined and joined.count("\x01") == len(texts) + 1:
+            flat = [None if c == "\x01" else c for c in joined.lower().split()]
+        else:
+            flat = [None]
+            for t in texts:
+                whole = _ODD.search(t) or "\x01" in t
+                # What white space does not divide safely is one part.
+                flat += [t] if whole else t.split()
+                flat.append(None)
         held = np.empty(len(flat), dtype=object)
         held[:] = flat
-        codes, unique = pd.factorize(held)
-        parts = self._parts(list(unique))
-        out, pos = [], 0
-        for text, chunks in zip(texts, split):
-            own = parts[codes[pos : pos + len(chunks)]].ravel()
-            pos += len(chunks)
-            if chunks:
-                out.append(_gather(self.pool, self.starts[own], self.lengths[own]))
-            else:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [], np.uint32))
-        return out
+        codes, unique = pd.factorize(held)  # -1 for the marks between texts
+        parts = np.concatenate([self._parts(list(unique)), [[0, 0]]])
+        own = parts[codes].ravel()
+        lengths = self.lengths[own]
+        ids = _gather(self.pool, self.starts[own], lengths)
+        ends = np.cumsum(lengths)[1::2][codes < 0]
+        return [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
+_IDLE_S = 10.0
+_clearing: list[threading.Timer] = []
 
 
 def encoder_for(path: str) -> WordEncoder:
     """One encoder for each Python worker and vocabulary, so that tasks share what it knows."""
+    while _clearing:
+        _clearing.pop().cancel()
     if path not in _ENCODERS:
+        # A task has one core; the library's own threads would only wait for it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _ENCODERS[path] = WordEncoder(path)
     return _ENCODERS[path]
 
 
+def forget_when_idle(path: str) -> None:
+    """Gives the encoder's memory back once the worker has packed nothing for a while."""
+    timer = threading.Timer(_IDLE_S, _ENCODERS.pop, (path, None))
+    timer.daemon = True
+    _clearing.append(timer)
+    timer.start()
+
+
 def _slices(ids: list, texts: list[str | None]) -> Iterator[tuple[list, list[str]]]:
     at = 0
     while at < len(texts):
@@ -209,7 +225,8 @@ def _pack(path: str | None):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        encoder = encoder_for(path or public_tokenizers.path("word_bpe_49k.json"))
+        file = path or public_tokenizers.path("word_bpe_49k.json")
+        encoder = encoder_for(file)
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32)
         for batch in batches:
@@ -218,6 +235,7 @@ def _pack(path: str | None):
                     packer.add(doc, 0, np.append(ids, np.uint32(END_ID)), len(ids) + 1)
                 if len(packer.closed) > 5000:
                     yield packer.batch(part, False)
+        forget_when_idle(file)
         yield packer.batch(part, True)
 
     return rows
@@ -243,6 +261,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, id_col: str =
     A null or empty text is the end id alone. A null id is kept as it is; repeated rows are
     packed as often as they come. An empty table gives no pieces. Other columns are ignored.
     """
+    lean_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = docs.rdd.getNumPartitions()
     now = stored(docs.mapInArrow(_pack(tokenizer_path), PIECES), "pieces")
