@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import fingerprint, shingle_sets
-from .work import discard, mix64, stored
+from .work import discard, lean_batches, mix64, stored
 
 SMALL = 64
 BLOCK = 1 << 22
@@ -89,9 +89,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kind", "doc_id", "n", "fp", "sketch"]
 
     def frequent() -> pa.RecordBatch:
-        shingle, count = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-        keep = count >= OFTEN
-        shingle, count = shingle[keep], count[keep]
+        every = np.concatenate(held) if held else np.empty(0, np.uint64)
+        held.clear()
+        every.sort()
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(every)), bool), every[1:] != every[:-1]]))
+        count = np.diff(starts, append=len(every))
+        shingle, count = every[starts[count >= OFTEN]], count[count >= OFTEN]
         n = len(shingle)
         return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64)), pa.nulls(n, pa.binary())], names=names)
 
@@ -109,7 +112,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(s)
                 if size >= BLOCK:
                     yield frequent()
-                    held, seen, size = [], set(), 0
+                    seen, size = set(), 0
         yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=names)
     yield frequent()
 
@@ -151,7 +154,7 @@ def _window_rows(hot_value):
                 fp = fingerprint(s)
                 if not len(s) or fp in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(fp)
                 n = len(s)
                 c = _classes(s, hot, cls)
@@ -375,6 +378,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     gives an empty result; other columns are not looked at.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, sketch binary"), "survey")
     own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"), "sketch")
