@@ -106,15 +106,31 @@ class LanguageModel:
         self.langs, self.prior = langs, prior
         self.word, self.word_score, self.gram, self.gram_score = word, word_score, gram, gram_score
 
-    def of_word(self, word: str) -> np.ndarray:
-        row = self.word.get(word)
-        if row is not None:
-            return WORD_WEIGHT * self.word_score[row]
-        for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            found = [self.gram[g] for g in grams(word, n) if g in self.gram]
+    def _gram_rows(self, word: str) -> list[int]:
+        """The rows of the longest n-grams of an unknown word that are known."""
+        marked, known = f"<{word}>", self.gram
+        for n in range(min(LONGEST, len(marked)), 0, -1):
+            found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
             if found:
-                return self.gram_score[found].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return found
+        return []
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        rows = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
+        out = np.zeros((len(words), len(self.langs)))
+        out[rows >= 0] = WORD_WEIGHT * self.word_score[rows[rows >= 0]]
+        unknown, flat, counts = [], [], []
+        for k in np.flatnonzero(rows < 0).tolist():
+            found = self._gram_rows(words[k])
+            if found:
+                unknown.append(k)
+                flat += found
+                counts.append(len(found))
+        if unknown:
+            n = np.array(counts)
+            out[unknown] = np.add.reduceat(self.gram_score[flat].astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         split = [words(t) for t in texts]
@@ -124,7 +140,7 @@ class LanguageModel:
         codes, unique = pd.factorize(held)
         langs, out = [], []
         some = len(self.langs) > 0 and len(flat) > 0
-        table = np.stack([self.of_word(w) for w in unique]).astype(np.float64) if some else None
+        table = self.of_words(list(unique)) if some else None
         at = 0
         for s in split:
             own = codes[at : at + len(s)]
@@ -162,8 +178,8 @@ def _predictor(model_value):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_value.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 langs, scores = model.predict(part.column(2).to_pylist())
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -68,17 +68,20 @@ def _running(df: DataFrame, key: list[str], chunk: str, order: list[str], amount
         "before", F.col("chunk_before") + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop("chunk_before")
 
 
-def streams(documents: DataFrame, carry: list[str]) -> tuple[DataFrame, DataFrame, int]:
-    """(rows with their place in their source's stream, sources with targets, block size)."""
-    size = word_count("text")
-    rows = documents.select(
-        "doc_id", *[c for c in carry if c != "doc_id"], size.alias("mix_size"), F.col("source").isNull().alias("no_source"),
-        F.coalesce("source", F.lit("")).alias("mix_source"), F.xxhash64(F.lit(5), "doc_id", "text").alias("mix_hash"))
-    if carry:
-        narrow = documents.select(size.alias("mix_size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("mix_source"))
-    else:
-        rows = narrow = stored(rows, "sizes")
-    totals = narrow.groupBy("no_source", F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
+def row_key(documents: DataFrame) -> Column:
+    """A hash of all columns: rows that share it are the same row."""
+    return F.xxhash64(F.lit(5), *[F.col(f"`{c}`") for c in documents.columns])
+
+
+def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their place in their source's stream, sources with targets, block size).
+
+    Rows are doc_id, the row's key and the size of its text; no text moves.
+    """
+    rows = stored(documents.select(
+        "doc_id", word_count("text").alias("mix_size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("mix_source"),
+        row_key(documents).alias("mix_hash")), "sizes")
+    totals = rows.groupBy("no_source", F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
     totals = stored(totals, "totals")
     sources = stored(source_targets(totals).join(totals.select("no_source", "source", "n_docs"), ["no_source", "source"]), "sources")
     total = sources.select(F.sum("source_size")).first()[0] or 0
@@ -119,13 +122,13 @@ def pieces(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
         schedule(sources, block), ["sid", "rank"]).drop("rank")
 
 
-def mix(documents: DataFrame, carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows with sid, before, mix_size, source_size, target and ``carry``; their pieces).
+def mix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with sid, before, mix_hash, mix_size, source_size, target; their pieces).
 
     A null text has no tokens, null sources form one source, a null doc_id is an id like any
     other, and repeated rows are rows of their own. An empty table gives no rows.
     """
-    placed, sources, block = streams(documents, carry or [])
+    placed, sources, block = streams(documents)
     placed = stored(placed, "streams")
     return placed, pieces(placed, sources, block)
 
@@ -144,9 +147,12 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents: each row once for every time that it is taken, cut where the
     mix stops within it. Columns as in ``documents``; n_chars, if there, fits the text."""
     columns = documents.columns
-    placed, cut = mix(documents, columns)
+    placed, cut = mix(documents)
     spans = cut.groupBy("sid", "before", "epoch").agg(F.min("start").alias("mix_start"), F.sum("length").alias("mix_length"))
-    rows = placed.where("mix_size > 0").join(spans, ["sid", "before"])
+    # Rows that are the same share a key; any pairing of them by number will do.
+    nth = F.row_number().over(Window.partitionBy("mix_hash").orderBy("mix_hash"))
+    spans = placed.where("mix_size > 0").withColumn("mix_nth", nth).select("sid", "before", "mix_hash", "mix_nth", "mix_size").join(spans, ["sid", "before"]).drop("sid", "before", "epoch")
+    rows = documents.withColumn("mix_hash", row_key(documents)).withColumn("mix_nth", nth).join(spans, ["mix_hash", "mix_nth"])
     words = F.slice(F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != ""), (F.col("mix_start") + 1).cast("int"), F.col("mix_length").cast("int"))
     text = F.when(F.col("mix_length") == F.col("mix_size"), F.col("text")).otherwise(F.array_join(words, " "))
     rows = rows.withColumn("text", text)
