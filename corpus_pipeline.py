@@ -34,9 +34,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id have no group and stay; of rows that repeat an id one stays.
     """
-    keep = jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    some = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return some.select(*docs.columns).union(docs.where("doc_id is null"))
+    keep = stored(jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    if keep.where("n > 1").limit(1).count():
+        once = once.union(again.dropDuplicates(["doc_id"]))
+    return once.union(docs.where("doc_id is null"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
