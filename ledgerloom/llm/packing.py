@@ -43,6 +43,7 @@ _MARK = " \x01 "
 _PLAIN = re.compile("[\x00-\x1b\x20-\u012f\u0131-\u024f]*")
 # A run of letters with symbols after it: two tokens' worth of text that never mix.
 _WORD = re.compile("([a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]+)")
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, ids binary"
 
@@ -62,9 +63,16 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For lower-case letters alone nothing is to be normalised or divided but by spaces.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self) -> None:
@@ -73,12 +81,28 @@ class WordEncoder:
         self.starts = np.zeros(1, np.int64)
         self.lengths = np.zeros(1, np.int64)
 
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of letters one after another, and each word's number of ids."""
+        lines = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)]
+        got = [e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
     def _learn(self, parts: list[str]) -> None:
+        plain = [p for p in parts if _LETTERS.fullmatch(p)]
+        if plain:
+            ids, lengths = self._words(plain)
+            if len(lengths) == len(plain) and lengths.sum() == len(ids):
+                self._add(plain, ids, lengths)
+                parts = [p for p in parts if p not in self.known]
         got = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
+        self._add(parts, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum())), lengths)
+
+    def _add(self, parts: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(lengths.sum()))])
+        self.pool = np.concatenate([self.pool, ids])
         self.known.update(zip(parts, range(len(self.known), len(self.known) + len(parts))))
 
     def _parts(self, chunks: list[str]) -> np.ndarray:
