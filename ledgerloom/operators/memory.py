@@ -114,8 +114,8 @@ def retrieve(queries: DataFrame, memories: DataFrame, k: int = TOP_K, threshold:
 
 def memory_context(found: DataFrame, memories: DataFrame) -> DataFrame:
     """(query_id, context): the retrieved memories as bullet lines in rank order."""
-    rows = found.join(memories.select("memory_id", "content"), "memory_id")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: F.concat(F.lit("- "), x["content"]))
+    rows = found.join(memories.select("memory_id", "category", "content"), "memory_id")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("rank", "category", "content"))), lambda x: F.concat(F.lit("- ["), x["category"], F.lit("] "), x["content"]))
     return rows.groupBy("query_id").agg(F.array_join(lines, "\n").alias("context"))
 
 

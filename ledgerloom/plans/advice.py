@@ -9,8 +9,9 @@ from ..functions.constants import ADVICE_CATEGORIES, DEFINITION, QUESTION_CATEGO
 from ..functions.metrics import category_of
 from ..operators import advice as A
 from ..operators import memory as M
+from ..operators.chat import run_chat
 from ..operators.evaluation import answered_questions
-from .inputs import INTENTS_SQL, PAIRS_SQL, intent_messages, table
+from .inputs import INTENTS_SQL, budget_messages, intent_messages, table
 from .sql_text import WS, argmax, contained, occurrences, quoted
 
 
@@ -67,8 +68,16 @@ def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upserted(rows)
 
 
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of chat turns: every user's budget as a first message, answered by the stand-in."""
+    ask = budget_messages(spark, sf_dir).select(F.col("user_id").alias("conv_id"), "user_id", F.col("text").alias("message"))
+    turns = table(spark, sf_dir, "conversations").where("false").select("conv_id", "turn", "role", "text")
+    out = run_chat(ask, turns, _memories(spark, sf_dir))
+    return out.replies.select("conv_id", "attempt", F.length("reply").alias("n_chars"))
+
+
 QUERIES = {f.__name__: f for f in (
-    question_categories, advice_topics, advice_gate, structured_advice, memory_candidates, memory_redaction, token_likeness, memory_topk, memory_contexts, memory_upsert)}
+    question_categories, advice_topics, advice_gate, structured_advice, memory_candidates, memory_redaction, token_likeness, memory_topk, memory_contexts, memory_upsert, chat_turns)}
 
 _Q = [f"s{k}" for k in range(len(QUESTION_CATEGORIES))]
 _T = [f"s{k}" for k in range(len(ADVICE_CATEGORIES))]
