@@ -161,6 +161,9 @@ def _lines(*parts: Column) -> Column:
     return F.array_join(F.array_compact(F.array(*parts)), "\n")
 
 
+# The wording of the three texts below, which replies are compared with.
+
+
 def verified_block() -> Column:
     """The figures of a complete budget as text, null without one."""
     debts = F.array_join(F.transform("facts.debts", lambda d: F.concat(

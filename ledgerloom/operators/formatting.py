@@ -28,7 +28,10 @@ def chat_records(records: DataFrame, schema: str = "chat-v1", system_prompt: str
 
 
 def violations(messages: Column) -> Column:
-    """What is wrong with a messages array, in order; empty if nothing."""
+    """What is wrong with a messages array, in order; empty if nothing.
+
+    Fixed values: the wording of the violations.
+    """
     def of(m: Column, k: Column) -> Column:
         where = F.concat(F.lit("messages["), k.cast("string"), F.lit("]"))
         return F.array(
