@@ -39,15 +39,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return again
 
 
-def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows from here on: texts in a batch are held several
-    times over by a Python worker, and 10,000 of them are a lot."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete frames made by :func:`stored` that nothing reads any more."""
     for df in frames:
