@@ -7,9 +7,9 @@ executor costs a re-read and never a recomputation of the whole lineage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,14 +18,17 @@ from pyspark.sql import functions as F
 _FOLDER = "ledgerloom-work"
 
 
+_own: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a local one only where the session names none."""
+    """The shared folder of this session; a local one only where a local session names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="ledgerloom-")
+        _own[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{_FOLDER}"
 
 
@@ -53,10 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, elementwise on uint64."""
     x = x.astype(np.uint64, copy=True)
@@ -71,10 +70,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def crc_of_id(column: Column) -> Column:
     """crc32 of the decimal text of an id, as an unsigned long."""
     return F.crc32(column.cast("string").cast("binary"))
-
-
-def any_of(conditions: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
