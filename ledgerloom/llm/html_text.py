@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .url_filter import url_parts
-from .work import stored
+from .work import lean_batches, stored
 
 LEAST = 5
 SHARE = 0.05
@@ -227,6 +227,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     table gives no rows. Other columns are not looked at.
     """
     spark = pages.sparkSession
+    lean_batches(spark)
     host, _, _ = url_parts(F.col("url"))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).select(
         "page_id", "url", host.alias("host"), "html")

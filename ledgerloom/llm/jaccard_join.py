@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import fingerprint, shingle_sets
-from .work import discard, mix64, stored
+from .work import discard, lean_batches, mix64, stored
 
 SMALL = 64
 BLOCK = 1 << 22
@@ -378,6 +378,7 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     gives an empty result; other columns are not looked at.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, sketch binary"), "survey")
     own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"), "sketch")

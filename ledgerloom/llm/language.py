@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, stored
+from .work import discard, lean_batches, stored
 
 LONGEST = 5
 CELLS = 1 << 20
@@ -194,6 +194,7 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     and source, if there, are not looked at; ids only pass through.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, mix64, stored
+from .work import discard, lean_batches, mix64, stored
 
 DEPTH = 3
 ALIKE = 0.7
@@ -257,6 +257,7 @@ def drop_recurring_lines(documents: DataFrame, text_col: str = "text") -> DataFr
     names, except that an input column ``dropped_lines`` is replaced.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     docs = documents.drop("dropped_lines").withColumn(text_col, F.col(text_col).cast("string"))
     drop, _ = recurring_lines(docs, text_col)
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", dropped_lines array<int>"

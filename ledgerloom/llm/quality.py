@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import stored
+from .work import lean_batches, stored
 
 LABELLED = 40_000
 BINS = 12
@@ -174,6 +174,7 @@ def classify(documents: DataFrame, evidence: Evidence, text_col: str = "text", h
     kept. An empty table gives no rows. Columns of the two result names are replaced.
     """
     spark = documents.sparkSession
+    lean_batches(spark)
     docs = documents.drop("quality_score", "quality_kept")
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
     path = F.coalesce(F.concat(F.lit("="), F.col(path_col).cast("string")), F.lit(""))
