@@ -42,10 +42,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ordered = edges.where("u is not null and v is not null and u != v").select(
         F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")
     ).distinct()
-    now = stored(ordered, "edges")
+    now = stored(ordered, "edges", 16)
     for _ in range(rounds):
         large = _large_star(now).distinct()
-        new = stored(_small_star(large).distinct(), "edges")
+        new = stored(_small_star(large).distinct(), "edges", 16)
         # A fixed point is a star forest: every left end has one edge, and no root is a left end.
         marks = new.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("m"))
         bent = marks.where("n > 1").limit(1).count() or new.join(

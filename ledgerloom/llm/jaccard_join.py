@@ -119,7 +119,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hot(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent shingles and their classes (log2 of the count), at most MOST_HOT."""
-    total = stored(counts.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.floor(F.log2("n")).cast("int").alias("c")), "frequent")
+    total = stored(counts.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.floor(F.log2("n")).cast("int").alias("c")), "frequent", 16)
     by_class = {r["c"]: r["count"] for r in total.groupBy("c").count().collect()}
     room, least = MOST_HOT, None
     for c in sorted(by_class, reverse=True):
@@ -298,19 +298,19 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
-    pairs = stored(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"), "possible")
+    pairs = stored(pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_possible, "a long, b long"), "possible", 16)
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(wanted.join(nodes.select("id", "rep"), "id"), "wanted")
+    wanted = stored(wanted.join(nodes.select("id", "rep"), "id"), "wanted", 16)
     bits = np.zeros(BITS // 8, np.uint8)
     slots = wanted.select("rep").mapInArrow(_slots, "slot int").distinct().toArrow().column("slot").to_numpy()
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     shared = spark.sparkContext.broadcast(bits)
     blobs = docs.mapInArrow(_blobs(shared), "rep long, id long, blob binary")
     # The bits pass some documents too many, and a repeated id may bring other texts.
-    blobs = stored(blobs.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "blob"), "sets")
+    blobs = stored(blobs.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "blob"), "sets", 4)
     full = pairs.join(blobs.select(F.col("id").alias("a"), F.col("blob").alias("x")), "a").join(
         blobs.select(F.col("id").alias("b"), F.col("blob").alias("y")), "b").select("a", "b", "x", "y")
-    done = stored(full.mapInArrow(_compare, "a long, b long, d double, link boolean"), "distances")
+    done = stored(full.mapInArrow(_compare, "a long, b long, d double, link boolean"), "distances", 16)
     discard(wanted, blobs, pairs)
     shared.unpersist()
     return done
@@ -339,7 +339,7 @@ def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFr
     turn = 0
     while True:
         turn += 1
-        label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels")
+        label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels", 16)
         near = known.select("a", "b", "d")
         at = regions.join(label.withColumnRenamed("id", "b").withColumnRenamed("label", "t"), "b", "left").select(
             "s", "b", "nb", "posb", F.struct(F.col("t").isNull().alias("alone"), F.coalesce("t", F.col("b")).alias("t")).alias("t"))
@@ -349,7 +349,7 @@ def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFr
         at = at.withColumn("u", F.least("p", "b")).withColumn("v", F.greatest("p", "b")).join(
             near.withColumnRenamed("a", "u").withColumnRenamed("b", "v"), ["u", "v"], "left").select(
             "s", "b", "nb", "posb", "t", "pt", "size", F.when(F.col("p") == F.col("b"), 0.0).otherwise(F.col("d")).alias("d"))
-        at = stored(at, "regions")
+        at = stored(at, "regions", 16)
         rest = at.where("t != pt")
         many = rest.groupBy("s").agg(F.count("*").alias("left"), F.max("size").alias("size"))
         estimate = many.select(F.sum(F.col("left") * F.col("size"))).first()[0] or 0
@@ -360,11 +360,11 @@ def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFr
         met = x.join(at, "s").where("a != b and ta != t").where(
             "7 * (na - posa) >= 3 * (na + nb) and 7 * (nb - posb) >= 3 * (na + nb) and 7 * (posa + posb) <= na + nb").where(
             "da is null or d is null or abs(da - d) <= 0.2500001")
-        new = stored(_ordered(met).join(near.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        known = stored(known.union(_verified(docs, nodes, new)), "known")
+        new = stored(_ordered(met).join(near.select("a", "b"), ["a", "b"], "left_anti"), "pairs", 16)
+        known = stored(known.union(_verified(docs, nodes, new)), "known", 16)
         last = estimate <= ROUND_PAIRS
         if not last:
-            regions = stored(regions.join(rest.select("s", "b"), ["s", "b"], "left_anti"), "regions")
+            regions = stored(regions.join(rest.select("s", "b"), ["s", "b"], "left_anti"), "regions", 16)
         discard(label, at, new)
         if last:
             return known
@@ -382,23 +382,23 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, sketch binary"), "survey")
     own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"), "sketch")
-    nodes = stored(own.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = stored(own.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", 16)
     hot = spark.sparkContext.broadcast(_hot(survey.where("kind = 1")))
     windows = docs.where("doc_id is not null").mapInArrow(_window_rows(hot), "s long, id long, n int, pos int, hot int")
     windows = windows.withColumn("salt", F.when(F.col("hot") >= HOT, F.pmod(F.col("id"), F.lit(SALT))).otherwise(0).cast("int"))
     met = stored(windows.repartition("s", "salt").sortWithinPartitions("s", "pos", "id").mapInArrow(_meet, _MET), "met")
-    regions = stored(met.where("big").select("s", "b", "nb", "posb").distinct(), "members")
+    regions = stored(met.where("big").select("s", "b", "nb", "posb").distinct(), "members", 16)
     stars = regions.join(_heads(regions), "s").where("b != p").where(
         "7 * (np - posp) >= 3 * (np + nb) and 7 * (nb - posb) >= 3 * (np + nb) and 7 * (posp + posb) <= np + nb")
-    pairs = stored(_ordered(met.where("first").select("a", "b").union(stars.select(F.col("p").alias("a"), "b"))), "pairs")
+    pairs = stored(_ordered(met.where("first").select("a", "b").union(stars.select(F.col("p").alias("a"), "b"))), "pairs", 16)
     known = _verified(docs, nodes, pairs)
     # Other pairs of small regions, unless their pivots have joined them already.
-    label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels")
+    label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels", 16)
     other = met.where("not big and not first").select("a", "b").distinct().join(
         label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(
         label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left").where("la is null or lb is null or la != lb")
-    more = stored(other.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs")
-    known = stored(known.union(_verified(docs, nodes, more)), "known")
+    more = stored(other.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs", 16)
+    known = stored(known.union(_verified(docs, nodes, more)), "known", 16)
     discard(met, pairs, label, more)
     if regions.limit(1).count():
         known = _rounds(docs, nodes, regions, known)

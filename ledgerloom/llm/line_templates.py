@@ -206,16 +206,16 @@ def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     seen = stored(texts.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits)), _SEEN), "lines")
     lines = seen.groupBy("path", "line").agg(F.max("body").alias("body"), F.count("*").alias("n"))
     leaf = lines.groupBy("path").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
-    template = stored(lines.join(leaf, "path").select("path", "line", "body", "n").groupBy("path").applyInArrow(_templates, "line long, template long"), "templates")
+    template = stored(lines.join(leaf, "path").select("path", "line", "body", "n").groupBy("path").applyInArrow(_templates, "line long, template long"), "templates", 16)
     met = stored(seen.select("line", "doc", "before", "after").join(template, "line").groupBy("template", "doc").agg(
-        F.min("before").alias("before"), F.min("after").alias("after")), "met")
+        F.min("before").alias("before"), F.min("after").alias("after")), "met", 16)
     outside = None
     for side in ("before", "after"):
         most = met.groupBy("template", side).agg(F.count("*").alias("n")).groupBy("template").agg(F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside"))
         outside = most if outside is None else outside.union(most)
     counts = outside.groupBy("template").agg(F.max("docs").alias("docs"), F.max("outside").alias("outside"))
-    recur = stored(counts.where((F.col("outside") >= LEAST) & (F.col("outside") >= APART * F.col("docs"))), "recurring")
-    drop = stored(template.join(recur.select("template"), "template").select("line", "template"), "dropped")
+    recur = stored(counts.where((F.col("outside") >= LEAST) & (F.col("outside") >= APART * F.col("docs"))), "recurring", 16)
+    drop = stored(template.join(recur.select("template"), "template").select("line", "template"), "dropped", 16)
     discard(seen, met, template)
     return drop, recur
 

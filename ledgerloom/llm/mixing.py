@@ -82,8 +82,8 @@ def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
         "doc_id", word_count("text").alias("mix_size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("mix_source"),
         row_key(documents).alias("mix_hash")), "sizes")
     totals = rows.groupBy("no_source", F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
-    totals = stored(totals, "totals")
-    sources = stored(source_targets(totals).join(totals.select("no_source", "source", "n_docs"), ["no_source", "source"]), "sources")
+    totals = stored(totals, "totals", 16)
+    sources = stored(source_targets(totals).join(totals.select("no_source", "source", "n_docs"), ["no_source", "source"]), "sources", 16)
     total = sources.select(F.sum("source_size")).first()[0] or 0
     block = min(LARGEST_BLOCK, max(1, -(-total // SLOTS)))
     keyed = rows.join(sources.select("no_source", F.col("source").alias("mix_source"), "sid", "source_size", "target", "n_docs"), ["no_source", "mix_source"])
@@ -129,7 +129,7 @@ def mix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     other, and repeated rows are rows of their own. An empty table gives no rows.
     """
     placed, sources, block = streams(documents)
-    placed = stored(placed, "streams")
+    placed = stored(placed, "streams", 4)
     return placed, pieces(placed, sources, block)
 
 

@@ -34,7 +34,7 @@ OPEN = 64
 GAP = 8
 FAN = 16
 END_ID = 1
-_CACHE = 700_000
+_CACHE = 500_000
 _SLICE = 1 << 22
 # White space to Python's str.split only: the tokenizer sees these as characters.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -295,7 +295,7 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, id_col: str =
         level += 1
         last = parts <= FAN
         merged = now.where("part is not null").withColumn("to", F.floor(F.col("part") / FAN).cast("int")).groupBy("to").applyInArrow(_merge(level, last), PIECES)
-        now = stored(merged, "pieces")
+        now = stored(merged, "pieces", 16)
         done = done.union(now.where("part is null"))
         parts = -(-parts // FAN)
         if last:

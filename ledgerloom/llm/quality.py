@@ -150,7 +150,7 @@ def _prior_worth(rates: DataFrame, n: str, p: str, centre) -> float:
 
 def site_rates(scored: DataFrame) -> DataFrame:
     """(host, path, shift): the log-odds of a path's shrunk rate over the global rate."""
-    paths = stored(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("good")), "paths")
+    paths = stored(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("good")), "paths", 16)
     totals = paths.select(F.sum("n"), F.sum("good")).first()
     if not totals[0]:
         return paths.select("__host", "__path", F.lit(0.0).alias("__shift"))
@@ -163,7 +163,7 @@ def site_rates(scored: DataFrame) -> DataFrame:
     rate = (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)
     odds = lambda c: F.log(c / (1 - c))
     safe = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
-    return stored(both.select("__host", "__path", (odds(safe) - odds(centre)).alias("__shift")), "sites")
+    return stored(both.select("__host", "__path", (odds(safe) - odds(centre)).alias("__shift")), "sites", 16)
 
 
 def classify(documents: DataFrame, evidence: Evidence, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:

@@ -32,9 +32,15 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{_FOLDER}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: a cut in the lineage."""
+def stored(df: DataFrame, name: str, share: int = 1) -> DataFrame:
+    """Write a frame to the shared folder and read it back: a cut in the lineage.
+
+    share: the frame is about so many times smaller than what is shuffled elsewhere, and is
+    written in so many times fewer files.
+    """
     spark = df.sparkSession
+    if share > 1:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) // share))
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
