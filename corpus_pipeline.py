@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without an id have no group and stay; of rows that repeat an id one stays.
     """
-    keep = stored(jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    keep = stored(jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept", 16)
     once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
     if keep.where("n > 1").limit(1).count():
