@@ -34,8 +34,8 @@ OPEN = 64
 GAP = 8
 FAN = 16
 END_ID = 1
-_CACHE = 500_000
-_SLICE = 1 << 22
+_CACHE = 150_000
+_SLICE = 1 << 21
 # White space to Python's str.split only: the tokenizer sees these as characters.
 _ODD = re.compile("[\x1c-\x1f]")
 # Where lower-casing character by character is str.lower, and no special token can stand.
@@ -67,9 +67,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # For lower-case letters alone nothing is to be normalised or divided but by spaces.
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.whole = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bare = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -84,7 +83,11 @@ class WordEncoder:
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words of letters one after another, and each word's number of ids."""
         lines = [" ".join(words[k : k + 400]) for k in range(0, len(words), 400)]
-        got = [e.ids for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.bare
+        try:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.whole
         ids = np.fromiter(chain.from_iterable(got), np.uint32, sum(map(len, got)))
         return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
 
