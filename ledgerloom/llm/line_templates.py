@@ -4,15 +4,17 @@ The tree has a fixed depth: token count, then the first ``DEPTH`` tokens, where
 a digit is a variable field. In a leaf, lines that share at least ``ALIKE`` of their tokens,
 place by place, are one template, and the places where they differ become variable.
 
-A template recurs when it stands in documents that have nothing else in common. On either
-side of a line, its neighbour is known by its first tokens. Over the distinct documents
-with the template, if those outside the most common neighbour are at least ``LEAST`` and at
-least ``APART`` of all on one side, its lines are dropped. Copies and near copies of a
-document keep their lines: they have the same neighbours. A document's only line is kept.
+A template recurs when it stands in documents that have nothing else in common. Documents
+are grouped first: those that agree in all ``ROWS`` min-hashes of any of ``BANDS`` bands, over
+all their 3-word shingles (words with a digit are all one word), are near copies, and so is
+whatever such links reach. If at least ``LEAST`` distinct documents with a template are outside its largest
+group, its lines are dropped, in every document. A group counts as one context however large
+it is, and neighbours do not matter, so all lines of a shared passage fare alike. Lines that
+only copies and near copies of a document share are kept. A document's only line is kept.
 
 Three passes over the documents, none of which moves texts between executors: leaves are
-counted; lines of leaves with ``LEAST`` lines are counted with their neighbours, pre-added
-in blocks of ``BLOCK`` lines; lines are dropped.
+counted; lines of leaves with ``LEAST`` lines are listed by document, in blocks of ``BLOCK``
+lines, with the document's bands; lines are dropped.
 """
 
 from __future__ import annotations
@@ -26,17 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
 from .work import discard, lean_batches, mix64, stored
 
 DEPTH = 3
 ALIKE = 0.7
 LEAST = 8
-APART = 0.3
+BANDS = 16
+ROWS = 5
 BLOCK = 200_000
 BITS = 1 << 23
 BROADCAST_LINES = 1 << 21
 _FIELD = "\x00"
-_START, _END = 1, 2
+_PIECE = 1 << 20
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_DIGITS = np.isin(np.arange(256), np.arange(48, 58))
+_BYTES = mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
+_FLIP, _TIMES = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32).reshape(2, -1) | np.uint32(1)
 
 
 def _signed(x: int) -> int:
@@ -57,11 +65,6 @@ def path_of(tokens: list[str]) -> int:
     return _signed(xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH]])))
 
 
-def opening_of(tokens: list[str]) -> int:
-    """What a line is known by as a neighbour: its first two tokens, whatever its length."""
-    return _signed(xxhash.xxh3_64_intdigest("\x1f".join(tokens[:2])))
-
-
 def line_id(tokens: list[str]) -> int:
     return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens)))
 
@@ -97,6 +100,51 @@ def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _minima(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS min-hashes for each of the texts that end at ``ends``."""
+    out = np.zeros((len(ends), BANDS * ROWS), np.uint32)
+    space = _SPACES[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    begins = np.concatenate([[0], ends[:-1]])
+    begins = begins[begins < len(data)]
+    first[begins] = ~space[begins]
+    at = np.flatnonzero(~space)
+    start = np.flatnonzero(first[at])
+    if not len(start):
+        return out
+    place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+    word = np.add.reduceat(_BYTES[np.minimum(place, 63) * 256 + data[at]], start)
+    word[np.logical_or.reduceat(_DIGITS[data[at]], start)] = 0
+    doc = np.searchsorted(ends, at[start], "right")
+    shingle = word * np.uint64(0x9E3779B97F4A7C15)
+    for k, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
+        shingle[-k:] += np.uint64(k)
+        if len(word) > k:
+            shingle[:-k] += np.where(doc[k:] == doc[:-k], word[k:] * np.uint64(factor), np.uint64(k))
+    shingle = mix64(shingle).astype(np.uint32)
+    some, begin = np.unique(doc, return_index=True)
+    for k in range(BANDS * ROWS):
+        out[some, k] = np.minimum.reduceat((shingle ^ _FLIP[k]) * _TIMES[k], begin)
+    return out
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """A row of BANDS keys for each text; near copies share at least one of them."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    parts, at = [], 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
+        parts.append(_minima(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]))
+        at = to
+    low = np.concatenate(parts).astype(np.uint64) if parts else np.empty((0, BANDS * ROWS), np.uint64)
+    keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(low), 1))
+    for k in range(ROWS):
+        keys = mix64(keys ^ (low[:, k::ROWS] << np.uint64(16)))
+    return keys.view(np.int64)
+
+
 def _bit(values: np.ndarray) -> np.ndarray:
     return (mix64(values.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
 
@@ -130,11 +178,11 @@ def generalise(template: list[str], tokens: list[str]) -> list[str] | None:
     return [a if a == b else _FIELD for a, b in zip(template, tokens)]
 
 
-_SEEN = "path long, line long, body string, doc long, before long, after long"
+_SEEN = "path long, line long, body string, doc long, sketch array<long>"
 
 
 def _occurrences(bits_value):
-    """Distinct (line, document) of busy leaves, with the openings of the neighbours."""
+    """Distinct (line, document) of busy leaves; the first of a document has its sketch."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         busy = _Busy(bits_value.value)
@@ -142,29 +190,33 @@ def _occurrences(bits_value):
         bodies: set[int] = set()
 
         def out() -> pa.RecordBatch:
-            columns = list(zip(*held.values())) if held else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "line", "body", "doc", "before", "after"])
+            columns = list(zip(*held.values())) if held else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "line", "body", "doc", "sketch"])
 
-        for text in _texts(batches):
-            kept = _lines(text)[1]
-            if len(kept) < 2 or not any(busy(p) for _, _, p in kept):
-                continue
-            doc = _signed(xxhash.xxh3_64_intdigest(text))
-            for i, (_, tokens, path) in enumerate(kept):
-                if not busy(path):
-                    continue
-                line = line_id(tokens)
-                if (line, doc) in held:
+        for batch in batches:
+            sketches = _sketches(batch.column(0))
+            for n, text in enumerate(batch.column(0)):
+                kept = _lines(text := text.as_py())[1]
+                if len(kept) < 2 or not any(busy(p) for _, _, p in kept):
                     continue
-                body = None
-                if line not in bodies:  # the words go along once in a block
-                    bodies.add(line)
-                    body = " ".join(tokens)
-                held[line, doc] = (path, line, body, doc, opening_of(kept[i - 1][1]) if i else _START, opening_of(kept[i + 1][1]) if i + 1 < len(kept) else _END)
-            if len(held) > BLOCK:
-                yield out()
-                held, bodies = {}, set()
+                doc = _signed(xxhash.xxh3_64_intdigest(text))
+                sketch = sketches[n].tolist()
+                for _, tokens, path in kept:
+                    if not busy(path):
+                        continue
+                    line = line_id(tokens)
+                    if (line, doc) in held:
+                        continue
+                    body = None
+                    if line not in bodies:  # the words go along once in a block
+                        bodies.add(line)
+                        body = " ".join(tokens)
+                    held[line, doc] = (path, line, body, doc, sketch)
+                    sketch = None
+                if len(held) > BLOCK:
+                    yield out()
+                    held, bodies = {}, set()
         yield out()
 
     return rows
@@ -193,6 +245,15 @@ def _templates(key, data):
     return pa.table({"line": pa.array(lines, pa.int64()), "template": pa.array(names, pa.int64())})
 
 
+def _groups(seen: DataFrame) -> DataFrame:
+    """Rows (doc, group) of the documents that are linked to another one."""
+    keys = stored(seen.where("sketch is not null").select("doc", F.explode("sketch").alias("key")), "bands", 4)
+    least = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") != F.col("last"))
+    found = components(keys.join(least.select("key", "first"), "key").where(F.col("doc") != F.col("first")).select(F.col("doc").alias("u"), F.col("first").alias("v")))
+    discard(keys)
+    return found.select(F.col("node").alias("doc"), F.col("component").alias("group"))
+
+
 def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(line ids to drop, counts by template: template, docs, outside)."""
     spark = documents.sparkSession
@@ -207,14 +268,10 @@ def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     lines = seen.groupBy("path", "line").agg(F.max("body").alias("body"), F.count("*").alias("n"))
     leaf = lines.groupBy("path").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
     template = stored(lines.join(leaf, "path").select("path", "line", "body", "n").groupBy("path").applyInArrow(_templates, "line long, template long"), "templates", 16)
-    met = stored(seen.select("line", "doc", "before", "after").join(template, "line").groupBy("template", "doc").agg(
-        F.min("before").alias("before"), F.min("after").alias("after")), "met", 16)
-    outside = None
-    for side in ("before", "after"):
-        most = met.groupBy("template", side).agg(F.count("*").alias("n")).groupBy("template").agg(F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside"))
-        outside = most if outside is None else outside.union(most)
-    counts = outside.groupBy("template").agg(F.max("docs").alias("docs"), F.max("outside").alias("outside"))
-    recur = stored(counts.where((F.col("outside") >= LEAST) & (F.col("outside") >= APART * F.col("docs"))), "recurring", 16)
+    met = stored(seen.select("line", "doc").join(template, "line").select("template", "doc").distinct(), "met", 16)
+    by_group = met.join(_groups(seen), "doc", "left").groupBy("template", F.coalesce("group", "doc").alias("group")).agg(F.count("*").alias("n"))
+    counts = by_group.groupBy("template").agg(F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside"))
+    recur = stored(counts.where(F.col("outside") >= LEAST), "recurring", 16)
     drop = stored(template.join(recur.select("template"), "template").select("line", "template"), "dropped", 16)
     discard(seen, met, template)
     return drop, recur

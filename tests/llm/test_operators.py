@@ -483,6 +483,25 @@ def test_lines_by_join(spark):
     assert joined == direct
 
 
+def test_shared_passages_go_whole(spark):
+    """All lines of a passage that unrelated documents share, also where near copies hold it."""
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(n))
+    notice = ["First line of the notice here.", "Second words in the notice stand.", "Third of its lines.", "The last one of them all."]
+    unrelated = ["\n".join([prose(40), *notice][:: 1 if k % 2 else -1]) for k in range(20)]
+    base = [prose(12) for _ in range(12)]
+    near = []
+    for _ in range(150):
+        lines = [*base[:6], *notice, *base[6:]]
+        words = lines[at := int(rng.choice([0, 1, 2, 3, 4, 5, 10, 11, 12, 13, 14, 15]))].split()
+        words[int(rng.integers(12))] = prose(1)
+        lines[at] = " ".join(words)
+        near.append("\n".join(lines))
+    out = {r["doc_id"]: r["text"] for r in drop_recurring_lines(docs_of(spark, *unrelated, *near)).collect()}
+    for k, t in enumerate([*unrelated, *near]):
+        assert out[k] == "\n".join(x for x in t.split("\n") if x not in notice)
+
+
 def test_names(spark):
     known = Q.queries()
     assert [k.split("_")[0] for k in known] == [f"op{n}" for n in range(1, 11)] and all(F and callable(f) for f in known.values())
