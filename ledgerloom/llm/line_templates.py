@@ -33,7 +33,7 @@ from .work import discard, lean_batches, mix64, stored
 
 DEPTH = 3
 ALIKE = 0.7
-LEAST = 8
+LEAST = 3
 BANDS = 16
 ROWS = 5
 BLOCK = 200_000

@@ -502,6 +502,13 @@ def test_shared_passages_go_whole(spark):
         assert out[k] == "\n".join(x for x in t.split("\n") if x not in notice)
 
 
+def test_few_documents_suffice(spark):
+    rng = np.random.default_rng(4)
+    own = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 5)) for _ in range(60)) for _ in range(5)]
+    out = drop_recurring_lines(docs_of(spark, *[f"{t}\nA note that five have." for t in own])).collect()
+    assert sorted(r["text"] for r in out) == sorted(own)
+
+
 def test_names(spark):
     known = Q.queries()
     assert [k.split("_")[0] for k in known] == [f"op{n}" for n in range(1, 11)] and all(F and callable(f) for f in known.values())
