@@ -2,12 +2,13 @@
 
 The tokens of a source form a stream: its documents in a hashed order, one after another,
 from the start again when used up. Streams are cut into blocks of B tokens. There are about
-total / B slots; slot i has the van der Corput point of i, and the cumulated targets map that
-point to a source. The slots of a source are ranked in slot order, and the slot of rank k
-takes block k of the stream, so sources interleave evenly in any stretch of the schedule.
+total / B slots; slot i has the van der Corput point of i, and the cumulated slots of the
+sources map that point to a source. A source has as many slots as hold its target. They are
+ranked in slot order, and the slot of rank k takes block k of the stream, the last one only
+what is left of the target, so sources interleave evenly in any stretch of the schedule.
 
-B = total / 2^20, at least 1 and at most 4096. A source's tokens differ from its target by
-less than 2 B. Prefix sums and ranks go through chunks of about ``CHUNK`` rows, whose totals
+B = total / 2^20, at least 1 and at most 4096. A source's tokens are its target, rounded.
+Prefix sums and ranks go through chunks of about ``CHUNK`` rows, whose totals
 are summed first: no window spans a source, however large it is.
 """
 
@@ -93,16 +94,20 @@ def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return placed, sources, block
 
 
+def wanted() -> Column:
+    """The whole words that a source gives: its target, rounded."""
+    return F.round("target").cast("long")
+
+
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """Slots (slot, sid, rank) of the van der Corput points, ranked within each source."""
-    to = F.sum("target").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0))
-    ends = sources.withColumn("hi", F.round(to / block).cast("long")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0)))
-    # Whole words only: a slot that would pass the limit of a source is left out.
-    ends = ends.withColumn("hi", F.least("hi", F.col("lo") + F.floor(F.col("source_size") * MOST_EPOCHS / block))).where("hi > lo")
+    need = F.ceil(wanted() / block)
+    ends = sources.withColumn("hi", F.sum(need).over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("lo", F.col("hi") - need).where("hi > lo").select("sid", "lo", "hi")
     parts = ends.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / CHUNK), F.floor((F.col("hi") - 1) / CHUNK))).alias("part"))
     points = parts.repartition("sid", "part").select(
         "sid", F.explode(F.sequence(F.greatest("lo", F.col("part") * CHUNK), F.least("hi", (F.col("part") + 1) * CHUNK) - 1)).alias("point"))
-    last = sources.select(F.round(F.sum("target") / block).cast("long")).first()[0] or 1
+    last = sources.select(F.sum(need)).first()[0] or 1
     bits = max(1, int(last).bit_length())
     # The point of slot i is i with its bits reversed, and the other way round.
     slot = F.conv(F.reverse(F.lpad(F.bin("point"), bits, "0")), 2, 10).cast("long")
@@ -113,8 +118,9 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
 def pieces(placed: DataFrame, sources: DataFrame, block: int) -> DataFrame:
     """The schedule joined to the stream: rows (sid, before, slot, epoch, start, length)."""
     begin, size = F.col("before"), F.col("mix_size")
-    spans = placed.where("mix_size > 0").select("sid", "before", "mix_size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))).alias("epoch"))
-    spans = spans.withColumn("at", F.col("epoch") * F.col("source_size") + begin)
+    spans = placed.where("mix_size > 0").select("sid", "before", "mix_size", "source_size", wanted().alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(MOST_EPOCHS - 1))).alias("epoch"))
+    spans = spans.withColumn("at", F.col("epoch") * F.col("source_size") + begin).where("at < wanted").withColumn(
+        "mix_size", F.least("mix_size", F.col("wanted") - F.col("at")))
     cut = spans.select("sid", "before", "epoch", "at", "mix_size", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + size - 1) / block))).alias("rank"))
     start = F.greatest(F.col("rank") * block, F.col("at"))
     end = F.least((F.col("rank") + 1) * block, F.col("at") + size)

@@ -400,6 +400,21 @@ def test_mixed_documents(spark):
     assert mixed_sizes(docs.where("text is null")).first()["taken"] == 0
 
 
+def test_small_sources_are_mixed(spark, monkeypatch):
+    """Sources below and just above a block meet their targets, too."""
+    import ledgerloom.llm.mixing as X
+
+    monkeypatch.setattr(X, "SLOTS", 16)
+    sizes = {"a": 900, "b": 5, "c": 1, "d": 70, "e": 20, "f": 300}
+    docs = spark.createDataFrame([(k, "w " * n, s) for k, (s, n) in enumerate(sizes.items())], "doc_id long, text string, source string")
+    got, target = {k: r["taken"] for k, r in ((list(sizes)[r["doc_id"]], r) for r in mixed_sizes(docs).collect())}, target_brute(sizes)
+    assert all(abs(got[s] - target[s]) <= 0.5 for s in sizes)
+    parts = Counter()
+    for r in mixed_documents(docs).collect():
+        parts[r["source"]] += len(r["text"].split())
+    assert dict(parts) == got
+
+
 # --- op8
 
 
