@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import lean_batches, stored
+from .work import contained, stored
 
 SIZE = 2048
 OPEN = 64
@@ -282,13 +282,13 @@ def _merge(level: int, last: bool):
     return rows
 
 
+@contained
 def pack(documents: DataFrame, tokenizer_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
     A null or empty text is the end id alone. A null id is kept as it is; repeated rows are
     packed as often as they come. An empty table gives no pieces. Other columns are ignored.
     """
-    lean_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = docs.rdd.getNumPartitions()
     now = stored(docs.mapInArrow(_pack(tokenizer_path), PIECES), "pieces")

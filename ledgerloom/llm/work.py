@@ -10,15 +10,20 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FOLDER = "ledgerloom-work"
-
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH_ROWS = 2000
+HOT_SHARE = 1000
 
 _own: dict[str, str] = {}
+_scopes: list[list[DataFrame]] = []  # what the running operators have stored, the innermost last
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -45,16 +50,38 @@ def stored(df: DataFrame, name: str, share: int = 1) -> DataFrame:
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again.stored_path = path
+    if _scopes:
+        _scopes[-1].append(again)
     return again
 
 
-def lean_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most so many rows from here on: texts in a batch are held several
-    times over by a Python worker, and 10,000 of them are a lot."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+def contained(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator that leaves nothing behind but its result.
+
+    The result is stored, all else that was stored on the way is deleted, and the session's
+    Arrow batch size, small meanwhile, is put back: texts in a batch are held several times
+    over by a Python worker, and 10,000 of them are a lot.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        spark = df.sparkSession
+        before = spark.conf.get(_BATCH, "10000")
+        spark.conf.set(_BATCH, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
+        _scopes.append([])
+        try:
+            held = _scopes[-1]
+            result = operator(df, *args, **kwargs)
+            _scopes.pop()
+            result = stored(result, operator.__name__)
+            discard(*held)
+            return result
+        finally:
+            spark.conf.set(_BATCH, before)
+            while _scopes and _scopes[-1] is held:
+                _scopes.pop()
+
+    return run
 
 
 def discard(*frames: DataFrame) -> None:
@@ -67,6 +94,30 @@ def discard(*frames: DataFrame) -> None:
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where the frame has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+    """An inner join with a frame of one row for each key, whose ``weight`` column counts the key's rows on the left.
+
+    Keys with at least 1 / HOT_SHARE of all rows are HOT_SHARE at most, so they are
+    broadcast; only the others are shuffled.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT_SHARE >= total
+    few, rest = right.where(hot).drop(weight), right.where(~hot).drop(weight)
+    return left.join(F.broadcast(few), on).unionByName(left.join(rest, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
