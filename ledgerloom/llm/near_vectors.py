@@ -1,43 +1,52 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one row kept.
 
-Vectors of one label and length are compared exactly. Spherical k-means (trained on at most
-``SAMPLE`` vectors, ``CENTROID_FLOATS`` numbers in all) gives every vector a home cell. A
-neighbour y of x with cos(x, y) >= c lies at most |x - y| = sqrt(2 - 2c) away, so x can
+Vectors of one label and length are compared exactly. Spherical k-means divides them into
+cells, level by level: a cell of more than ``CELL`` vectors gets up to ``FAN`` centroids,
+trained in a task of its own on at most about ``SAMPLE`` of its vectors, and every vector a home
+among them, until cells are small or do not come apart.
+A neighbour y of x with cos(x, y) >= c lies at most |x - y| = sqrt(2 - 2c) away, so x can
 only have neighbours in the cell of q if it is that close to the bisecting plane of q and its
 own centroid p: x.(p - q) / |p - q| <= sqrt(2 - 2c). x visits exactly those cells as a guest,
-so each vector meets all its neighbours in its own home cell, wherever they live.
+and their cells of the next level likewise, so each vector meets all its neighbours in its
+own home cell, wherever they live.
 
 A cell is compared in blocks: every block of ``BLOCK`` home vectors with every block of
 ``BLOCK`` vectors that live in or visit the cell. A block yields counts and, for each
 vector, one link into its local component, never pairs. Equal vectors are one node with a
-multiplicity, so copies cost nothing.
+multiplicity and a number of its own, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import discard, stored
+from .work import contained, discard, stored
 
-SAMPLE = 20_000
+SAMPLE = 4_096
 CELL = 2_048
+FAN = 64
 BLOCK = 2_048
-CENTROID_FLOATS = 1 << 21
+ROWS = 16_384  # vectors placed by one task at once
+MOST_LEVELS = 12
 
 
-def usable(embedding: str):
+def usable(embedding: str) -> Column:
     """True for vectors that are not null or zero and have only finite components."""
     e = F.col(embedding)
-    big = 3.5e38
     return F.coalesce(
-        F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists(e, lambda x: x != 0), F.lit(False))
+        F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
+
+
+def components_of(df: DataFrame, column: str) -> Column:
+    """The vectors as doubles, or as floats where the input has floats."""
+    kind = df.schema[column].dataType.simpleString()
+    return F.col(column).cast(kind if kind == "array<float>" else "array<double>")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,7 +60,10 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # no square is too large or too small
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def k_means(x: np.ndarray, k: int, turns: int = 8, seed: int = 7) -> np.ndarray:
@@ -68,64 +80,67 @@ def k_means(x: np.ndarray, k: int, turns: int = 8, seed: int = 7) -> np.ndarray:
     return c
 
 
-def _train(nodes: DataFrame) -> dict[tuple[int, int], np.ndarray]:
-    """Centroids of each (label, length) that is larger than a cell."""
-    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > CELL).orderBy(F.desc("n"), "label", "dim").limit(4096).collect()
-    wanted, room = {}, CENTROID_FLOATS
-    for r in sizes:
-        k = min(math.ceil(r["n"] / CELL), max(1, room // r["dim"]))
-        if k > 1:
-            wanted[r["label"], r["dim"]] = (k, r["n"])
-            room -= k * r["dim"]
-    if not wanted:
-        return {}
-    total = sum(k for k, _ in wanted.values())
-    out = {}
-    share = nodes.sparkSession.createDataFrame(
-        [(lab, dim, float(min(1.0, SAMPLE * k / total / n))) for (lab, dim), (k, n) in wanted.items()], "label int, dim int, share double")
-    picked = nodes.join(F.broadcast(share), ["label", "dim"]).where(
-        F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("label", "dim", "v").limit(2 * SAMPLE).toArrow()
-    labels, dims = picked.column("label").to_numpy(), picked.column("dim").to_numpy()
-    for (lab, dim), (k, _) in wanted.items():
-        rows = picked.filter(pa.array((labels == lab) & (dims == dim)))
-        if rows.num_rows:
-            order = rows.column("v").combine_chunks()
-            x = unit(matrix(order))
-            out[lab, dim] = k_means(x[np.lexsort(x.T[::-1])], k)
-    return out
-
-
-def _cells(model_value, reach: float):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_value.value
-        for batch in batches:
-            label, dim = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            row, cell, home = [], [], []
-            for lab, d in set(zip(label.tolist(), dim.tolist())):
-                own = np.flatnonzero((label == lab) & (dim == d))
-                c = model.get((lab, d))
-                if c is None or len(c) < 2:
-                    row.append(own)
-                    cell.append(np.zeros(len(own), np.int32))
-                    home.append(np.ones(len(own), bool))
-                    continue
-                between = np.linalg.norm(c[:, None] - c[None], axis=2)
-                for at in range(0, len(own), 4096):
-                    part = own[at : at + 4096]
-                    sim = unit(matrix(batch.column(4).take(pa.array(part)))) @ c.T
-                    p = np.argmax(sim, axis=1)
-                    lead = sim[np.arange(len(part)), p][:, None] - sim
-                    i, q = np.nonzero(lead <= (reach + 1e-9) * between[p] + 1e-12)
-                    row.append(part[i])
-                    cell.append(q.astype(np.int32))
-                    home.append(q == p[i])
-            row, cell, home = map(np.concatenate, (row, cell, home))
-            got = batch.take(pa.array(row))
-            yield pa.record_batch([*got.columns, pa.array(cell), pa.array(home)], names=[*batch.schema.names, "cell", "home"])
+def _train(key, data):
+    """The centroids of one cell, one after another in one list."""
+    x = unit(matrix(data.column("v")))
+    c = k_means(x[np.lexsort(x.T[::-1])], int(data.column("k")[0].as_py()))
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.int64()), "centroids": pa.array([c.ravel().tolist()], pa.list_(pa.float64()))})
+
+
+def _place(reach: float):
+    """The members of a part of a cell, each in its home and the cells that it visits."""
+
+    def rows(key, members, model):
+        x = unit(matrix(members.column("v")))
+        c = np.array(model.column("centroids")[0].as_py()).reshape(-1, x.shape[1] if len(x) else 1)
+        apart = np.sqrt(np.maximum(2 - 2 * c @ c.T, 0))
+        at, to, home = [], [], []
+        for begin in range(0, len(x), 4096):
+            sim = x[begin : begin + 4096] @ c.T
+            p = np.argmax(sim, axis=1)
+            lead = sim[np.arange(len(sim)), p][:, None] - sim
+            i, q = np.nonzero(lead <= (reach + 1e-9) * apart[p] + 1e-12)
+            at.append(begin + i)
+            to.append(q)
+            home.append(q == p[i])
+        at, to, home = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (at, to, home))
+        got = members.take(pa.array(at, pa.int64()))
+        lives = got.column("home").to_numpy(zero_copy_only=False).astype(bool) & home.astype(bool)
+        return got.select(["id", "dim", "copies", "v", "cell"]).append_column("sub", pa.array(to.astype(np.int32))).append_column("home", pa.array(lives))
 
     return rows
 
 
+def _cells(nodes: DataFrame, reach: float) -> DataFrame:
+    """Rows (id, dim, copies, v, cell, home): every vector in all cells that it lives in or visits."""
+    kinds = dict(nodes.dtypes)
+    now = nodes.select("id", "dim", "copies", "v", F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home"))
+    done, before = None, None
+    for _ in range(MOST_LEVELS):
+        sizes = now.groupBy("cell").agg(F.count_if("home").alias("n"), F.count("*").alias("all"), F.first("parent").alias("parent") if before is not None else F.lit(None).cast("long").alias("parent"))
+        sizes = sizes.where(f"n > {CELL}")
+        if before is not None:  # a cell that keeps nearly all of its parent does not come apart
+            sizes = sizes.join(before, "parent").where("n < 0.9 * parent_n")
+        sizes = stored(sizes.select("cell", "n", "all"), "sizes", 16)
+        if not sizes.limit(1).count():
+            break
+        small = now.join(sizes.select("cell"), "cell", "left_anti").select("id", "dim", "copies", "v", "cell", "home")
+        large = now.join(sizes, "cell").select("id", "dim", "copies", "v", "cell", "home", "n", "all")
+        k = F.least(F.lit(FAN), F.greatest(F.lit(2), F.ceil(F.col("n") / CELL))).cast("int")
+        picked = large.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(SAMPLE)) / F.col("n") * (1 << 30)))
+        model = stored(picked.select("cell", "v", k.alias("k")).groupBy("cell").applyInArrow(_train, "cell long, centroids array<double>"), "centroids", 16)
+        parts = F.ceil(F.col("all") / ROWS).cast("int")
+        dealt = large.withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
+        spread = model.join(sizes, "cell").select("cell", "centroids", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        placed = dealt.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInArrow(
+            _place(reach), f"id long, dim int, copies long, v {kinds['v']}, cell long, sub int, home boolean")
+        done = small if done is None else done.unionByName(small)
+        now = stored(placed.select("id", "dim", "copies", "v", F.xxhash64("cell", "sub").alias("cell"), "home", F.col("cell").alias("parent")), "cells")
+        before = sizes.select(F.col("cell").alias("parent"), F.col("n").alias("parent_n"))
+    rest = now.select("id", "dim", "copies", "v", "cell", "home")
+    return stored(rest if done is None else done.unionByName(rest), "placed")
+
+
 def _products(threshold: float):
     def rows(key, data):
         role = data.column("role").to_numpy()
@@ -162,35 +177,38 @@ def _products(threshold: float):
     return rows
 
 
+@contained
 def near_vectors(embeddings: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each input row.
 
     Null, zero or non-finite vectors, null labels and null ids link with nothing; a null id
     has a null component and is not kept. Rows that repeat an id count as vectors of their
-    own. Vectors of different lengths are never linked. An empty table gives no rows.
+    own. Labels are compared as texts. Vectors of different lengths are never linked. An empty table gives no rows.
     """
-    spark = embeddings.sparkSession
-    raw = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("int").alias("label"), F.col(vector_col).cast("array<float>").alias("v"))
-    good = raw.where(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
-    nodes = stored(
-        good.withColumn("dim", F.size("v")).groupBy("label", "dim", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).select("id", "label", "dim", "copies", "v"), "vectors")
-    model = spark.sparkContext.broadcast(_train(nodes))
-    placed = stored(nodes.mapInArrow(_cells(model, math.sqrt(2 - 2 * threshold)), "id long, label int, dim int, copies long, v array<float>, cell int, home boolean"), "cells")
-    key = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*key).agg(
+    raw = embeddings.select(
+        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), components_of(embeddings, vector_col).alias("v")).withColumn("dim", F.size("v"))
+    takes_part = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    good = raw.where(takes_part)
+    groups = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = stored(groups.select(F.monotonically_increasing_id().alias("id"), "label", "dim", "least", "copies", "v"), "vectors")
+    placed = _cells(nodes, math.sqrt(2 - 2 * threshold))
+    sizes = placed.groupBy("cell", "dim").agg(
         F.ceil(F.count_if("home") / BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).where("nh > 0")
-    at = placed.join(sizes, key)
+    at = placed.join(sizes, ["cell", "dim"])
     h, m = F.pmod(F.xxhash64("id"), F.col("nh")).cast("int"), F.pmod(F.xxhash64("id"), F.col("nm")).cast("int")
-    homes = at.where("home").select(*key, h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "copies", "v")
-    others = at.select(*key, F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), m.alias("m"), F.lit(1).alias("role"), "id", "copies", "v")
-    found = stored(homes.union(others).groupBy(*key, "h", "m").applyInArrow(_products(threshold), "id long, n long, to long"), "links")
+    homes = at.where("home").select("cell", "dim", h.alias("h"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("m"), F.lit(0).alias("role"), "id", "copies", "v")
+    others = at.select("cell", "dim", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("h"), m.alias("m"), F.lit(1).alias("role"), "id", "copies", "v")
+    found = stored(homes.union(others).groupBy("cell", "dim", "h", "m").applyInArrow(_products(threshold), "id long, n long, to long"), "links", 4)
+    discard(placed)
     label = components(found.where("to is not null").select(F.col("id").alias("u"), F.col("to").alias("v")))
     counts = found.groupBy("id").agg(F.sum("n").alias("others"))
-    # ids of copies: each row finds its node by its vector.
+    # A component is named by the smallest id of its rows; each row finds its node by its vector.
     info = nodes.join(counts, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        F.col("id").alias("node"), "label", "copies", "v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", F.col("id")).alias("component"))
-    linked = good.join(info.drop("copies"), ["label", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"), (F.col("vec_id") == F.col("component")).alias("kept"))
-    alone = raw.where(~(usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select(
+        "label", "dim", "v", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    info = stored(info, "info")
+    names = info.groupBy("component").agg(F.min("least").alias("component_id"))
+    info = info.join(names, "component").select("label", "dim", "v", "n_links", "component_id")
+    linked = good.join(info, ["label", "dim", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = raw.where(~takes_part).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    discard(placed)
     return linked.union(alone)
