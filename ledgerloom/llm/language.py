@@ -1,40 +1,51 @@
 """Language identification: word first, then character n-grams of falling length.
 
-Learning counts words by language over all training documents. The model keeps the most
-frequent words and n-grams (``CELLS`` scores at most, at least ``LEAST_KEYS`` keys), so its size
-is bounded; counting is not sampled. A word of a new text that the model knows adds its log
+Learning counts all words by language over all training documents, and their n-grams, in
+tables that grow with the input. A word of a new text that the table knows adds its log
 frequency in each language. Any other word is taken apart: the longest n-grams (from
-``LONGEST`` down to 1, with marks at both ends) that the model knows stand for it, with the
-mean of their log frequencies. The language with the largest sum, prior included, wins.
+``LONGEST`` down to 1, with marks at both ends) that are known stand for it, with the mean of
+their log frequencies. The language with the largest sum, prior included, wins.
 
-Words are runs of letters, lower-cased.
+The most frequent words (``CELLS`` scores at most, at least ``LEAST_KEYS`` words) go to all tasks, which add
+up what they know of a text; its other words are looked up in the tables by joins, each
+distinct word once. Where the line between the two runs does not change a prediction.
+
+Words are runs of letters and the marks that combine with them, lower-cased.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, lean_batches, stored
+from .work import contained, discard, join_hot, stored
 
 LONGEST = 5
 CELLS = 1 << 20
 LEAST_KEYS = 1 << 12
 BLOCK = 400_000
-WORD_WEIGHT = 1.0
-_WORD = re.compile(r"[^\W\d_]+")
+UNSEEN = 0.1  # what a word or n-gram counts in a language that does not have it
 UNKNOWN = "und"
+_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_MARK = re.compile(f"[{_MARKS}]")
+_MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return (_LETTERS if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -44,7 +55,10 @@ def grams(word: str, n: int) -> list[str]:
 
 def _table(counts: Counter) -> pa.RecordBatch:
     langs, keys = zip(*counts) if counts else ((), ())
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "key", "n"])
+    return pa.record_batch([pa.array(langs, pa.int32()), pa.array(keys, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "key", "n"])
+
+
+_COUNTS = "lang int, key string, n long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,90 +86,47 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _table(counts)
 
 
-def _most_frequent(counts: DataFrame, room: int) -> tuple[pd.DataFrame, dict[str, int]]:
-    """The counts of the most frequent keys, at most ``room`` of them, and totals by language."""
+def _most_frequent(counts: DataFrame, room: int) -> pd.DataFrame:
+    """The rows of the most frequent keys, of at most ``room`` keys."""
     total = counts.groupBy("key").agg(F.sum("n").alias("all")).withColumn("c", F.floor(F.log2("all") * 4).cast("int"))
-    by_class = {r["c"]: r["count"] for r in total.groupBy("c").count().collect()}
     least, left = None, room
-    for c in sorted(by_class, reverse=True):
-        if (left := left - by_class[c]) < 0:
+    for r in total.groupBy("c").count().orderBy(F.desc("c")).collect():
+        if (left := left - r["count"]) < 0:
             break
-        least = c
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+        least = r["c"]
     if least is None:
-        return pd.DataFrame({"lang": [], "key": [], "n": []}), sums
-    kept = counts.join(total.where(F.col("c") >= least).select("key"), "key").select("lang", "key", "n")
-    return kept.toArrow().to_pandas(), sums
+        return pd.DataFrame({"lang": [], "key": [], "n": []})
+    return counts.join(total.where(F.col("c") >= least).select("key"), "key").select("lang", "key", "n").toArrow().to_pandas()
 
 
-def _scores(counts: pd.DataFrame, sums: dict[str, int], langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    keys, names = pd.factorize(counts["key"])
-    at = {lang: k for k, lang in enumerate(langs)}
-    table = np.zeros((len(names), len(langs)))
-    if len(keys):
-        np.add.at(table, (keys, counts["lang"].map(at).to_numpy()), counts["n"].to_numpy())
-    total = np.array([sums.get(lang, 0) for lang in langs], float)
-    score = np.log((table + 0.1) / (total + 0.1 * (len(names) + 1)))
-    return {k: i for i, k in enumerate(names)}, score.astype(np.float32)
+def _gain(n):
+    """What n sightings add to the log frequency of an unseen key."""
+    return F.log1p(n / UNSEEN) if isinstance(n, Column) else np.log1p(n / UNSEEN)
 
 
+@dataclass
 class LanguageModel:
-    """The learned scores. ``word`` and ``gram`` map keys to rows of log frequencies."""
-
-    def __init__(self, langs, prior, word, word_score, gram, gram_score):
-        self.langs, self.prior = langs, prior
-        self.word, self.word_score, self.gram, self.gram_score = word, word_score, gram, gram_score
-
-    def _gram_rows(self, word: str) -> list[int]:
-        """The rows of the longest n-grams of an unknown word that are known."""
-        marked, known = f"<{word}>", self.gram
-        for n in range(min(LONGEST, len(marked)), 0, -1):
-            found = [known[g] for k in range(len(marked) - n + 1) if (g := marked[k : k + n]) in known]
-            if found:
-                return found
-        return []
+    """Languages with their log shares of documents; tables (lang, key, n) of words and n-grams;
+    the log frequencies of unseen keys by language; the frequent words and their gains."""
+
+    langs: list[str]
+    prior: np.ndarray
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    no_word: np.ndarray = field(default_factory=lambda: np.empty(0))
+    no_gram: np.ndarray = field(default_factory=lambda: np.empty(0))
+    frequent: dict[str, int] = field(default_factory=dict)
+    gains: np.ndarray = field(default_factory=lambda: np.empty((0, 0)))
+
+    def forget(self) -> None:
+        """Deletes the tables; the model is of no use after that."""
+        discard(*(t for t in (self.words, self.grams) if t is not None))
 
-    def of_words(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word."""
-        rows = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
-        out = np.zeros((len(words), len(self.langs)))
-        out[rows >= 0] = WORD_WEIGHT * self.word_score[rows[rows >= 0]]
-        unknown, flat, counts = [], [], []
-        for k in np.flatnonzero(rows < 0).tolist():
-            found = self._gram_rows(words[k])
-            if found:
-                unknown.append(k)
-                flat += found
-                counts.append(len(found))
-        if unknown:
-            n = np.array(counts)
-            out[unknown] = np.add.reduceat(self.gram_score[flat].astype(np.float64), np.cumsum(n) - n, axis=0) / n[:, None]
-        return out
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [words(t) for t in texts]
-        flat = [w for s in split for w in s]
-        held = np.empty(len(flat), dtype=object)
-        held[:] = flat
-        codes, unique = pd.factorize(held)
-        langs, out = [], []
-        some = len(self.langs) > 0 and len(flat) > 0
-        table = self.of_words(list(unique)) if some else None
-        at = 0
-        for s in split:
-            own = codes[at : at + len(s)]
-            at += len(s)
-            if not some or not any(c.isalpha() for w in s[:50] for c in w) and not any(c.isalpha() for w in s for c in w):
-                langs.append(UNKNOWN)
-                out.append(0.0)
-                continue
-            # Words are not independent: evidence counts as that of sqrt(n) words at most.
-            total = self.prior + table[own].sum(axis=0) / max(1.0, len(own) ** 0.5)
-            best = int(np.argmax(total))
-            p = np.exp(total - total[best])
-            langs.append(self.langs[best])
-            out.append(float(1 / p.sum()))
-        return langs, out
+
+def _unseen(counts: DataFrame, langs: int) -> np.ndarray:
+    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    keys = counts.select("key").distinct().count()
+    return np.log(UNSEEN / (np.array([sums.get(k, 0) for k in range(langs)], float) + UNSEEN * (keys + 1)))
 
 
 def learn(training: DataFrame) -> LanguageModel:
@@ -163,29 +134,90 @@ def learn(training: DataFrame) -> LanguageModel:
     docs = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
     langs = sorted(docs)
     if not langs:
-        return LanguageModel([], np.empty(0), {}, np.empty((0, 0)), {}, np.empty((0, 0)))
-    room = max(LEAST_KEYS, CELLS // len(langs))
-    word_counts = stored(training.select("text", "lang").mapInArrow(_count_words, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "words")
-    word, word_score = _scores(*_most_frequent(word_counts, room), langs)
-    gram_counts = stored(word_counts.mapInArrow(_count_grams, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "grams")
-    gram, gram_score = _scores(*_most_frequent(gram_counts, room), langs)
-    discard(word_counts, gram_counts)
+        return LanguageModel([], np.empty(0))
+    spark = training.sparkSession
+    number = F.broadcast(spark.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, number int"))
+    texts = training.select("text", F.col("lang").cast("string").alias("lang")).join(number, "lang").select("text", "number")
+    counted = lambda df, how: df.mapInArrow(how, _COUNTS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    word_counts = stored(counted(texts, _count_words), "words", 2)
+    # Read back in few splits, so dealt anew: taking words apart is work.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    gram_counts = stored(counted(word_counts.repartition(tasks), _count_grams), "grams", 2)
+    found = _most_frequent(word_counts, max(LEAST_KEYS, CELLS // len(langs)))
+    codes, names = pd.factorize(found["key"])
+    gains = np.zeros((len(names), len(langs)))
+    gains[codes, found["lang"].to_numpy(int)] = _gain(found["n"].to_numpy(float))
     n = np.array([docs[lang] for lang in langs], float)
-    return LanguageModel(langs, np.log((n + 1) / (n + 1).sum()), word, word_score, gram, gram_score)
+    return LanguageModel(
+        langs, np.log((n + 1) / (n + 1).sum()), word_counts, gram_counts, _unseen(word_counts, len(langs)), _unseen(gram_counts, len(langs)), dict(zip(names, range(len(names)))), gains)
+
+
+_PARTIAL = "doc_id long, held_out boolean, n long, letters boolean, known long, gains array<double>, other array<struct<word:string,n:int>>"
+_SLICE = 1000
 
 
-def _predictor(model_value):
+def _partial(value):
+    """For each text what the frequent words give, and the other words."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_value.value
+        frequent, gains = value.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                langs, scores = model.predict(part.column(2).to_pylist())
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for begin in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(begin, _SLICE)
+                split = [words(t) for t in part.column(2).to_pylist()]
+                flat = [w for s in split for w in s]
+                held = np.empty(len(flat), dtype=object)
+                held[:] = flat
+                codes, unique = pd.factorize(held)
+                at = np.fromiter((frequent.get(w, -1) for w in unique), np.int64, len(unique))
+                own = np.concatenate([np.zeros((1, gains.shape[1])), gains])[at + 1]
+                known, sums, other, letters, pos = [], [], [], [], 0
+                for s in split:
+                    mine = codes[pos : pos + len(s)]
+                    pos += len(s)
+                    known.append(int((at[mine] >= 0).sum()))
+                    sums.append(own[mine].sum(axis=0).tolist())
+                    rest, n = np.unique(mine[at[mine] < 0], return_counts=True)
+                    other.append([{"word": unique[k], "n": c} for k, c in zip(rest.tolist(), n.tolist())])
+                    letters.append(any(c.isalpha() for w in s for c in w))
+                yield pa.record_batch([
+                    part.column(0), part.column(1), pa.array(list(map(len, split)), pa.int64()), pa.array(letters, pa.bool_()), pa.array(known, pa.int64()), pa.array(sums, pa.list_(pa.float64())),
+                    pa.array(other, pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())])))], names=["doc_id", "held_out", "n", "letters", "known", "gains", "other"])
 
     return rows
 
 
+def _by_key(counts: DataFrame) -> DataFrame:
+    """(key, gains): one row for each key, with (lang, gain) for the languages that have it."""
+    return counts.groupBy("key").agg(F.collect_list(F.struct("lang", _gain(F.col("n")).alias("gain"))).alias("gains"))
+
+
+def _looked_up(found: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows (word, n, whole, gains) for rows (word, n): gains of the word itself (whole) or the
+    mean of those of its longest known n-grams. Words without any have no row."""
+    marked = stored(found.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "other", 4)
+    known = marked.join(_by_key(model.words).withColumnRenamed("key", "word"), "word").select("id", F.lit(True).alias("whole"), "gains")
+    parts = [stored(known, "known", 4)]
+    rest = stored(marked.join(parts[0].select("id"), "id", "left_anti").select("id", F.concat(F.lit("<"), "word", F.lit(">")).alias("marked")), "rest", 4)
+    lists = stored(_by_key(model.grams), "lists", 4)
+    for n in range(LONGEST, 0, -1):
+        if not rest.limit(1).count():
+            break
+        pieces = F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda k: F.substring("marked", k, F.lit(n)))
+        cut = rest.where(F.length("marked") >= n).select("id", F.explode(pieces).alias("key"))
+        each = cut.join(lists.where(F.length("key") == n), "key").groupBy("id").agg(F.count("*").alias("of"), F.flatten(F.collect_list("gains")).alias("all"))
+        mean = each.select("id", "of", F.explode("all").alias("g")).groupBy("id", "g.lang").agg((F.sum("g.gain") / F.first("of")).alias("gain"))
+        parts.append(stored(mean.groupBy("id").agg(F.collect_list(F.struct("lang", "gain")).alias("gains")).select("id", F.lit(False).alias("whole"), "gains"), "grams", 4))
+        left = stored(rest.join(parts[-1].select("id"), "id", "left_anti"), "rest", 4)
+        discard(rest)
+        rest = left
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    return marked.join(every, "id").select("word", "n", "whole", "gains")
+
+
+@contained
 def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", held_out=None) -> DataFrame:
     """Rows (doc_id, held_out, lang_pred, score), one for each input row.
 
@@ -194,7 +226,29 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
     and source, if there, are not looked at; ids only pass through.
     """
     spark = documents.sparkSession
-    lean_batches(spark)
     flag = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), flag.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    if not model.langs:
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    shared = spark.sparkContext.broadcast((model.frequent, model.gains))
+    partial = stored(rows.mapInArrow(_partial(shared), _PARTIAL).withColumn("row", F.monotonically_increasing_id()), "partial")
+    other = partial.select("row", F.explode("other").alias("o")).select("row", "o.word", F.col("o.n").alias("times"))
+    found = _looked_up(other.groupBy("word").agg(F.count("*").alias("n")), model)
+    met = stored(join_hot(other, stored(found, "found", 4), "word", "n").select("row", "times", "whole", "gains"), "met", 2)
+    counts = met.groupBy("row").agg(F.sum(F.when(F.col("whole"), F.col("times")).otherwise(0)).alias("whole"), F.sum(F.when(F.col("whole"), 0).otherwise(F.col("times"))).alias("taken"))
+    sums = met.select("row", "times", F.explode("gains").alias("g")).groupBy("row", "g.lang").agg(F.sum(F.col("times") * F.col("g.gain")).alias("gain"))
+    sums = sums.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("lang", "gain"))).alias("more"))
+    full = partial.select("row", "doc_id", "held_out", "n", "letters", "known", "gains").join(counts, "row", "left").join(sums, "row", "left")
+    vector = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    terms = F.struct(vector(model.prior).alias("prior"), vector(model.no_word).alias("no_word"), vector(model.no_gram).alias("no_gram"))
+    at = lambda c, k: F.get(c, k)
+    # Words are not independent: evidence counts as that of sqrt(n) words at most.
+    total = F.transform(F.sequence(F.lit(0), F.lit(len(model.langs) - 1)), lambda k: at(F.col("t.prior"), k) + (
+        at(F.col("gains"), k) + F.coalesce(F.try_element_at("more", k), F.lit(0.0)) + (F.col("known") + F.coalesce("whole", F.lit(0))) * at(F.col("t.no_word"), k)
+        + F.coalesce("taken", F.lit(0)) * at(F.col("t.no_gram"), k)) / F.greatest(F.lit(1.0), F.sqrt("n")))
+    judged = full.withColumn("t", terms).withColumn("total", total).withColumn("top", F.array_max("total"))
+    names = F.array(*[F.lit(lang) for lang in model.langs])
+    best = F.get(names, (F.array_position("total", F.col("top")) - 1).cast("int"))
+    score = 1 / F.aggregate("total", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("top")))
+    return judged.select(
+        "doc_id", "held_out", F.when(F.col("letters"), best).otherwise(UNKNOWN).alias("lang_pred"), F.when(F.col("letters"), score).otherwise(0.0).alias("score"))

@@ -29,7 +29,9 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_of_id(F.col("doc_id")) % 3 == 1
     model = learn(docs.where(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"))
-    return identify(docs, model, held_out=held_out)
+    out = identify(docs, model, held_out=held_out)
+    model.forget()
+    return out
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,8 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the posterior that the document is good, and whether it is kept."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    evidence = fit_evidence(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, evidence).select("doc_id", "quality_score", "quality_kept")
+    labels = table(spark, sf_dir, "labels")
+    return classify(docs, fit_evidence(docs, labels), labels, keep_text=False).select("doc_id", "quality_score", "quality_kept")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
