@@ -5,10 +5,12 @@ without its scheme. The probability of a character after its last ``ORDER`` char
 interpolated with that of shorter contexts, down to single characters, each context counting
 as much as it was seen. A url's score is the mean over its characters of the difference of
 the two log-probabilities. The threshold is calibrated on rule-judged urls that training
-left out: it lies as many standard deviations from one class as from the other.
+left out (on all rule-judged urls where those lack a class): it has the least balanced
+error, the mean of the two classes' error rates, and lies in the middle of the scores that do.
 
 DataFrame operations only. Windows of ORDER + 1 characters are counted over all urls with
 partial sums before the shuffle; the models are evaluated once for each distinct window.
+What goes to the driver is a histogram of scores of ``BINS`` bins.
 """
 
 from __future__ import annotations
@@ -16,11 +18,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .work import discard, stored
+from .work import contained, discard, join_hot, stored
 
 ORDER = 4
 WORTH = 2.0  # how many sightings the shorter context counts for
 ALPHABET = 256.0
+FOLDS = 4
+BINS = 4000
+WIDEST = 10.0  # scores beyond count as this
 # (verdict, host, path)
 RULES = (
     ("block", "com", "/en/"),
@@ -85,6 +90,40 @@ def _models(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return out.select("w", (F.log("py") - F.log("pn")).alias("gain"))
 
 
+def least_error(rows: list[tuple[int, int, int]]) -> float | None:
+    """The cut between bins (bin, accepted, rejected) with the least balanced error; None
+    if there is none accepted or none rejected. Ties: the middle of the widest stretch.
+
+    A bin below the cut is rejected. Bins are numbered from 0; the cut is between numbers.
+    """
+    yes, no = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    if not yes or not no:
+        return None
+    rows = sorted(rows)
+    cuts = []  # (error, from, to): all cuts in between part the bins alike
+    lost, gone, before = 0, 0, rows[0][0] - 1
+    for bin_, y, n in [*rows, (rows[-1][0] + 2, 0, 0)]:
+        cuts.append((lost / yes + (no - gone) / no, before + 1, bin_))
+        lost, gone, before = lost + y, gone + n, bin_
+    least = min(c[0] for c in cuts) + 1e-12
+    _, low, high = max((c for c in cuts if c[0] <= least), key=lambda c: (c[2] - c[1], -c[1]))
+    return (low + high) / 2
+
+
+def threshold(scores: DataFrame) -> float:
+    """The calibrated threshold for rows (said, fold, score); -inf where a class has no url."""
+    step = 2 * WIDEST / BINS
+    bins = F.floor((F.least(F.greatest("score", F.lit(-WIDEST)), F.lit(WIDEST)) + WIDEST) / step).cast("int")
+    counted = scores.where("said is not null").groupBy(bins.alias("bin"), (F.col("fold") == 0).alias("out")).agg(
+        F.count_if(F.col("said") == "allow").alias("yes"), F.count_if(F.col("said") == "block").alias("no")).collect()
+    for rows in ([r for r in counted if r["out"]], counted):
+        cut = least_error([(r["bin"], r["yes"], r["no"]) for r in rows])
+        if cut is not None:
+            return cut * step - WIDEST
+    return float("-inf")
+
+
+@contained
 def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Rows (page_id, host, path, rule, verdict, score), one for each input row.
 
@@ -93,29 +132,26 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     compare and what no rule judges is allowed. Repeated rows come back as often as they
     came; an empty table gives no rows; other columns are not looked at.
     """
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     host, path, rest = url_parts(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select(
         "page_id", host.alias("host"), path.alias("path"), rest.alias("rest"))
     rule, said = fitting_rule(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "host", "path", "rest", rule.alias("rule"), said.alias("said"))
-    texts = base.where("rest != ''").groupBy("rest", "said").agg(F.count("*").alias("n")).withColumn("key", F.xxhash64("rest"))
-    texts = texts.withColumn("fold", F.pmod(F.xxhash64("rest", F.lit(1)), F.lit(4)))
-    windows = stored(texts.select("key", "said", "fold", "n", F.explode(_windows(F.col("rest"))).alias("w")), "windows")
+    texts = base.where("rest != ''").groupBy("rest", "said").agg(F.count("*").alias("n"))
+    texts = stored(texts.select(F.monotonically_increasing_id().alias("id"), "rest", "said", "n", F.pmod(F.xxhash64("rest", F.lit(1)), F.lit(FOLDS)).alias("fold")), "urls")
+    # Short rows, but each makes many windows: dealt anew, as they come in few splits.
+    windows = stored(texts.repartition(tasks).select("id", "said", "fold", "n", F.explode(_windows(F.col("rest"))).alias("w")), "windows")
     trained = windows.where("said is not null and fold != 0")
     counts = stored(trained.groupBy("w").agg(
-        F.sum(F.when(F.col("said") == "allow", F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("said") == "block", F.col("n")).otherwise(0)).alias("no")), "counts")
-    gains = stored(_models(counts, windows.select("w").distinct()), "gains")
-    scores = stored(windows.join(gains, "w").groupBy("key").agg(
-        F.avg("gain").alias("score"), F.first("said").alias("said"), F.first("fold").alias("fold"), F.first("n").alias("n")), "scores")
-    spread = {r["said"]: r for r in scores.where("said is not null and fold = 0").groupBy("said").agg(
-        F.avg("score").alias("mean"), F.coalesce(F.stddev_pop("score"), F.lit(0.0)).alias("sd")).collect()}
-    if "allow" in spread and "block" in spread:
-        a, b = spread["allow"], spread["block"]
-        total = a["sd"] + b["sd"]
-        limit = (a["mean"] * b["sd"] + b["mean"] * a["sd"]) / total if total > 0 else (a["mean"] + b["mean"]) / 2
-    else:
-        limit = float("-inf")
-    judged = base.withColumn("key", F.xxhash64("rest")).join(scores.select("key", "score"), "key", "left")
+        F.sum(F.when(F.col("said") == "allow", F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("said") == "block", F.col("n")).otherwise(0)).alias("no")), "counts", 4)
+    seen = windows.groupBy("w").agg(F.count("*").alias("seen"))
+    gains = stored(_models(counts, seen).join(seen, "w"), "gains", 4)
+    means = join_hot(windows.select("id", "w"), gains, "w", "seen").groupBy("id").agg(F.avg("gain").alias("score"))
+    scores = stored(texts.join(means, "id"), "scores", 4)
     discard(windows, counts, gains)
-    method = F.when(F.coalesce("score", F.lit(float("inf"))) >= limit, "allow").otherwise("block")
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
+    method = F.when(F.coalesce("score", F.lit(float("inf"))) >= threshold(scores), "allow").otherwise("block")
+    # A url is in as many rows as it has pages, so the frequent ones are joined apart.
+    some = join_hot(base.where("rest != ''"), scores.select("rest", "n", "score"), "rest", "n").select("page_id", "host", "path", "rule", "said", "score")
+    none = base.where("rest = ''").select("page_id", "host", "path", "rule", "said", F.lit(None).cast("double").alias("score"))
+    return some.union(none).select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
