@@ -3,12 +3,14 @@
 * Evidence. Surface features of the whole text (letter case, symbols, repetition, line and
   word shapes) are cut at quantiles into bins, and a logistic model over the bins, fitted on
   at most ``LABELLED`` labelled rows, gives the log-odds that a document is good.
-* Sites. Expected good documents are summed by host and by path within a host; partial sums
-  go before the shuffle. The spread of the rates between hosts, beyond what chance gives,
-  sets how many documents the prior is worth (method of moments), so a host with few
-  documents stays at the global rate and a path with few at its host's.
+* Sites. Outcomes are summed by host and by path within a host, partial sums before the
+  shuffle: every labelled document as it is labelled, and every document's evidence at
+  ``SOFT`` of that. The spread of the rates between hosts, beyond what chance gives, sets how many
+  documents the prior is worth (method of moments), so a host with few documents stays at the
+  global rate and a path with few at its host's.
 * Posterior. The log-odds of a document move by those of its path's shrunk rate over the
-  global rate. Below ``KEEP`` the document is rejected.
+  global rate, where the document's own evidence is left out of the sums. Below ``KEEP`` the
+  document is rejected.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import lean_batches, stored
+from .work import contained, free_names, join_hot, stored
 
 LABELLED = 40_000
 BINS = 12
 KEEP = 0.5
+SOFT = 0.2
+BROADCAST_SITES = 50_000
 MOST_PRIOR = 1e6
 
 FEATURES = ("log_words", "upper", "symbols", "digits", "spread", "top_word", "echo", "line_repeat", "word_length", "odd_words", "pair_repeat", "long_words")
@@ -126,12 +130,15 @@ def fit_evidence(documents: DataFrame, labels: DataFrame) -> Evidence:
     return Evidence.fit(x[order], (data.column("quality").to_numpy() > 0).astype(float)[order])
 
 
-def _scorer(model_value, at: int):
+def _scorer(model_value, at: int, keep: list[int], name: str):
+    """The kept columns and the evidence for each text, null for null or blank ones."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_value.value
         for batch in batches:
             x = np.array([features(t.as_py()) for t in batch.column(at)]).reshape(-1, len(FEATURES))
-            yield pa.record_batch([*batch.columns, pa.array(model.log_odds(x))], names=[*batch.schema.names, "__evidence"])
+            odds = pa.array(model.log_odds(x), mask=x[:, 0] == 0)
+            yield pa.record_batch([*(batch.column(k) for k in keep), odds], names=[*(batch.schema.names[k] for k in keep), name])
 
     return rows
 
@@ -148,49 +155,58 @@ def _prior_worth(rates: DataFrame, n: str, p: str, centre) -> float:
     return float(min(MOST_PRIOR, max(1.0, noise / between - 1))) if between > 0 else MOST_PRIOR
 
 
-def site_rates(scored: DataFrame) -> DataFrame:
-    """(host, path, shift): the log-odds of a path's shrunk rate over the global rate."""
-    paths = stored(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum("__p").alias("good")), "paths", 16)
-    totals = paths.select(F.sum("n"), F.sum("good")).first()
-    if not totals[0]:
-        return paths.select("__host", "__path", F.lit(0.0).alias("__shift"))
-    centre = F.lit((totals[1] + 1) / (totals[0] + 2))
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
-    k_host = _prior_worth(hosts.withColumn("r", F.col("hgood") / F.col("hn")), "hn", "r", centre)
-    hosts = hosts.withColumn("host_rate", (F.col("hgood") + k_host * centre) / (F.col("hn") + k_host))
-    both = paths.join(hosts, "__host")
-    k_path = _prior_worth(both.withColumn("r", F.col("good") / F.col("n")), "n", "r", F.col("host_rate"))
-    rate = (F.col("good") + k_path * F.col("host_rate")) / (F.col("n") + k_path)
-    odds = lambda c: F.log(c / (1 - c))
-    safe = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
-    return stored(both.select("__host", "__path", (odds(safe) - odds(centre)).alias("__shift")), "sites", 16)
-
+def site_rates(scored: DataFrame, labels: DataFrame | None = None) -> tuple[DataFrame, float, float, float]:
+    """(sites, global rate, worth of the prior by host, by path) from rows (doc_id, host, path, p).
 
-def classify(documents: DataFrame, evidence: Evidence, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """All rows and columns with ``quality_score`` (0 to 1) and ``quality_kept``.
+    sites has one row for each (host, path): rows, its sums n and good, and those of its host, hn and hgood.
+    """
+    soft = scored.groupBy("host", "path").agg(F.count("*").alias("rows"), (SOFT * F.count("p")).alias("n"), (SOFT * F.coalesce(F.sum("p"), F.lit(0.0))).alias("good"))
+    if labels is not None:
+        known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("double")).alias("y"))
+        hard = scored.select("doc_id", "host", "path").join(known, "doc_id").groupBy("host", "path").agg(F.lit(0).cast("long").alias("rows"), F.count("*").cast("double").alias("n"), F.sum("y").alias("good"))
+        soft = soft.unionByName(hard).groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("rows", "n", "good")])
+    paths = stored(soft, "paths", 16)
+    totals = paths.select(F.sum("n"), F.sum("good")).first()
+    centre = ((totals[1] or 0) + 1) / ((totals[0] or 0) + 2)
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("good").alias("hgood"))
+    k_host = _prior_worth(hosts.where("hn > 0").withColumn("r", F.col("hgood") / F.col("hn")), "hn", "r", F.lit(centre))
+    sites = stored(paths.join(hosts, "host"), "sites", 16)
+    host_rate = (F.col("hgood") + k_host * centre) / (F.col("hn") + k_host)
+    k_path = _prior_worth(sites.where("n > 0").withColumn("r", F.col("good") / F.col("n")), "n", "r", host_rate)
+    return sites, centre, k_host, k_path
+
+
+@contained
+def classify(
+    documents: DataFrame, evidence: Evidence, labels: DataFrame | None = None, text_col: str = "text", host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id",
+    keep_text: bool = True,
+) -> DataFrame:
+    """All rows and columns (or all but the text) with ``quality_score`` (0 to 1) and ``quality_kept``.
 
     A null or blank text gets score 0 and is rejected. Null hosts and paths are sites of their
     own. Repeated rows count as often as they come. Without labels all texts score alike and are
-    kept. An empty table gives no rows. Columns of the two result names are replaced.
+    kept. An empty table gives no rows. Columns of the two result names are replaced, others
+    pass through whatever their names. Each text is measured once.
     """
     spark = documents.sparkSession
-    lean_batches(spark)
-    docs = documents.drop("quality_score", "quality_kept")
-    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
-    path = F.coalesce(F.concat(F.lit("="), F.col(path_col).cast("string")), F.lit(""))
-    columns = docs.columns
-    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    model = spark.sparkContext.broadcast(evidence)
-
-    def scored(df: DataFrame, at: int, kinds: str) -> DataFrame:
-        out = df.mapInArrow(_scorer(model, at), f"{kinds}, __evidence double")
-        return out.withColumn("__p", 1 / (1 + F.exp(-F.col("__evidence"))))
-
-    narrow = stored(docs.select(host.alias("__host"), path.alias("__path"), F.col(text_col).alias("__text")).where("__text is not null").transform(
-        lambda df: scored(df, 2, "__host string, __path string, __text string")).select("__host", "__path", "__p"), "evidence")
-    sites = site_rates(narrow)
-    full = scored(docs, columns.index(text_col), kinds).withColumn("__host", host).withColumn("__path", path).join(sites, ["__host", "__path"], "left")
-    blank = F.col(text_col).isNull() | ~F.col(text_col).rlike("(?U)\\S")
-    score = 1 / (1 + F.exp(-(F.col("__evidence") + F.coalesce("__shift", F.lit(0.0)))))
-    return full.withColumn("quality_score", F.when(blank, 0.0).otherwise(score)).withColumn("quality_kept", F.col("quality_score") >= KEEP).select(
-        *[F.col(f"`{c}`") for c in columns], "quality_score", "quality_kept")
+    docs = documents.drop("quality_score", "quality_kept").withColumn(text_col, F.col(text_col).cast("string"))
+    columns = [c for c in docs.columns if keep_text or c != text_col]
+    odds, host, path = free_names(docs, "evidence", "host", "path")
+    kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    scorer = _scorer(spark.sparkContext.broadcast(evidence), docs.columns.index(text_col), [docs.columns.index(c) for c in columns], odds)
+    site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    measured = stored(docs.mapInArrow(scorer, f"{kinds}, {odds} double"), "measured").withColumns({host: site(host_col), path: site(path_col)})
+    own = 1 / (1 + F.exp(-F.col(odds)))
+    sites, centre, k_host, k_path = site_rates(measured.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), own.alias("p")), labels)
+    # What the site says without this document.
+    less, mine = F.when(F.col(odds).isNull(), 0.0).otherwise(SOFT), F.coalesce(SOFT * own, F.lit(0.0))
+    s = lambda c: F.col("site")[c]
+    host_rate = (s("hgood") - mine + k_host * centre) / (s("hn") - less + k_host)
+    rate = (s("good") - mine + k_path * host_rate) / (s("n") - less + k_path)
+    safe = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
+    shift = F.log(safe / (1 - safe)) - float(np.log(centre / (1 - centre)))
+    packed = sites.select(F.struct("host", "path").alias("key"), "rows", F.struct("n", "good", "hn", "hgood").alias("site"))
+    rows = measured.select(F.struct(F.col(host).alias("host"), F.col(path).alias("path")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns], odds).alias("row"))
+    met = rows.join(F.broadcast(packed.drop("rows")), "key") if sites.count() <= BROADCAST_SITES else join_hot(rows, packed, "key", "rows")
+    full = met.select("site", "row.*").withColumn("quality_score", F.when(F.col(odds).isNull(), 0.0).otherwise(1 / (1 + F.exp(-(F.col(odds) + shift)))))
+    return full.withColumn("quality_kept", F.col("quality_score") >= KEEP).select(*[F.col(f"`{c}`") for c in columns], "quality_score", "quality_kept")
