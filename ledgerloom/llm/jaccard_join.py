@@ -20,7 +20,9 @@ The distance d = 1 - |x & y| / |x | y| is a metric, and documents link when d <=
 A pair is dropped if one-bit sketches of the two sets show more than (|x| + |y|) / 7
 shingles that only one of them has, which no linked pair has; every other pair is compared on
 the whole sets. The result is the exact transitive
-closure; copies of one set are one node, so a group of copies never makes pairs.
+closure; copies of one set are one node, so a group of copies never makes pairs. A node is
+named by a fingerprint of its set; where a second, independent one tells sets of one name
+apart, they are named by the second (63-bit names alone would meet at some 10^9 sets).
 
 Which shingles count as frequent only steers the order and never the result. It is taken
 from all documents: each block of ``BLOCK`` shingles reports those it has at least
@@ -37,8 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import fingerprint, shingle_sets
-from .work import discard, lean_batches, mix64, stored
+from .shingles import fingerprint, second_fingerprint, shingle_sets
+from .work import contained, discard, join_hot, mix64, stored
 
 SMALL = 64
 BLOCK = 1 << 22
@@ -49,12 +51,18 @@ HOT = 8
 SALT = 64
 ROUND_PIVOTS = 16
 ROUND_PAIRS = 20_000_000
+ROUND_MOST = 1_000_000_000
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int | None, np.ndarray]]:
     yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()))
 
 
+def _name(s: np.ndarray, clashes: frozenset[int]) -> int:
+    first = fingerprint(s)
+    return second_fingerprint(s) if first in clashes else first
+
+
 def _sketch(s: np.ndarray) -> bytes:
     """A bit for each shingle, in the smallest power of two of bits that the set may fill."""
     m = 1 << max(3, int(len(s) - 1).bit_length()) if len(s) else 8
@@ -82,11 +90,11 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind 0: doc_id, size, fingerprint) and (kind 1: -, count, shingle)."""
+    """Rows (kind 0: doc_id, size, fingerprints, sketch) and (kind 1: -, count, shingle)."""
     held: list[np.ndarray] = []
     seen: set[int] = set()
     size = 0
-    names = ["kind", "doc_id", "n", "fp", "sketch"]
+    names = ["kind", "doc_id", "n", "fp", "fp2", "sketch"]
 
     def frequent() -> pa.RecordBatch:
         every = np.concatenate(held) if held else np.empty(0, np.uint64)
@@ -96,16 +104,17 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.diff(starts, append=len(every))
         shingle, count = every[starts[count >= OFTEN]], count[count >= OFTEN]
         n = len(shingle)
-        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64)), pa.nulls(n, pa.binary())], names=names)
+        return pa.record_batch([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(count.astype(np.int64)), pa.array(shingle.view(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
     for batch in batches:
-        ids, sizes, prints, sketches = [], [], [], []
+        ids, sizes, prints, second, sketches = [], [], [], [], []
         for doc, s in _sets(batch):
             fp = fingerprint(s)
             sketches.append(_sketch(s))
             ids.append(doc)
             sizes.append(len(s))
             prints.append(fp)
+            second.append(second_fingerprint(s))
             if len(s) and fp not in seen:
                 seen.add(fp)
                 held.append(s)
@@ -113,7 +122,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if size >= BLOCK:
                     yield frequent()
                     seen, size = set(), 0
-        yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+        yield pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), pa.array(second, pa.int64()), pa.array(sketches, pa.binary())], names=names)
     yield frequent()
 
 
@@ -145,13 +154,13 @@ def _classes(s: np.ndarray, hot: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 def _window_rows(hot_value):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, cls = hot_value.value
+        (hot, cls), clashes = hot_value.value
         seen: set[int] = set()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             size = 0
             for _, s in _sets(batch):
-                fp = fingerprint(s)
+                fp = _name(s, clashes)
                 if not len(s) or fp in seen:
                     continue
                 if len(seen) < 200_000:
@@ -249,7 +258,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _blobs(bits_value):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bits_value.value
+        bits, clashes = bits_value.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             if batch.column(0).null_count:
@@ -265,7 +274,7 @@ def _blobs(bits_value):
                 docs, prints, sets = [], [], []
                 for doc, s in _sets(got):
                     docs.append(doc)
-                    prints.append(fingerprint(s))
+                    prints.append(_name(s, clashes))
                     sets.append(s.tobytes())
                 yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "id", "blob"])
 
@@ -293,7 +302,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([a, b, pa.array(1 - inter / np.maximum(union, 1)), pa.array(100 * inter >= 75 * union)], names=["a", "b", "d", "link"])
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, clashes: frozenset[int]) -> DataFrame:
     """Exact distances of the pairs (a < b, fingerprints) that may link: a, b, d, link. Stored."""
     spark = docs.sparkSession
     for side in ("a", "b"):
@@ -304,7 +313,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     bits = np.zeros(BITS // 8, np.uint8)
     slots = wanted.select("rep").mapInArrow(_slots, "slot int").distinct().toArrow().column("slot").to_numpy()
     np.bitwise_or.at(bits, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(bits)
+    shared = spark.sparkContext.broadcast((bits, clashes))
     blobs = docs.mapInArrow(_blobs(shared), "rep long, id long, blob binary")
     # The bits pass some documents too many, and a repeated id may bring other texts.
     blobs = stored(blobs.join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]).select("id", "blob"), "sets", 4)
@@ -334,8 +343,12 @@ def _heads(regions: DataFrame) -> DataFrame:
         "s", F.col("p.b").alias("p"), F.col("p.nb").alias("np"), F.col("p.posb").alias("posp"))
 
 
-def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFrame) -> DataFrame:
-    """The recursion of large regions; returns every distance that was computed."""
+def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFrame, clashes: frozenset[int]) -> DataFrame:
+    """The recursion of large regions; returns every distance that was computed.
+
+    A round takes twice as many pivots of a region as the one before, as far as ROUND_MOST
+    pairs allow, so the number of rounds grows with the logarithm of a region's size.
+    """
     turn = 0
     while True:
         turn += 1
@@ -354,14 +367,15 @@ def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFr
         many = rest.groupBy("s").agg(F.count("*").alias("left"), F.max("size").alias("size"))
         estimate = many.select(F.sum(F.col("left") * F.col("size"))).first()[0] or 0
         if estimate > ROUND_PAIRS:
-            share = F.greatest(F.lit(1), F.floor(F.col("left") / ROUND_PIVOTS))
-            rest = rest.join(many.select("s", "left"), "s").where(F.pmod(F.xxhash64("b", F.lit(turn)), share) == 0).drop("left")
+            pivots = F.least(F.lit(ROUND_PIVOTS << min(turn - 1, 40)), F.greatest(F.lit(ROUND_PIVOTS), F.floor(ROUND_MOST / F.col("all"))))
+            share = F.greatest(F.lit(1), F.floor(F.col("left") / pivots))
+            rest = rest.join(many.select("s", "left", F.col("size").alias("all")), "s").where(F.pmod(F.xxhash64("b", F.lit(turn)), share) == 0).drop("left", "all")
         x = rest.select("s", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("posb").alias("posa"), F.col("t").alias("ta"), F.col("d").alias("da"))
         met = x.join(at, "s").where("a != b and ta != t").where(
             "7 * (na - posa) >= 3 * (na + nb) and 7 * (nb - posb) >= 3 * (na + nb) and 7 * (posa + posb) <= na + nb").where(
             "da is null or d is null or abs(da - d) <= 0.2500001")
         new = stored(_ordered(met).join(near.select("a", "b"), ["a", "b"], "left_anti"), "pairs", 16)
-        known = stored(known.union(_verified(docs, nodes, new)), "known", 16)
+        known = stored(known.union(_verified(docs, nodes, new, clashes)), "known", 16)
         last = estimate <= ROUND_PAIRS
         if not last:
             regions = stored(regions.join(rest.select("s", "b"), ["s", "b"], "left_anti"), "regions", 16)
@@ -370,6 +384,7 @@ def _rounds(docs: DataFrame, nodes: DataFrame, regions: DataFrame, known: DataFr
             return known
 
 
+@contained
 def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each input row.
 
@@ -378,12 +393,17 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     gives an empty result; other columns are not looked at.
     """
     spark = documents.sparkSession
-    lean_batches(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, sketch binary"), "survey")
-    own = survey.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), F.col("fp").alias("id"), "sketch")
-    nodes = stored(own.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes", 16)
-    hot = spark.sparkContext.broadcast(_hot(survey.where("kind = 1")))
+    survey = stored(docs.mapInArrow(_survey, "kind int, doc_id long, n long, fp long, fp2 long, sketch binary"), "survey")
+    own = survey.where("kind = 0").select("doc_id", "n", "fp", "fp2", "sketch")
+    sets = stored(own.where("n > 0").groupBy("fp", "fp2").agg(
+        F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "nodes", 16)
+    # Different sets of one fingerprint: about (sets / 2^32)^2 / 4 of them are to be expected.
+    clashes = frozenset(r["fp"] for r in sets.groupBy("fp").count().where("count > 1").select("fp").collect())
+    name = F.when(F.col("fp").isin(*clashes), F.col("fp2")).otherwise(F.col("fp")) if clashes else F.col("fp")
+    sets = sets.withColumn("id", name)
+    nodes = sets.where("rep is not null").select("id", "rep", "n", "sketch")
+    hot = spark.sparkContext.broadcast((_hot(survey.where("kind = 1")), clashes))
     windows = docs.where("doc_id is not null").mapInArrow(_window_rows(hot), "s long, id long, n int, pos int, hot int")
     windows = windows.withColumn("salt", F.when(F.col("hot") >= HOT, F.pmod(F.col("id"), F.lit(SALT))).otherwise(0).cast("int"))
     met = stored(windows.repartition("s", "salt").sortWithinPartitions("s", "pos", "id").mapInArrow(_meet, _MET), "met")
@@ -391,18 +411,18 @@ def jaccard_join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     stars = regions.join(_heads(regions), "s").where("b != p").where(
         "7 * (np - posp) >= 3 * (np + nb) and 7 * (nb - posb) >= 3 * (np + nb) and 7 * (posp + posb) <= np + nb")
     pairs = stored(_ordered(met.where("first").select("a", "b").union(stars.select(F.col("p").alias("a"), "b"))), "pairs", 16)
-    known = _verified(docs, nodes, pairs)
+    known = _verified(docs, nodes, pairs, clashes)
     # Other pairs of small regions, unless their pivots have joined them already.
     label = stored(_labels(nodes, known.where("link").select("a", "b")), "labels", 16)
     other = met.where("not big and not first").select("a", "b").distinct().join(
         label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(
         label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b", "left").where("la is null or lb is null or la != lb")
     more = stored(other.select("a", "b").join(pairs, ["a", "b"], "left_anti"), "pairs", 16)
-    known = stored(known.union(_verified(docs, nodes, more)), "known", 16)
+    known = stored(known.union(_verified(docs, nodes, more, clashes)), "known", 16)
     discard(met, pairs, label, more)
     if regions.limit(1).count():
-        known = _rounds(docs, nodes, regions, known)
+        known = _rounds(docs, nodes, regions, known, clashes)
     label = _labels(nodes, known.where("link").select("a", "b"))
-    named = nodes.join(label, "id", "left").select("id", F.coalesce("label", "rep").alias("component_id"))
-    return own.join(named, "id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = stored(sets.select("id", "rep", "copies").join(label, "id", "left").select("id", "copies", F.coalesce("label", "rep").alias("component_id")), "named", 16)
+    some = join_hot(own.where("n > 0").select("doc_id", F.col("n").alias("n_shingles"), name.alias("id")), named, "id", "copies").select("doc_id", "n_shingles", "component_id")
+    return some.union(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

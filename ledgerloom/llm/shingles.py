@@ -18,6 +18,7 @@ from .work import mix64
 
 WIDTH = 5
 _STEP = np.uint64(0x9FB21C651E98DF25)
+_OTHER = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 21  # bytes of text hashed at once
 
 
@@ -72,8 +73,17 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> Iterator[np.nda
 
 
 def fingerprint(shingles: np.ndarray) -> int:
-    """A 64-bit fingerprint of a set, as a signed long; 0 for the empty set only."""
+    """A fingerprint of 63 bits of a set, as a signed long; 0 for the empty set only."""
+    return _sum(shingles, _STEP)
+
+
+def second_fingerprint(shingles: np.ndarray) -> int:
+    """Another one, independent of the first: both together have 126 bits."""
+    return _sum(shingles, _OTHER)
+
+
+def _sum(shingles: np.ndarray, step: np.uint64) -> int:
     if not len(shingles):
         return 0
-    total = np.uint64(len(shingles)) + np.add.reduce(mix64(shingles ^ _STEP))
+    total = np.uint64(len(shingles)) + np.add.reduce(mix64(shingles ^ step))
     return int(np.array([total | np.uint64(1)], dtype=np.uint64).view(np.int64)[0])
