@@ -19,8 +19,8 @@ from ledgerloom.llm.work import stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    evidence = fit_evidence(docs, table(spark, sf_dir, "labels"))
-    return classify(docs, evidence).where("quality_kept").select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+    return classify(docs, fit_evidence(docs, labels), labels).where("quality_kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
