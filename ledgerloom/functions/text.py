@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import PII
@@ -49,17 +49,23 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 
 def _nfkc_changes(s: pd.Series) -> pd.Series:
+    import re
     import unicodedata
+    from collections import Counter
 
-    return s.map(lambda x: 0 if x is None else sum(1 for c in x if unicodedata.normalize("NFKC", c) != c))
+    other = re.compile(_NOT_ASCII)
+    return s.map(lambda x: 0 if x is None else sum(n for c, n in Counter(other.findall(x)).items() if unicodedata.normalize("NFKC", c) != c))
 
 
 _NOT_ASCII = r"[^\x00-\x7F]"
 
 
 def normalize_unicode(c: Column) -> Column:
-    """NFKC, then plain punctuation. Python runs only on texts beyond ASCII."""
-    c = F.when(c.rlike(_NOT_ASCII), F.pandas_udf(_nfkc, "string")(c)).otherwise(c)
+    """NFKC, then plain punctuation. Only texts beyond ASCII go to Python.
+
+    Give it a column rather than an expression, which it would name three times.
+    """
+    c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(c.rlike(_NOT_ASCII), c)), c)
     single = {k: v for k, v in PUNCTUATION.items() if len(v) == 1}
     c = F.translate(c, "".join(single), "".join(single.values()))
     for k, v in PUNCTUATION.items():
@@ -70,7 +76,7 @@ def normalize_unicode(c: Column) -> Column:
 
 def encoding_changes(c: Column) -> Column:
     """How many characters NFKC would change."""
-    return F.when(c.rlike(_NOT_ASCII), F.pandas_udf(_nfkc_changes, "int")(c)).otherwise(F.lit(0))
+    return F.coalesce(F.pandas_udf(_nfkc_changes, "int")(F.when(c.rlike(_NOT_ASCII), c)), F.lit(0))
 
 
 def strip_html(c: Column) -> Column:
@@ -101,13 +107,44 @@ def count_pii(c: Column) -> Column:
     return total
 
 
-def normalize_text(c: Column, light: bool = False, unicode: bool = True, html: bool = True, urls: bool = True, control: bool = True, pii: bool = True, max_newlines: int = 2) -> Column:
-    """The whole normalisation; null gives an empty text."""
-    c = fix_replacement(F.coalesce(c, F.lit("")))
-    for on, step in ((unicode, normalize_unicode), (control, strip_control), (html, strip_html), (urls, strip_urls), (pii, redact_pii)):
-        if on:
-            c = step(c)
-    return collapse_light(c, max_newlines) if light else squeeze(c)
+def with_pii_count(df: DataFrame, texts: Sequence[str], name: str) -> DataFrame:
+    """Adds how many replacements :func:`redact_pii` makes in some columns of texts.
+
+    One chain of replacements, a step at a time, so that no step is computed twice: what a
+    step replaces is how many of its marks are new.
+    """
+    columns, out = df.columns, df.withColumn(name, F.lit(0))
+    now = {t: F.coalesce(F.col(t), F.lit("")) for t in texts}
+    for n, (kind, pattern) in enumerate(PII):
+        mark = f"[{kind}]"
+        before = {t: f"__{n}_{k}" for k, t in enumerate(texts)}
+        after = {t: f"__{n}_{k}_" for k, t in enumerate(texts)}
+        out = out.withColumns({before[t]: now[t] for t in texts}).withColumns({after[t]: F.regexp_replace(before[t], pattern, mark) for t in texts})
+        more = [occurrences(F.col(after[t]), mark) - occurrences(F.col(before[t]), mark) for t in texts]
+        out = out.withColumn(name, sum(more, F.col(name)))
+        now = {t: F.col(after[t]) for t in texts}
+    return out.select(*[c for c in columns if c != name], name)
+
+
+_STEPS = {"control": strip_control, "html": strip_html, "urls": strip_urls, "pii": redact_pii}
+
+
+def with_normal_text(df: DataFrame, texts: Sequence[str], light: bool = False, unicode: bool = True, max_newlines: int = 2, **on: bool) -> DataFrame:
+    """The texts normalised in place, null to an empty text: replacement characters, Unicode,
+    control characters, HTML, URLs, personal data, white space. A step whose name is given
+    as False is left out.
+    """
+    out = df.withColumns({t: fix_replacement(F.coalesce(F.col(t), F.lit(""))) for t in texts})
+    if unicode:
+        out = out.withColumns({t: normalize_unicode(F.col(t)) for t in texts})
+
+    def rest(c: Column) -> Column:
+        for name, step in _STEPS.items():
+            if on.get(name, True):
+                c = step(c)
+        return collapse_light(c, max_newlines) if light else squeeze(c)
+
+    return out.withColumns({t: rest(F.col(t)) for t in texts})
 
 
 def alpha_ratio(c: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import alpha_ratio, count_pii, encoding_changes, fix_replacement, lexicon_hits, n_words, normalize_text, squeeze
+from ..functions.text import alpha_ratio, encoding_changes, fix_replacement, lexicon_hits, n_words, squeeze, with_normal_text, with_pii_count
 
 #: Why a record goes, in the order that counts.
 REASONS = ("unparseable", "question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "low_alpha_ratio", "non_financial", "profiling")
@@ -58,11 +59,9 @@ def with_reason(
     """
     q, a = F.col("question"), F.col("answer")
     whole = q.isNotNull() & a.isNotNull()
-    out = records.withColumns({
-        "__whole": whole,
-        "pii": F.when(whole, count_pii(fix_replacement(q)) + count_pii(fix_replacement(a))).otherwise(0),
-        "encoding": F.when(whole, encoding_changes(q) + encoding_changes(a)).otherwise(0),
-    }).withColumns({"question": normalize_text(q), "answer": normalize_text(a)})
+    given = records.withColumns({"__whole": whole, "__q": F.when(whole, fix_replacement(q)), "__a": F.when(whole, fix_replacement(a))})
+    counted = with_pii_count(given, ("__q", "__a"), "pii").withColumn("encoding", F.when(F.col("__whole"), encoding_changes(q) + encoding_changes(a)).otherwise(0))
+    out = with_normal_text(counted.drop("__q", "__a"), ("question", "answer"))
     at = lambda name: _limit(name, by_source, limits)
     tests = (
         ~F.col("__whole"), F.length(q) < at("min_question_chars"), F.length(q) > at("max_question_chars"),
@@ -147,15 +146,20 @@ def dedup_fuzzy(records: DataFrame, order: str = "ord", threshold: float = K.FUZ
 def near_pairs(texts: DataFrame, most: float = 0.08) -> DataFrame:
     """(a, b, distance): pairs of one block whose Levenshtein distance is at most ``most`` of the longer.
 
-    texts has (ord, question). Blocks are the first characters and the length class; a pair
-    that far apart in length can't qualify, so neighbouring classes suffice.
+    texts has (ord, question). A block is the first characters. Within it, lengths fall into
+    classes that grow by the factor 1 / (1 - most), so that a pair is in one class or in
+    neighbouring ones; and a pair within m edits differs in at most 2 m occurrences of any letters. The
+    distance itself is computed no further than m.
     """
-    rows = texts.select("ord", question_key(F.col("question")).alias("q")).where("q != ''").withColumn("block", F.left("q", F.lit(K.BLOCK_PREFIX)))
-    x, y = rows.alias("x"), rows.alias("y")
-    longer = F.greatest(F.length("x.q"), F.length("y.q"))
-    most_edits = F.floor(longer * most).cast("int")
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.ord") < F.col("y.ord")) & (F.abs(F.length("x.q") - F.length("y.q")) <= most_edits))
-    return pairs.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.levenshtein("x.q", "y.q").alias("distance"), most_edits.alias("m")).where("distance <= m").drop("m")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = texts.select("ord", question_key(F.col("question")).alias("q")).where("q != ''").withColumns({"block": F.left("q", F.lit(K.BLOCK_PREFIX)), "n": F.length("q")})
+    rows = rows.withColumn("size", F.floor(F.log("n") / F.lit(float(-math.log(1 - most)))).cast("int"))
+    rows = rows.withColumn("bag", F.array(*[F.col("n") - F.length(F.replace("q", F.lit(x))) for x in letters]))
+    x, y = rows.alias("x"), rows.withColumn("near", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("y")
+    m = F.floor(F.greatest("x.n", "y.n") * most).cast("int")
+    apart = F.aggregate(F.zip_with("x.bag", "y.bag", lambda a, b: F.abs(a - b)), F.lit(0), lambda acc, v: acc + v)
+    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.size") == F.col("y.near")) & (F.col("x.ord") < F.col("y.ord")) & (F.abs(F.col("x.n") - F.col("y.n")) <= m) & (apart <= 2 * m))
+    return pairs.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.call_function("levenshtein", F.col("x.q"), F.col("y.q"), m).alias("distance")).where("distance >= 0")
 
 
 def dedup_counts(kinds: DataFrame) -> DataFrame:

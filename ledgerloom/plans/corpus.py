@@ -37,8 +37,8 @@ def cleaned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.count_pii(F.col("text")).cast("long").alias("n_pii"))
-    return rows.where("n_pii > 0")
+    rows = T.with_pii_count(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "n")
+    return rows.where("n > 0").select("doc_id", F.col("n").cast("long").alias("n_pii"))
 
 
 def pii_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,21 +63,28 @@ def light_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
+# Fixed list of what is put behind texts: (text, normalised, characters that change, U+FFFD in it).
+ODD_ENDS = (("", "", 0, 0), (" I’m fine — really…not.", " I'm fine - really...not.", 1, 0), (" ﬁnance Ⅷ ½", " finance VIII 1⁄2", 3, 0), (" don�t stop�", " don't stop", 0, 2), (" “ok”–x", ' "ok"-x', 0, 0))
+
+
 def unicode_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame([("I’m fine — really…not.",), ("ﬁnance Ⅷ ½",), ("don�t stop�",), ("plain",)], "t string")
-    t = T.fix_replacement(F.col("t"))
-    return texts.select("t", T.normalize_unicode(t).alias("clean"), T.encoding_changes(F.col("t")).alias("changed"), T.count_replacement(F.col("t")).alias("replaced"))
+    """Documents with odd characters behind them, by doc_id."""
+    end = F.get(F.array(*[F.lit(e[0]) for e in ODD_ENDS]), F.pmod("doc_id", F.lit(len(ODD_ENDS))).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), end).alias("t")).withColumn("f", T.fix_replacement(F.col("t")))
+    return rows.select("doc_id", F.md5(T.normalize_unicode(F.col("f"))).alias("clean_md5"), T.encoding_changes(F.col("t")).alias("changed"), T.count_replacement(F.col("t")).alias("replaced"))
 
 
+# Fixed list of questions, put before those of documents.
 PROFILE_TEXTS = (
     "What is my net worth?", "Predict my annual salary from my age and education", "Estimate your monthly expenses for the next year",
     "How much am I worth?", "Calculate my risk score", "Should I pay off debt or invest my savings?",
     "I make 150k a year and saved 100k, should I buy a house?", "What is the FY2018 capital expenditure for 3M?",
-    "I calculated that my necessary expenses run about 800/mo, is that normal?")
+    "I calculated that my necessary expenses run about 800/mo, is that normal?", "")
 
 
 def profiling_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in PROFILE_TEXTS], "question string").select("question", C.is_profiling(F.col("question")).alias("profiling"))
+    start = F.get(F.array(*[F.lit(t) for t in PROFILE_TEXTS]), F.pmod("ord", F.lit(len(PROFILE_TEXTS))).cast("int"))
+    return docs_as_qa(spark, sf_dir).select("ord", C.is_profiling(F.concat(start, F.lit(" "), F.coalesce("question", F.lit("")))).alias("profiling"))
 
 
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,6 +202,8 @@ def _normal_sql(c: str, plain: bool = False) -> str:
     return f"trim(regexp_replace({_redact_sql(c)}, '{WS}+', ' ', 'g'))"
 
 
+_ENDS = ", ".join("({}, '{}', {}, {})".format(k, e[1].replace("'", "''"), e[2], e[3]) for k, e in enumerate(ODD_ENDS))
+_TRANSLATED = ["".join(x).replace("'", "''") for x in zip(*((k, v) for k, v in T.PUNCTUATION.items() if len(v) == 1))]
 _LEX = quoted(K.FINANCIAL_LEXICON)
 _HITS = "len(list_intersect(list_distinct(regexp_split_to_array(lower(@), '[^a-z0-9$.-]+')), " + _LEX + "))"
 _ALPHA = f"CASE WHEN length(regexp_replace(@, '{WS}+', '', 'g')) = 0 THEN 0.0::DOUBLE ELSE length(regexp_replace(@, '[^A-Za-z]', '', 'g'))::DOUBLE / length(regexp_replace(@, '{WS}+', '', 'g')) END"
@@ -234,8 +243,10 @@ ORACLES = {
     "financial_hits": f"SELECT doc_id, {_HITS.replace('@', 'text')}::INTEGER AS hits FROM documents",
     "html_stripped": f"SELECT page_id, md5(t) AS text_md5, length(t)::INTEGER AS n_chars FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]{{1,256}}>', ' ', 'g'), '(?i)https?://\\S+', ' ', 'g'), '{WS}+', ' ', 'g')) AS t FROM pages)",
     "light_whitespace": f"SELECT doc_id, length(t)::INTEGER AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, {strip('x')} AS t FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS x FROM documents))",
-    "unicode_normalized": "SELECT * FROM (VALUES ('I’m fine — really…not.', 'I''m fine - really...not.', 1, 0), ('ﬁnance Ⅷ ½', 'finance VIII 1⁄2', 3, 0), ('don�t stop�', 'don''t stop', 0, 2), ('plain', 'plain', 0, 0)) v(t, clean, changed, replaced)",
-    "profiling_flags": "SELECT * FROM (VALUES " + ", ".join("('" + t.replace("'", "''") + f"', {str(k < 5).lower()})" for k, t in enumerate(PROFILE_TEXTS)) + ") v(question, profiling)",
+    "unicode_normalized": f"""WITH ends AS (SELECT * FROM (VALUES {_ENDS}) v(k, clean, changed, replaced)), one AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+        SELECT doc_id, md5(concat(replace(translate(nfc_normalize(text), '{_TRANSLATED[0]}', '{_TRANSLATED[1]}'), '…', '...'), clean)) AS clean_md5, changed::INTEGER AS changed, replaced::INTEGER AS replaced
+        FROM one JOIN ends ON k = doc_id % {len(ODD_ENDS)}""",
+    "profiling_flags": f"""WITH {DOCS_AS_QA_SQL.strip()}, asked AS (SELECT ord, concat({quoted(PROFILE_TEXTS)}[ord % {len(PROFILE_TEXTS)} + 1], ' ', coalesce(question, '')) AS q FROM qa) SELECT ord, {_PROFILE_SQL} AS profiling FROM asked""",
     "dedup_exact": f"{_KINDS} SELECT ord, kind FROM kinds",
     "dedup_counts": f"{_KINDS} SELECT source, kind, count(*) AS n FROM kinds WHERE kind IS NOT NULL GROUP BY ALL",
     "near_question_pairs": f"""WITH {DOCS_AS_QA_SQL.strip()}, f AS (SELECT {_KEY.replace('@', 'question')} AS k, min(ord) AS ord FROM qa GROUP BY 1 HAVING k != ''),

@@ -23,11 +23,12 @@ def test_pii(spark):
     t = "mail bob@example.com call 555-123-4567 SSN 123-45-6789"
     assert one(spark, T.redact_pii(F.col("t")), t=t) == "mail [EMAIL] call [PHONE] SSN [SSN]"
     assert one(spark, T.count_pii(F.col("t")), t=t) == 3
+    assert T.with_pii_count(spark.createDataFrame([(t, None)], "t string, u string"), ["t", "u"], "n").first()["n"] == 3
 
 
 def test_unicode(spark):
-    assert one(spark, T.normalize_text(F.col("t")), t="I’m fine — really…not.") == "I'm fine - really...not."
-    assert one(spark, T.normalize_text(F.col("t")), t=None) == ""
+    normal = lambda t: T.with_normal_text(spark.createDataFrame([(t,)], "t string"), ["t"]).first()["t"]
+    assert normal("I’m fine — really…not.") == "I'm fine - really...not." and normal(None) == ""
 
 
 @pytest.mark.parametrize("t, n", [("Should I invest in ETFs?", 1), ("What is the best pizza topping?", 0)])
