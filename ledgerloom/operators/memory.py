@@ -101,17 +101,42 @@ def retriever(kind: str = "keyword") -> Callable[[Column, Column, Column], Colum
     return RETRIEVERS.get(kind, keyword_score)
 
 
+def _pairs_by_token(queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query_id, user_id, memory_id, created_at, score): the pairs of a user that have a token in
+    common, with the keyword score. Each text is taken apart once, and pairs come from its
+    distinct tokens."""
+    asked = queries.select("query_id", "user_id", tokens(F.col("text")).alias("t"))
+    asked = asked.select("query_id", "user_id", F.size("t").alias("nq"), F.explode(F.array_distinct("t")).alias("token"))
+    held = memories.select("user_id", "memory_id", "created_at", "category", tokens(F.col("content")).alias("t"))
+    held = held.select("user_id", "memory_id", "created_at", "category", F.size("t").alias("nm"), F.explode(F.array_distinct("t")).alias("token"))
+    kinds = memories.select("category").distinct().select("category", F.explode(F.array_distinct(tokens(F.col("category")))).alias("token"))
+    named = asked.join(kinds, "token").select("query_id", "category").distinct().withColumn("named", F.lit(0.05))
+    common = asked.join(held, ["user_id", "token"]).groupBy("query_id", "user_id", "memory_id", "created_at", "category").agg(
+        F.count("*").alias("n"), F.first("nq").alias("nq"), F.first("nm").alias("nm"))
+    score = F.col("n") / F.sqrt(F.col("nm").cast("double") * F.col("nq")) + F.coalesce("named", F.lit(0.0))
+    return common.join(named, ["query_id", "category"], "left").select("query_id", "user_id", "memory_id", "created_at", score.alias("score"))
+
+
 def retrieve(queries: DataFrame, memories: DataFrame, k: int = TOP_K, threshold: float = RELEVANT, kind: str = "keyword") -> DataFrame:
     """(query_id, user_id, rank, memory_id, score): up to k memories of the user of a query.
 
-    Equal scores go to the newer memory, then to the larger id.
+    Equal scores go to the newer memory, then to the larger id. The keyword score without a
+    common token is 0.05 at most; above that only pairs that share one are looked at.
     """
-    pairs = queries.select("query_id", "user_id", F.col("text").alias("__q")).join(memories, "user_id")
-    scored = pairs.withColumn("score", retriever(kind)(F.col("content"), F.col("category"), F.col("__q"))).where(F.col("score") >= threshold)
+    if retriever(kind) is keyword_score and threshold > 0.05:
+        scored = _pairs_by_token(queries, memories).where(F.col("score") >= threshold)
+    else:
+        pairs = queries.select("query_id", "user_id", F.col("text").alias("__q")).join(memories, "user_id")
+        scored = pairs.withColumn("score", retriever(kind)(F.col("content"), F.col("category"), F.col("__q"))).where(F.col("score") >= threshold)
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("created_at"), F.desc("memory_id")))
     return scored.withColumn("rank", nth).where(F.col("rank") <= k).select("query_id", "user_id", "rank", "memory_id", "score")
 
 
+def touched(found: DataFrame, now: Column | None = None) -> DataFrame:
+    """(id, last_accessed_at): the memories that a retrieval used, for :meth:`Store.touch_memories`."""
+    return found.select(F.col("memory_id").alias("id")).distinct().withColumn("last_accessed_at", F.current_timestamp() if now is None else now)
+
+
 def memory_context(found: DataFrame, memories: DataFrame) -> DataFrame:
     """(query_id, context): the retrieved memories as bullet lines in rank order."""
     rows = found.join(memories.select("memory_id", "category", "content"), "memory_id")

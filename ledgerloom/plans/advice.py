@@ -11,7 +11,7 @@ from ..operators import advice as A
 from ..operators import memory as M
 from ..operators.chat import run_chat
 from ..operators.evaluation import answered_questions
-from .inputs import INTENTS_SQL, budget_messages, intent_messages, table
+from .inputs import BUDGET_SQL, INTENTS_SQL, VERIFIED_SQL, budget_messages, intent_messages, table
 from .sql_text import WS, argmax, contained, occurrences, quoted
 
 
@@ -53,12 +53,12 @@ def token_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = intent_messages(spark, sf_dir).where("msg_id % 10 = 5").select(F.col("msg_id").alias("query_id"), "user_id", "text")
+    queries = intent_messages(spark, sf_dir).select(F.col("msg_id").alias("query_id"), "user_id", "text")
     return M.retrieve(queries, _memories(spark, sf_dir)).select("query_id", "rank", "memory_id", F.round("score", 6).alias("score"))
 
 
 def memory_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = intent_messages(spark, sf_dir).where("msg_id % 10 = 5").select(F.col("msg_id").alias("query_id"), "user_id", "text")
+    queries = intent_messages(spark, sf_dir).select(F.col("msg_id").alias("query_id"), "user_id", "text")
     memories = _memories(spark, sf_dir)
     return M.memory_context(M.retrieve(queries, memories), memories)
 
@@ -68,11 +68,18 @@ def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upserted(rows)
 
 
+def historian(rows: DataFrame, attempt: int) -> DataFrame:
+    """A stand-in author that says how many earlier messages it was shown."""
+    return rows.withColumn("reply", F.concat(F.lit("Having read "), F.size("window").cast("string"), F.lit(" earlier messages, keep a reserve.")))
+
+
 def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch of chat turns: every user's budget as a first message, answered by the stand-in."""
-    ask = budget_messages(spark, sf_dir).select(F.col("user_id").alias("conv_id"), "user_id", F.col("text").alias("message"))
-    turns = table(spark, sf_dir, "conversations").where("false").select("conv_id", "turn", "role", "text")
-    out = run_chat(ask, turns, _memories(spark, sf_dir))
+    """One new message for every conversation, behind all its turns: the budget of the customer of
+    that number, or a question where there is none."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    budgets = budget_messages(spark, sf_dir).select(F.col("user_id").alias("conv_id"), F.col("text").alias("message"))
+    ask = turns.select("conv_id").distinct().join(budgets, "conv_id", "left").select("conv_id", F.col("conv_id").alias("user_id"), F.coalesce("message", F.lit("How do I start?")).alias("message"))
+    out = run_chat(ask, turns, _memories(spark, sf_dir), historian)
     return out.replies.select("conv_id", "attempt", F.length("reply").alias("n_chars"))
 
 
@@ -100,6 +107,10 @@ _LIKE = "CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_inter
 _MEMORIES = f"""WITH {INTENTS_SQL}, memories AS (SELECT msg_id AS memory_id, user_id, k, text, CASE k
   WHEN 0 THEN replace(text, 'I want to', 'user wants to') WHEN 2 THEN replace(replace(text, 'My goal', 'the user''s goal'), 'my credit', 'the user''s credit') WHEN 4 THEN replace(text, 'I prefer', 'user prefers')
   ELSE 'user make 3000 a month and want to retire early.' END AS content, CASE k WHEN 4 THEN 'preference' WHEN 2 THEN 'goal' ELSE 'context' END AS category, CASE k WHEN 0 THEN 0.5::DOUBLE ELSE 0.7 END AS importance FROM (SELECT *, msg_id % 10 AS k FROM intents) WHERE k IN (0, 2, 4))"""
+_TOPK = f"""{_MEMORIES}, t AS (SELECT memory_id, user_id, {_TOKENS.replace('@', 'content')} AS a, {_TOKENS.replace('@', 'category')} AS c FROM memories),
+  q AS (SELECT msg_id AS query_id, user_id, {_TOKENS.replace('@', 'text')} AS b FROM intents), p AS (SELECT query_id, memory_id, a, b, c FROM q JOIN t USING (user_id)),
+  s AS (SELECT query_id, memory_id, {_LIKE} + CASE WHEN len(list_intersect(c, b)) > 0 THEN 0.05::DOUBLE ELSE 0 END AS score FROM p),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id DESC) AS rank FROM s WHERE score >= 0.18)"""
 ORACLES = {
     "question_categories": f"""WITH {INTENTS_SQL}, c AS (SELECT *, {', '.join(f"{contained('lower(text)', w)} AS s{k}" for k, w in enumerate(QUESTION_CATEGORIES.values()))} FROM intents)
       SELECT msg_id, CASE WHEN greatest({', '.join(_Q)}) = 0 THEN 'general' ELSE {argmax(list(zip(QUESTION_CATEGORIES, _Q)))} END AS category FROM c""",
@@ -110,9 +121,9 @@ ORACLES = {
     "memory_redaction": "SELECT o_orderkey, concat(CASE WHEN o_orderkey >= 10000 THEN 'Order [redacted-number]' ELSE concat('Order ', o_orderkey) END, ' of [redacted-number] [redacted-number], SSN [redacted-number], card [redacted-number].') AS text FROM orders",
     "token_likeness": f"""WITH {INTENTS_SQL}, t AS (SELECT msg_id, {_TOKENS.replace('@', 'text')} AS a FROM intents), p AS (SELECT x.msg_id, x.a, y.a AS b FROM t x JOIN t y ON y.msg_id = x.msg_id + 10)
       SELECT msg_id, round({_LIKE}, 6) AS likeness FROM p""",
-    "memory_topk": f"""{_MEMORIES}, q AS (SELECT msg_id AS query_id, user_id, text AS qt FROM intents WHERE msg_id % 10 = 5),
-      p AS (SELECT query_id, memory_id, {_TOKENS.replace('@', 'content')} AS a, {_TOKENS.replace('@', 'qt')} AS b, {_TOKENS.replace('@', 'category')} AS c FROM q JOIN memories USING (user_id)),
-      s AS (SELECT query_id, memory_id, {_LIKE} + CASE WHEN len(list_intersect(c, b)) > 0 THEN 0.05::DOUBLE ELSE 0 END AS score FROM p),
-      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id DESC) AS rank FROM s WHERE score >= 0.18)
-      SELECT query_id, rank::INTEGER AS rank, memory_id, round(score, 6) AS score FROM r WHERE rank <= 3""",
+    "memory_topk": f"""{_TOPK} SELECT query_id, rank::INTEGER AS rank, memory_id, round(score, 6) AS score FROM r WHERE rank <= 3""",
+    "memory_contexts": f"""{_TOPK} SELECT query_id, string_agg(concat('- [', category, '] ', content), chr(10) ORDER BY rank) AS context FROM r JOIN memories USING (memory_id) WHERE rank <= 3 GROUP BY query_id""",
+    "chat_turns": f"""WITH {BUDGET_SQL}, t AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+      b AS (SELECT conv_id, n, user_id, concat({VERIFIED_SQL}, chr(10), chr(10)) AS block FROM t LEFT JOIN budgets ON user_id = conv_id)
+      SELECT conv_id, 1 AS attempt, (CASE WHEN user_id IS NULL THEN 0 ELSE length(block) END + length(concat('Having read ', least(n, 6), ' earlier messages, keep a reserve.')))::INTEGER AS n_chars FROM b""",
 }

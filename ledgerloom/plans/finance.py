@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.money import dollars, payoff_months
+from ..functions.money import PAIR, dollars, payoff_months
+from ..lineage import cut
 from ..operators import claims as C
 from ..operators import finance as N
-from .inputs import BUDGET_SQL, INTENTS_SQL, budget_messages, intent_messages, table
+from .inputs import BUDGET_SQL, GOAL_COLUMNS, OPENED_COLUMNS, VERIFIED_SQL, budget_messages, goal_messages, money_sql, opened_messages, table
+from .sql_text import quoted
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,16 +62,25 @@ def formatted_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = N.with_facts(intent_messages(spark, sf_dir))
+    f = N.with_facts(goal_messages(spark, sf_dir))
     return f.select("msg_id", F.array_join("facts.goals", "; ").alias("goals"))
 
 
+# Sentences of replies, as SQL for both engines; a reply is five of them, chosen by user. Their
+# figures are the user's, sums, multiples and months of those, or made up.
+SENTENCES = (
+    "concat('Your income is $', income, ' and your rent is $', rent, '.')", "'You will need $75,000 in starting capital.'",
+    "concat('Saving 3 months of expenses means $', 3 * (rent + food), '.')", "concat('Your surplus is $', income - rent - food, '!')", "'Index funds return about 7% per year.'",
+    "concat('Your $', savings, ' is not enough to start a business.')", "concat('It charges ', apr, '% interest.')", "concat('You must keep $', income + 12 * food, ' upfront.')",
+    "concat('A minimum of $', rent + debt, ' is required?')", "concat('Expect to earn ', apr + 1, '% annually.')", "concat('It costs about $', 12 * rent + 5, ' a year.')", "'Keep a reserve.'",
+    "concat('You need $', 6 * rent, ' over 6 months.')", "concat('$', food + 2, ' won''t cover the project.')", "concat('The yield is ', apr, '% a year.')")
+_CHOSEN = ", ".join("CASE (user_id * 11 + %d * (user_id %% 7 + 1)) %% %d %s END" % (k, len(SENTENCES), " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(SENTENCES))) for k in range(5))
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.with_grounding(_planned(spark, sf_dir))
-    reply = F.expr(
-        "concat('Your income is $', format_number(income, 0), ' and your rent is $', format_number(rent, 0), '. You will need $75,000 in starting capital. Saving 3 months of expenses means $', format_number(3 * (rent + food), 0), "
-        "'. Your surplus is $1. Index funds return about 7% per year. Your $', format_number(savings, 0), ' is not enough to start a business. It charges ', apr, '% interest.')")
-    return rows.withColumn("reply", reply).withColumn("context", F.col("text"))
+    """Budgets with facts, plan and a reply; written down, as facts and plan are long expressions."""
+    rows = cut(C.with_grounding(_planned(spark, sf_dir)))
+    return rows.withColumn("reply", F.expr(f"array_join(array({_CHOSEN}), ' ')".replace("''", "\\'"))).withColumn("context", F.col("text"))
 
 
 def claim_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +101,7 @@ def reply_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def guarded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _replies(spark, sf_dir)
-    rows = rows.withColumn("reply", F.when(F.col("user_id") % 2 == 0, F.col("reply")).otherwise("Build a budget and keep a reserve."))
-    return C.guarded(rows, "user_id").select("user_id", "is_clarification", F.length("reply").alias("n_chars"))
+    return C.guarded(_replies(spark, sf_dir), "user_id").select("user_id", "is_clarification", F.length("reply").alias("n_chars"))
 
 
 def refined_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +114,7 @@ def refined_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intent_messages(spark, sf_dir).select("msg_id", C.is_follow_up(F.col("text")).alias("follow_up"))
+    return opened_messages(spark, sf_dir).select("conv_id", "turn", C.is_follow_up(F.col("text")).alias("follow_up"))
 
 
 def corrected_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,10 +145,30 @@ g AS (SELECT *, coalesce(round(mo * sv, 2), 0.0) AS saved FROM f)"""
 _CASES = "CASE WHEN su > 0 AND egap > 0 AND greatest(0.0, egap - saved) > 0 THEN coalesce(mo, 0) + ceil(greatest(0.0, egap - saved) / su) WHEN k = 'save' AND egap > 0 THEN ceil(egap / su) END"
 
 
-def _money(c: str) -> str:
-    return f"concat('$', replace(format('{{:,.2f}}', ({c})::DOUBLE), '.00', ''))"
-
-
+def _re(pattern: str) -> str:
+    return "'" + pattern.replace("(?U)", "").replace("'", "''") + "'"
+
+
+_KNOWN = """list_filter([income, savings, rent, food, debt, ex, su, 3 * ex, greatest(0.0, 3 * ex - savings), ex, init, keep, rem, hi, other, dp, sv, CASE WHEN k = 'invest' THEN su ELSE 0 END],
+  lambda g, i: i <= 7 OR g != 0)"""
+_GROUNDED = """(len(list_filter(known, lambda g: abs(a - g) <= 1 OR abs(12 * a - g) <= 1 OR abs(a - 12 * g) <= 1 OR (m BETWEEN 2 AND 24 AND abs(a - g * m) <= 1))) > 0
+  OR len(list_filter(known, lambda g, i: len(list_filter(known[:i - 1], lambda h: abs(a - g - h) <= 1)) > 0)) > 0)"""
+_UNSUPPORTED = f"""{_PLAN}, known AS (SELECT user_id, apr, {_KNOWN.replace("[income", "[income::DOUBLE")} AS doubled, [{_CHOSEN}] AS sentences FROM g),
+once AS (SELECT *, list_filter(doubled, lambda g, i: list_position(doubled, g) = i) AS known FROM known),
+each AS (SELECT user_id, apr, known, unnest(sentences) AS s, unnest(range(5))::INTEGER AS place FROM once),
+found AS (SELECT *, list_transform(regexp_extract_all(s, {_re(C.DOLLAR)}, 1), lambda x: replace(x, ',', '')::DOUBLE) AS amounts, list_transform(regexp_extract_all(s, {_re(C.PERCENT)}, 1), lambda x: x::DOUBLE) AS percents,
+  TRY_CAST(regexp_extract(s, {_re(C.MONTHS)}, 1) AS INTEGER) AS m FROM each),
+loose AS (SELECT user_id, place, s, amounts, percents, apr, len(list_filter(amounts, lambda a: NOT {_GROUNDED})) > 0 AS loose FROM found),
+flags AS (SELECT user_id, place, unnest([CASE WHEN loose AND regexp_matches(s, {_re(C.REQUIREMENT)}) THEN 'requirement' END,
+  CASE WHEN len(amounts) > 0 AND regexp_matches(s, {_re(C.INSUFFICIENCY)}) AND regexp_matches(s, {_re(C.COST_CONTEXT)}) THEN 'insufficiency' END,
+  CASE WHEN len(list_filter(percents, lambda p: abs(p - apr) > 0.01)) > 0 AND regexp_matches(s, {_re(C.RETURNS)}) THEN 'returns' END]) AS kind FROM loose)"""
+_LINES_OF = "list_transform(string_split(text, chr(10)), lambda x: trim(x))"
+_CLEAN = "trim(@, ' .:-')"
+_ITEM = f"regexp_extract(x, {_re(N.GOAL_ITEM)}, 1)"
+_PRICED = f"(contains(x, '$') OR regexp_matches(x, {_re(PAIR)}))"
+_GOAL = f"""CASE WHEN regexp_matches(x, {_re(N.GOAL_HEADER)}) THEN NULL WHEN heading > 0 AND i > heading THEN CASE WHEN {_ITEM} != '' AND NOT {_PRICED} THEN {_CLEAN.replace('@', _ITEM)} END
+  WHEN {_PRICED} THEN NULL WHEN {_ITEM} != '' THEN CASE WHEN regexp_matches({_CLEAN.replace('@', _ITEM)}, {_re(N.GOAL_MARK)}) THEN {_CLEAN.replace('@', _ITEM)} END
+  WHEN len(string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) >= 3 AND regexp_matches(x, {_re(N.GOAL_MARK)}) THEN {_CLEAN.replace('@', 'x')} END"""
 ORACLES = {
     "extract_financials": f"{_B} SELECT user_id, income{_D} AS income, 2 AS n_expenses, (rent + food){_D} AS expenses, (income - rent - food){_D} AS surplus, savings{_D} AS savings, debt{_D} AS debt, apr{_D} AS apr, 'Credit card debt' AS debt_name FROM budgets",
     "aggregate_financials": f"{_B} SELECT user_id, (income + 100){_D} AS income, (rent + food + 45){_D} AS expenses, savings{_D} AS savings, 1 AS n_debts FROM budgets",
@@ -147,18 +176,24 @@ ORACLES = {
       rem AS remaining_high_interest_debt, dp AS recommended_monthly_debt_payment, sv AS recommended_monthly_savings, CASE WHEN k = 'invest' THEN su ELSE 0.0{_D} END AS recommended_monthly_investing,
       mo::INTEGER AS estimated_months_to_debt_free, ({_CASES})::INTEGER AS estimated_months_to_emergency_target FROM g""",
     "payoff": f"{_B} SELECT user_id, ({_MONTHS.format(b='debt', p='(food / 4.0::DOUBLE)', r='(apr / 1200.0::DOUBLE)')})::INTEGER AS months FROM budgets",
-    "verified_blocks": f"""{_B} SELECT user_id, concat('Verified monthly summary:', chr(10), '- Income: ', {_money('income')}, chr(10), '- Total monthly expenses: ', {_money('rent + food')}, chr(10), '- Savings: ', {_money('savings')}, chr(10),
-      '- Credit card debt: ', {_money('debt')}, ' at ', apr, '% APR', chr(10), '- Monthly surplus: ', CASE WHEN income < rent + food THEN '-' ELSE '' END, {_money('abs(income - rent - food)')}) AS block FROM budgets""",
+    "verified_blocks": f"{_B} SELECT user_id, {VERIFIED_SQL} AS block FROM budgets",
     "formatted_amounts": f"SELECT c_custkey, concat(CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END, '$', regexp_replace(format('{{:,.2f}}', abs(c_acctbal)), '\\.00$', '')) AS amount FROM customer",
-    "goals": f"""WITH {INTENTS_SQL} SELECT msg_id, CASE WHEN msg_id % 10 IN (0, 2, 3, 7) THEN rtrim(text, ' .:-') ELSE '' END AS goals FROM intents""",
-    "follow_ups": f"WITH {INTENTS_SQL} SELECT msg_id, msg_id % 10 = 6 OR text LIKE 'What is the%' AS follow_up FROM intents",
-    "unsupported_claims": f"""{_B} SELECT user_id, x.place AS place, x.kind AS kind FROM (SELECT *, unnest([{{'place': 1, 'kind': 'requirement'}}, {{'place': 4, 'kind': 'returns'}}, {{'place': 5, 'kind': 'insufficiency'}}]) AS x FROM budgets)
-      WHERE x.place != 4 OR apr != 7""",
+    "goals": f"""WITH messages AS (SELECT {GOAL_COLUMNS} FROM part), lines AS (SELECT msg_id, {_LINES_OF} AS xs FROM messages),
+      headed AS (SELECT msg_id, xs, coalesce(list_position(list_transform(xs, lambda x: regexp_matches(x, {_re(N.GOAL_HEADER)})), true), 0) AS heading FROM lines),
+      found AS (SELECT msg_id, list_filter(list_transform(xs, lambda x, i: {_GOAL}), lambda y: y IS NOT NULL AND y != '') AS ys FROM headed)
+      SELECT msg_id, coalesce(array_to_string(list_filter(ys, lambda y, i: list_position(ys, y) = i), '; '), '') AS goals FROM found""",
+    "follow_ups": f"""WITH opened AS (SELECT {OPENED_COLUMNS} FROM conversations),
+      plain AS (SELECT conv_id, turn, trim(trim(regexp_replace(regexp_replace(lower(trim(text)), '[''’]', '', 'g'), '\\s+', ' ', 'g')), ' ?!,.;:') AS c FROM opened)
+      SELECT conv_id, turn, c != '' AND (list_contains({quoted(C.FOLLOW_UPS)}, c) OR len(list_filter({quoted(C.FOLLOW_UP_STARTS)}, lambda p: starts_with(c, p))) > 0
+        OR (len(string_split(c, ' ')) <= 2 AND list_contains(['why', 'how', 'what', 'explain'], string_split(c, ' ')[-1]))) AS follow_up FROM plain""",
+    "unsupported_claims": f"{_UNSUPPORTED} SELECT user_id, place, kind FROM flags WHERE kind IS NOT NULL",
     "refined_replies": f"{_B} SELECT user_id, (user_id % 4 + 1)::INTEGER % 4 AS attempt FROM budgets",
-    "guarded_replies": f"""{_B} SELECT user_id, user_id % 2 = 0 AS is_clarification, CASE WHEN user_id % 2 = 1 THEN length('Build a budget and keep a reserve.') ELSE
-      length('I don''t have enough information to determine that reliably, and I won''t invent a financial figure to fill the gap.') + CASE WHEN savings = 0 THEN 0 ELSE length(concat(chr(10), chr(10), 'Using the ', {_money('savings')},
+    "guarded_replies": f"""{_UNSUPPORTED}, bad AS (SELECT DISTINCT user_id FROM flags WHERE kind IS NOT NULL),
+      all_ AS (SELECT x.user_id, x.savings, array_to_string([{_CHOSEN}], ' ') AS reply, bad.user_id IS NOT NULL AS is_clarification FROM budgets x LEFT JOIN bad USING (user_id))
+      SELECT user_id, is_clarification, CASE WHEN NOT is_clarification THEN length(reply) ELSE
+      length('I don''t have enough information to determine that reliably, and I won''t invent a financial figure to fill the gap.') + CASE WHEN savings = 0 THEN 0 ELSE length(concat(chr(10), chr(10), 'Using the ', {money_sql('savings')},
       ' figure you mentioned, I can help you explore options that realistically fit that amount - but I will only work from numbers you provided or that we can calculate from them.')) END
-      + length(concat(chr(10), chr(10), 'If you share the specific details (for example, the costs involved, your available budget, or your income and expenses), I can reason from those exact numbers.')) END::INTEGER AS n_chars FROM budgets""",
+      + length(concat(chr(10), chr(10), 'If you share the specific details (for example, the costs involved, your available budget, or your income and expenses), I can reason from those exact numbers.')) END::INTEGER AS n_chars FROM all_""",
     "corrected_replies": """SELECT * FROM (VALUES (1, 'You should build an emergency fund before investing.'),
       (2, concat('Verified monthly summary:', chr(10), '- Income: $1,500', chr(10), '- Total monthly expenses: $450', chr(10), '- Monthly surplus: $1,050', chr(10), chr(10), 'Keep your buffer.')),
       (3, concat('1. Financial situation', chr(10), 'You earn well.', chr(10), '2. Investing strategy', chr(10), 'Wait for now.'))) v(id, reply)""",

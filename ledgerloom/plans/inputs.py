@@ -41,6 +41,16 @@ def budget_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUDGET_SQL = f"budgets AS (SELECT *, {_LINES} AS text FROM (SELECT {BUDGET_NUMBERS} FROM customer))"
 
+
+
+def money_sql(c: str) -> str:
+    return f"concat('$', replace(format('{{:,.2f}}', ({c})::DOUBLE), '.00', ''))"
+
+
+#: The verified summary of a budget in DuckDB.
+VERIFIED_SQL = f"""concat('Verified monthly summary:', chr(10), '- Income: ', {money_sql('income')}, chr(10), '- Total monthly expenses: ', {money_sql('rent + food')}, chr(10), '- Savings: ', {money_sql('savings')}, chr(10),
+  '- Credit card debt: ', {money_sql('debt')}, ' at ', apr, '% APR', chr(10), '- Monthly surplus: ', CASE WHEN income < rent + food THEN '-' ELSE '' END, {money_sql('abs(income - rent - food)')})"""
+
 # Fixed list of message templates; {} stands for a part's name.
 INTENTS = (
     "I want to save for a {}.",
@@ -64,8 +74,30 @@ def intent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("msg_id"), (F.col("p_partkey") % 37).alias("user_id"), F.expr(f"replace({_CHOICE}, '{{}}', p_name)").alias("text"))
 
 
+# Fixed list of openings of a message, alone or before a turn's text.
+OPENINGS = ("Why", "why not?", "What's the ", "ok", "I don't get it!", "So you're saying ", "HOW  come?", "that s it", "Tell me ", "Please explain", "and how", "Explain to me ", "", "how?!", "wait , ")
+_OPENING = "CASE (conv_id * 7 + turn) % 15 " + " ".join(f"WHEN {k} THEN '{o.replace(chr(39), chr(39) * 2)}'" for k, o in enumerate(OPENINGS)) + " END"
+OPENED_COLUMNS = f"conv_id, turn, concat({_OPENING}, CASE WHEN (conv_id + turn) % 2 = 0 THEN coalesce(text, '') ELSE '' END) AS text"
+
+
+def opened_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, text): turns of conversations behind the openings, every other one cut to its opening."""
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", OPENED_COLUMNS.split(", ", 2)[2])
+
+
+# Fixed list of messages of several lines; {} stands for a part's name.
+GOAL_MESSAGES = (
+    "My goals:@1. Pay off the {}@- Build an emergency fund.@Rent: $500@no item", "I want to buy a {}.@Savings = 300", "Goals@* retire early@* retire early@* see a {} $40",
+    "{}@2) reduce debt -@3) eat {}", "We will save for a {} and invest.@What I want to accomplish:@• start {}@free text to increase", "Nothing of the {} here", "set up {}", "become a {} owner : ")
+_GOALS = "CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN replace('{t}', '@', chr(10))" for k, t in enumerate(GOAL_MESSAGES)) + " END"
+GOAL_COLUMNS = f"p_partkey AS msg_id, replace({_GOALS}, '{{}}', p_name) AS text"
 INTENTS_SQL = f"intents AS (SELECT {INTENT_COLUMNS} FROM part)"
 
+def goal_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(msg_id, text): messages of several lines over the parts."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("msg_id"), F.expr(f"replace({_GOALS}, '{{}}', p_name)").alias("text"))
+
+
 ADVICE_CATEGORIES = ("Saving", "Budgeting", "Retirement", "Investing", "Debt", "Credit", "Insurance", "Taxes", "Concepts", "General")
 _CATEGORY = "CASE o_orderkey % 10 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(ADVICE_CATEGORIES)) + " END"
 ADVICE_COLUMNS = (
