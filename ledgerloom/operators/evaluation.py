@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import METRICS, category_of, quality_share, summarise, with_metrics
@@ -55,6 +55,16 @@ def describe(rows: DataFrame) -> DataFrame:
 __all__ = ["METRICS", "answered_questions", "box_plot", "by_category", "describe", "extremes", "histogram", "scatter", "scored"]
 
 
+# What a judge is asked, and how much of a response it reads.
+JUDGE_RUBRIC = "Scoring rubric: relevance 1-5 (addresses the question), helpfulness 1-5 (actionable, useful advice).\nOutput exactly: RELEVANCE: <1-5> and HELPFULNESS: <1-5>"
+JUDGE_READS = 1200
+
+
+def judge_prompt(question: Column, response: Column) -> Column:
+    """The message for a judge model; its reply goes to :func:`parse_judge`."""
+    return F.concat(F.lit("USER QUESTION:\n"), question, F.lit("\n\nASSISTANT RESPONSE:\n"), F.left(response, F.lit(JUDGE_READS)), F.lit("\n\n" + JUDGE_RUBRIC))
+
+
 def parse_judge(df: DataFrame, reply: str) -> DataFrame:
     """Adds judge_relevance and judge_helpfulness (1 to 5), null unless both can be read.
 

@@ -1,5 +1,6 @@
 """Cleaning, deduplication and chat records on small literal inputs."""
 
+import json
 from difflib import SequenceMatcher
 
 import pytest
@@ -114,5 +115,61 @@ def test_json_lines_round_trip(spark, tmp_path):
     chat = M.split(M.chat_records(rows))
     jsonl.write_splits(chat, str(tmp_path / "splits"))
     assert spark.read.json(str(tmp_path / "splits")).count() == 1
-    gold = jsonl.read_evaluation(spark, [str(tmp_path / "splits"), str(tmp_path / "missing")]).first()
+    gold = jsonl.read_evaluation(spark, [str(tmp_path / "splits")]).first()
     assert (gold["question"], gold["gold"]) == ("q", "a")
+
+
+def test_places_follow_file_names(spark, tmp_path):
+    """Files of unequal size, which the scan does not read in the order of their names."""
+    folder, want = tmp_path / "raw", []
+    folder.mkdir()
+    for name, n in (("a", 3), ("b", 4000), ("c", 50)):
+        rows = [f"{name}{k}" for k in range(n)]
+        want += rows
+        (folder / f"{name}.jsonl").write_text("\n\n".join(json.dumps({"question": r}) for r in rows))
+    got = jsonl.read_raw(spark, str(folder)).orderBy("ord").collect()
+    assert [r["question"] for r in got] == want and [r["ord"] for r in got] == list(range(len(want)))
+
+
+def test_evaluation_sources_and_sinks(spark, tmp_path):
+    (tmp_path / "curated.jsonl").write_text(json.dumps({"question": "How do I pay off my debt?", "gold": "g"}) + "\n" + json.dumps({"id": "x", "source": "s", "question": "q", "category": "own"}))
+    with pytest.warns(UserWarning, match="missing"):
+        got = jsonl.read_evaluation(spark, [str(tmp_path / "missing")], [str(tmp_path / "curated.jsonl")]).collect()
+    assert [(r["id"], r["source"]) for r in got] == [("curated-?", "curated"), ("x", "s")] and got[1]["category"] == "own" and got[0]["category"] != "own"
+    one = spark.createDataFrame([("1", "test", "debt", "q", "g", "a", 1, 2, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 4.0)], "id string, source string, category string, question string, gold string, generated string, "
+                                "word_count int, char_count int, length_adequacy double, repetition_score double, punctuation_score double, coherence double, keyword_coverage double, relevance double, rubric double")
+    summary = spark.createDataFrame([("rubric", 1, 4.0, 4.0, 0.0)], "metric string, n int, mean double, median double, stdev double")
+    by = spark.createDataFrame([("debt", 1, 4.0, 1.0, 1.0, 1.0, 1.0)], "category string, n int, rubric double, relevance double, keyword_coverage double, coherence double, share double")
+    jsonl.write_results(one, summary, str(tmp_path / "out"), by)
+    back = spark.read.option("header", "true").csv(str(tmp_path / "out/results.csv"))
+    assert tuple(back.columns) == jsonl.RESULT_COLUMNS and len(back.columns) == 17 and back.first()["judge_relevance"] is None
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "out/summary.txt")).collect()]
+    assert len(lines) == 3 and lines[2].split() == ["debt", "1", "4.000", "1.000", "1.000", "1.000", "100.0%"]
+    manifest = jsonl.write_samples(spark, {"one": one.selectExpr("id", "1 as ord")}, str(tmp_path / "samples")).collect()
+    assert [(r["source"], r["rows"]) for r in manifest] == [("one", 1)]
+
+
+def test_near_pairs_are_all_pairs(spark):
+    import random
+
+    random.seed(4)
+    base = ["what is the best way to save money for a house in the city this year " + "".join(random.choice("abcde ") for _ in range(n)) for n in (0, 40, 90)]
+    texts = []
+    for _ in range(70):
+        t = list(random.choice(base))
+        for _ in range(random.randint(0, 9)):
+            t[random.randrange(8, len(t))] = random.choice("xyz")
+        texts.append("".join(t))
+    rows = spark.createDataFrame(list(enumerate(texts)), "ord long, question string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i] + [0] * len(b), row
+            for j, y in enumerate(b, 1):
+                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
+        return row[-1]
+
+    keys = [" ".join(t.split()) for t in texts]
+    want = {(a, b): d for b in range(70) for a in range(b) if (d := distance(keys[a], keys[b])) <= int(max(len(keys[a]), len(keys[b])) * 0.08)}
+    assert {(r["a"], r["b"]): r["distance"] for r in C.near_pairs(rows).collect()} == want and want
