@@ -7,6 +7,8 @@ takes, for every column, the newest value since the last insert, and nothing aft
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,22 @@ class ChangeLog:
         return latest_view(self.changes(name), key)
 
 
+    def exists(self, name: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def compact(self, name: str, key: str) -> None:
+        """Replaces the changes by the current rows, each inserted at its last version. Nothing
+        else may write to the table meanwhile; frames read before must be read anew."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        new, old = f"{self.folder}/.{name}-{uuid.uuid4().hex}", f"{self.folder}/{name}"
+        rows = self.latest(name, key).withColumn("op", F.lit("I"))
+        rows.select(*[f.name for f in self._schema(name).fields]).write.parquet(new)
+        files = path(old).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.delete(path(old), True)
+        files.rename(path(new), path(old))
+
+
 def latest_view(changes: DataFrame, key: str) -> DataFrame:
     """The current rows of a change log. Partial maxima only; no window over a key's changes."""
     payload = [c for c in changes.columns if c not in (key, "version", "op")]

@@ -30,8 +30,9 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.log, self._lock, self._last = spark, ChangeLog(spark, folder, SCHEMAS), threading.Lock(), 0
-        for name in SCHEMAS:  # an empty first file, so that reading works
-            self.log.append(name, spark.createDataFrame([], self.log._schema(name)), "I")
+        for name in SCHEMAS:
+            if not self.log.exists(name):  # an empty first file, so that reading works
+                self.log.append(name, spark.createDataFrame([], self.log._schema(name)), "I")
 
     def _version(self) -> int:
         """Later calls get larger versions, within the process and by the clock across them."""
@@ -55,6 +56,11 @@ class Store:
         rows = self.table(name).where(F.col("id") == id_)
         return bool((rows if user_id is None else rows.where(F.col("user_id") == user_id)).limit(1).count())
 
+    def compact(self) -> None:
+        """Rewrites the tables as their current rows; see :meth:`ChangeLog.compact`."""
+        for name in SCHEMAS:
+            self.log.compact(name, "id")
+
     # conversations
 
     def create_conversation(self, messages: list[dict[str, str]], user_id: str = "anonymous", title: str | None = None) -> str:

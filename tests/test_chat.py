@@ -59,9 +59,23 @@ def test_store(spark, tmp_path):
     assert not s.update_memory(m, "u2", content="x") and s.update_memory(m, "u1", content="house", category=None)
     s.touch_memories(s.memories("u1").select("id"))
     assert [(r["content"], r["category"]) for r in s.memories("u1").collect()] == [("house", "goal")]
+    s.compact()
+    assert [(r["content"], r["category"]) for r in s.memories("u1").collect()] == [("house", "goal")] and s.log.changes("memories").count() == 1
     assert not s.delete_memory(m, "u2") and s.delete_memory(m, "u1") and s.memories("u1").count() == 0
 
 
+def test_operators_by_settings(spark):
+    records = spark.createDataFrame([(k, "a" if k % 2 else "b", f"how do I save money for a house number {k}?", "put some money aside every month") for k in range(20)], "ord long, source string, question string, answer string")
+    strict = config.settings({"cleaning": {"filtering": {"max_question_chars": 30}, "dedup": {"enabled": False}}, "split": {"train": 0.5, "val": 0.5, "test": 0.0, "stratify_by_source": False}}, {})
+    assert {r["reason"] for r in config.clean(records, strict).collect()} == {"question_too_long"} and {r["reason"] for r in config.clean(records, config.settings({}, {})).collect()} == {None}
+    assert {r["kind"] for r in config.dedup(records, strict).collect()} == {"kept"} and "fuzzy" in {r["kind"] for r in config.dedup(records, config.settings({}, {})).collect()}
+    rows = config.split(records.withColumn("id", records["ord"].cast("string")), strict)
+    assert rows.where("split = 'train'").count() == 10 and rows.where("split = 'test'").count() == 0
+    asked = spark.createDataFrame([(1, 7, "save for a house")], "query_id long, user_id long, text string")
+    held = spark.createDataFrame([(7, k, f"user wants to save for a house {k}", "goal", k) for k in range(5)], "user_id long, memory_id long, content string, category string, created_at long")
+    assert config.retrieve(asked, held, config.settings({"memory": {"top_k": 2}}, {})).count() == 2 and config.retrieve(asked, held, config.settings({"memory": {"relevance_threshold": 0.99}}, {})).count() == 0
+
+
 def test_settings():
     assert config.settings({"split": {"train": 0.7, "val": 0.2}}, {})["split"]["seed"] == 42
     assert config.settings({}, {"LEDGERLOOM_STORE": "/x"})["store"]["path"] == "/x"
