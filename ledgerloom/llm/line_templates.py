@@ -1,8 +1,11 @@
 """Line dedup: a log-template tree over all lines, recurring templates dropped.
 
 The tree has a fixed depth: token count, then the first ``DEPTH`` tokens, where a token with
-a digit is a variable field. In a leaf, lines that share at least ``ALIKE`` of their tokens,
-place by place, are one template, and the places where they differ become variable.
+a digit is a variable field. Lines of one leaf that agree in at least ``ALIKE`` of their
+tokens, place by place, are alike. Two lines that differ in d places agree in one of d + 1
+stretches of places, so a leaf is divided by what stands in each stretch, and within such a
+part every line that is like the part's most frequent line joins its template; the places
+where the lines of a template differ are its variable fields. No part is held by a task.
 
 A template recurs when it stands in documents that have nothing else in common. Documents
 are grouped first: those that agree in all ``ROWS`` min-hashes of any of ``BANDS`` bands, over
@@ -13,14 +16,15 @@ it is, and neighbours do not matter, so all lines of a shared passage fare alike
 only copies and near copies of a document share are kept. A document's only line is kept.
 
 Three passes over the documents, none of which moves texts between executors: leaves are
-counted; lines of leaves with ``LEAST`` lines are listed by document, in blocks of ``BLOCK``
-lines, with the document's bands; lines are dropped.
+counted; lines of leaves with ``LEAST`` lines are listed by document, with the document's bands;
+lines are dropped. Each cuts a batch of texts into lines and tokens in numpy. Tokens are runs of bytes other than
+space and U+0009..U+000D, digits are 0 to 9; hashes of lines and leaves have 64 bits.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,116 +33,122 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import discard, lean_batches, mix64, stored
+from .work import contained, discard, free_names, join_hot, mix64, stored
 
 DEPTH = 3
 ALIKE = 0.7
 LEAST = 3
 BANDS = 16
 ROWS = 5
-BLOCK = 200_000
 BITS = 1 << 23
 BROADCAST_LINES = 1 << 21
 _FIELD = "\x00"
-_PIECE = 1 << 20
+_PIECE = 1 << 18
+_SEEN_TEXTS = 500_000
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _DIGITS = np.isin(np.arange(256), np.arange(48, 58))
-_BYTES = mix64(np.arange(1, 64 * 256 + 1, dtype=np.uint64))
+_BYTES = np.where(_SPACES, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
+_STEP = 0x9E3779B97F4A7C15
 _FLIP, _TIMES = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).astype(np.uint32).reshape(2, -1) | np.uint32(1)
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _powers(step: int, n: int) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
+    if n:
+        out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-def masked(line: str) -> list[str] | None:
-    """The tokens of a line with variable fields; None for a blank line."""
-    tokens = line.split()
-    if not tokens:
-        return None
-    if line.isascii() and not any(c in line for c in "0123456789"):
-        return tokens
-    return [_FIELD if any(c.isdigit() for c in t) else t for t in tokens]
+_UP, _DOWN = _powers(_STEP, 2 * _PIECE), _powers(pow(_STEP, -1, 1 << 64), 2 * _PIECE)
 
 
-def path_of(tokens: list[str]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest("\x1f".join([str(len(tokens)), *tokens[:DEPTH]])))
+@dataclass
+class Lines:
+    """The lines with tokens of some texts, and their tokens, in order."""
 
+    token: np.ndarray  # a hash of each token, 0 for a variable field
+    token_text: np.ndarray  # the number of its text
+    text: np.ndarray  # of each line: the number of its text
+    place: np.ndarray  # its place among all lines of the text
+    first: np.ndarray  # its first token
+    size: np.ndarray  # how many tokens it has
+    path: np.ndarray  # its leaf
+    line: np.ndarray  # its masked tokens
 
-def line_id(tokens: list[str]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(" ".join(tokens)))
+    def combined(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A hash of each run of tokens; the runs do not overlap."""
+        if not len(first):
+            return np.empty(0, np.uint64)
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(first, size) + place
+        power = _UP if not len(place) or place.max() < len(_UP) else _powers(_STEP, int(place.max()) + 1)
+        total = np.add.reduceat((self.token[at] + np.uint64(1)) * power[place], np.cumsum(size) - size)
+        return mix64(total ^ mix64(size.astype(np.uint64)))
 
 
-def _lines(text: str | None) -> tuple[list[str], list[tuple[int, list[str], int]]]:
-    """All lines, and (place, tokens, path) of those that are not blank."""
-    lines = text.split("\n") if text else []
-    kept = []
-    for k, line in enumerate(lines):
-        if (tokens := masked(line)) is not None:
-            kept.append((k, tokens, path_of(tokens)))
-    return lines, kept
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[str]:
-    for batch in batches:
-        for text in batch.column(column):
-            if (value := text.as_py()):
-                yield value
-
-
-def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter[int] = Counter()
-
-    def out() -> pa.RecordBatch:
-        return pa.record_batch([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["path", "n"])
-
-    for text in _texts(batches):
-        counts.update({p for _, _, p in _lines(text)[1]})
-        if len(counts) > BLOCK:
-            yield out()
-            counts.clear()
-    yield out()
-
-
-def _minima(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS min-hashes for each of the texts that end at ``ends``."""
-    out = np.zeros((len(ends), BANDS * ROWS), np.uint32)
+def _cut(data: np.ndarray, ends: np.ndarray) -> Lines:
+    """The lines of texts that stand one after another in ``data`` and end at ``ends``."""
     space = _SPACES[data]
     first = ~space
     first[1:] &= space[:-1]
     begins = np.concatenate([[0], ends[:-1]])
-    begins = begins[begins < len(data)]
-    first[begins] = ~space[begins]
-    at = np.flatnonzero(~space)
-    start = np.flatnonzero(first[at])
+    inside = begins[begins < len(data)]
+    first[inside] = ~space[inside]
+    start = np.flatnonzero(first)
+    none = np.empty(0, np.int64)
     if not len(start):
+        return Lines(none.astype(np.uint64), none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
+    up, down = (_UP, _DOWN) if len(data) <= len(_UP) else (_powers(_STEP, len(data)), _powers(pow(_STEP, -1, 1 << 64), len(data)))
+    token = mix64(np.add.reduceat(_BYTES[data] * up[: len(data)], start) * down[start])
+    token[np.logical_or.reduceat(_DIGITS[data], start)] = 0
+    text = np.searchsorted(ends, start, "right")
+    newline = np.flatnonzero(data == 10)
+    row = np.searchsorted(newline, start)
+    change = np.ones(len(start), bool)
+    change[1:] = (row[1:] != row[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(change)
+    size = np.diff(np.append(head, len(start)))
+    out = Lines(token, text, text[head], row[head] - np.searchsorted(newline, begins)[text[head]], head, size, none, none)
+    path = mix64(size.astype(np.uint64))
+    for k in range(DEPTH):
+        path = mix64(path ^ (np.where(size > k, token[np.minimum(head + k, len(token) - 1)], np.uint64(0)) * np.uint64(_STEP) + np.uint64(k)))
+    out.path, out.line = path, out.combined(head, size)
+    return out
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[int, int, Lines]]:
+    """(first text, first text after it, lines) of stretches of a string column."""
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
+        yield at, to, _cut(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at])
+        at = to
+
+
+def _minima(token: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """BANDS * ROWS min-hashes over the 3-word shingles of each of n texts."""
+    out = np.zeros((n, BANDS * ROWS), np.uint32)
+    if not len(token):
         return out
-    place = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
-    word = np.add.reduceat(_BYTES[np.minimum(place, 63) * 256 + data[at]], start)
-    word[np.logical_or.reduceat(_DIGITS[data[at]], start)] = 0
-    doc = np.searchsorted(ends, at[start], "right")
-    shingle = word * np.uint64(0x9E3779B97F4A7C15)
+    shingle = token * np.uint64(_STEP)
     for k, factor in ((1, 0xC2B2AE3D27D4EB4F), (2, 0x165667B19E3779F9)):
         shingle[-k:] += np.uint64(k)
-        if len(word) > k:
-            shingle[:-k] += np.where(doc[k:] == doc[:-k], word[k:] * np.uint64(factor), np.uint64(k))
+        if len(token) > k:
+            shingle[:-k] += np.where(text[k:] == text[:-k], token[k:] * np.uint64(factor), np.uint64(k))
     shingle = mix64(shingle).astype(np.uint32)
-    some, begin = np.unique(doc, return_index=True)
+    some, begin = np.unique(text, return_index=True)
     for k in range(BANDS * ROWS):
         out[some, k] = np.minimum.reduceat((shingle ^ _FLIP[k]) * _TIMES[k], begin)
     return out
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
+def _bands(minima: np.ndarray) -> np.ndarray:
     """A row of BANDS keys for each text; near copies share at least one of them."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    parts, at = [], 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _PIECE, "right")) - 1)
-        parts.append(_minima(data[offsets[at] : offsets[to]], offsets[at + 1 : to + 1] - offsets[at]))
-        at = to
-    low = np.concatenate(parts).astype(np.uint64) if parts else np.empty((0, BANDS * ROWS), np.uint64)
+    low = minima.astype(np.uint64)
     keys = np.tile(np.arange(BANDS, dtype=np.uint64), (len(low), 1))
     for k in range(ROWS):
         keys = mix64(keys ^ (low[:, k::ROWS] << np.uint64(16)))
@@ -149,107 +159,126 @@ def _bit(values: np.ndarray) -> np.ndarray:
     return (mix64(values.view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def _is_set(bits: np.ndarray, path: int) -> bool:
-    slot = int(_bit(np.array([path], np.int64))[0])
-    return bool(bits[slot >> 3] >> (slot & 7) & 1)
-
-
-class _Busy:
-    """The Bloom bits of busy leaves, with answers kept for a while."""
+def _once(*columns: np.ndarray) -> np.ndarray:
+    """The places of the first of equal rows."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        key = mix64(key ^ c.astype(np.uint64)) + np.uint64(1)
+    return np.sort(np.unique(key, return_index=True)[1])
 
-    def __init__(self, bits: np.ndarray):
-        self.bits, self.known = bits, {}
 
-    def __call__(self, path: int) -> bool:
-        got = self.known.get(path)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            got = self.known[path] = _is_set(self.bits, path)
-        return got
+def _count_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each leaf, how many texts of a stretch have a line of it."""
+    for batch in batches:
+        for _, _, lines in _pieces(batch.column(0)):
+            path, n = np.unique(lines.path[_once(lines.text, lines.path)], return_counts=True)
+            yield pa.record_batch([pa.array(path.view(np.int64)), pa.array(n.astype(np.int64))], names=["path", "n"])
 
 
-def generalise(template: list[str], tokens: list[str]) -> list[str] | None:
-    """The template that covers both, or None if they are not alike."""
-    same = sum(a == b and a != _FIELD for a, b in zip(template, tokens))
-    fixed = sum(a != _FIELD for a in template) or 1
-    if same < ALIKE * fixed or same == 0:
-        return None
-    return [a if a == b else _FIELD for a, b in zip(template, tokens)]
+_SEEN = "path long, line long, body string, doc long, sketch array<long>"
+_BODY_FORM = "line long, nth int, part long"
 
 
-_SEEN = "path long, line long, body string, doc long, sketch array<long>"
+def _body(text: bytes, place: int) -> str:
+    """The masked tokens of a line."""
+    tokens = text.split(b"\n")[place].split()
+    return " ".join(_FIELD if any(48 <= c < 58 for c in t) else t.decode() for t in tokens)
 
 
 def _occurrences(bits_value):
-    """Distinct (line, document) of busy leaves; the first of a document has its sketch."""
+    """Distinct (line, document) of busy leaves; the first of a document has its sketch, and
+    the first of a line in a task its tokens."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        busy = _Busy(bits_value.value)
-        held: dict[tuple[int, int], tuple] = {}
-        bodies: set[int] = set()
-
-        def out() -> pa.RecordBatch:
-            columns = list(zip(*held.values())) if held else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "line", "body", "doc", "sketch"])
-
+        bits = bits_value.value
+        known: set[int] = set()
+        texts: set[int] = set()
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
-            sketches = _sketches(batch.column(0))
-            for n, text in enumerate(batch.column(0)):
-                kept = _lines(text := text.as_py())[1]
-                if len(kept) < 2 or not any(busy(p) for _, _, p in kept):
+            column = batch.column(0)
+            for at, to, lines in _pieces(column):
+                slot = _bit(lines.path)
+                of_text = np.bincount(lines.text, minlength=to - at)
+                keep = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool) & (of_text[lines.text] > 1)
+                keep = np.flatnonzero(keep)
+                keep = keep[_once(lines.text[keep], lines.line[keep])] if len(keep) else keep
+                some = np.unique(lines.text[keep])
+                if not len(some):
                     continue
-                doc = _signed(xxhash.xxh3_64_intdigest(text))
-                sketch = sketches[n].tolist()
-                for _, tokens, path in kept:
-                    if not busy(path):
-                        continue
-                    line = line_id(tokens)
-                    if (line, doc) in held:
-                        continue
+                raw = {t: column[at + t].as_buffer().to_pybytes() for t in some.tolist()}
+                docs = {t: xxhash.xxh3_64_intdigest(b) for t, b in raw.items()}
+                fresh = np.zeros(to - at, bool)
+                for t, doc in docs.items():
+                    if doc not in texts:  # copies of a text say nothing more
+                        texts.add(doc)
+                        fresh[t] = True
+                if len(texts) > _SEEN_TEXTS:
+                    texts.clear()
+                mine = fresh[lines.token_text]
+                bands = _bands(_minima(lines.token[mine], lines.token_text[mine], to - at))
+                columns: list[list] = [[], [], [], [], []]
+                last = -1
+                for k in keep[fresh[lines.text[keep]]].tolist():
+                    t, line = int(lines.text[k]), int(lines.line[k].view(np.int64))
                     body = None
-                    if line not in bodies:  # the words go along once in a block
-                        bodies.add(line)
-                        body = " ".join(tokens)
-                    held[line, doc] = (path, line, body, doc, sketch)
-                    sketch = None
-                if len(held) > BLOCK:
-                    yield out()
-                    held, bodies = {}, set()
-        yield out()
+                    if line not in known:
+                        known.add(line)
+                        body = _body(raw[t], int(lines.place[k]))
+                    for c, value in zip(columns, (int(lines.path[k].view(np.int64)), line, body, int(np.uint64(docs[t]).view(np.int64)), None if t == last else bands[t].tolist())):
+                        c.append(value)
+                    last = t
+                if len(known) > _SEEN_TEXTS:
+                    known.clear()
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "line", "body", "doc", "sketch"])
 
     return rows
 
 
-def _templates(key, data):
-    """The lines of one leaf, each with its template, named by its first line in order.
+def different(size: int) -> int:
+    """In how many of so many places alike lines may differ."""
+    return size - int(np.ceil(ALIKE * size - 1e-9))
+
 
-    ``data`` holds each distinct line of the leaf once. Common lines come first, so that a
-    template starts from its most frequent form.
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (line, nth, part): what stands in each stretch of the places after the leaf's tokens."""
+    for batch in batches:
+        lines, nths, parts = [], [], []
+        for line, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            tokens = body.split(" ")
+            rest, d = tokens[DEPTH:], different(len(tokens))
+            stretches = d + 1 if d < len(rest) else 1
+            cuts = [len(rest) * k // stretches for k in range(stretches + 1)]
+            for k in range(stretches):
+                own = rest[cuts[k] : cuts[k + 1]] if stretches > 1 or d < len(rest) else []
+                lines.append(line)
+                nths.append(k)
+                parts.append(int(np.uint64(xxhash.xxh3_64_intdigest(" ".join(own))).view(np.int64)))
+        yield pa.record_batch([pa.array(lines, pa.int64()), pa.array(nths, pa.int32()), pa.array(parts, pa.int64())], names=["line", "nth", "part"])
+
+
+def templates(lines: DataFrame) -> DataFrame:
+    """(line, template) for rows (path, line, body, n), each line of the leaves once.
+
+    A template is named by the smallest of its lines.
     """
-    data = data.sort_by([("n", "descending"), ("line", "ascending")])
-    lines, bodies = data.column("line").to_pylist(), data.column("body").to_pylist()
-    known: list[tuple[int, list[str]]] = []
-    names = []
-    for line, body in zip(lines, bodies):
-        tokens = body.split(" ")
-        for k, (name, template) in enumerate(known):
-            if (wider := generalise(template, tokens)) is not None:
-                known[k] = (name, wider)
-                names.append(name)
-                break
-        else:
-            known.append((line, tokens))
-            names.append(line)
-    return pa.table({"line": pa.array(lines, pa.int64()), "template": pa.array(names, pa.int64())})
+    parts = stored(lines.select("line", "body").mapInArrow(_parts, _BODY_FORM).join(lines.select("line", "path", "n"), "line").withColumn(
+        "key", F.xxhash64("path", "nth", "part")), "parts", 4)
+    heads = parts.groupBy("key").agg(F.max(F.struct("n", "line")).alias("h"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("h.line").alias("head"), "rows")
+    links = join_hot(parts.select("key", "line"), stored(heads, "heads", 16), "key", "rows").where("line != head").select("line", "head").distinct()
+    body = lines.select("line", F.split("body", " ").alias("tokens"))
+    both = links.join(body, "line").join(body.select(F.col("line").alias("head"), F.col("tokens").alias("other")), "head")
+    same = F.size(F.filter(F.zip_with("tokens", "other", lambda x, y: x == y), lambda e: e))
+    alike = (F.size("tokens") == F.size("other")) & (same >= F.ceil(F.size("tokens") * ALIKE - 1e-9))
+    found = components(both.where(alike).select(F.col("line").alias("u"), F.col("head").alias("v")))
+    return lines.select("line").join(found.withColumnRenamed("node", "line"), "line", "left").select("line", F.coalesce("component", "line").alias("template"))
 
 
 def _groups(seen: DataFrame) -> DataFrame:
     """Rows (doc, group) of the documents that are linked to another one."""
     keys = stored(seen.where("sketch is not null").select("doc", F.explode("sketch").alias("key")), "bands", 4)
-    least = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where(F.col("first") != F.col("last"))
-    found = components(keys.join(least.select("key", "first"), "key").where(F.col("doc") != F.col("first")).select(F.col("doc").alias("u"), F.col("first").alias("v")))
+    least = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
+    met = join_hot(keys, stored(least.select("key", "first", "n"), "shared", 16), "key", "n").where(F.col("doc") != F.col("first"))
+    found = components(met.select(F.col("doc").alias("u"), F.col("first").alias("v")))
     discard(keys)
     return found.select(F.col("node").alias("doc"), F.col("component").alias("group"))
 
@@ -257,7 +286,7 @@ def _groups(seen: DataFrame) -> DataFrame:
 def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(line ids to drop, counts by template: template, docs, outside)."""
     spark = documents.sparkSession
-    texts = documents.select(F.col(text_col).cast("string").alias("text"))
+    texts = documents.where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"))
     busy = texts.mapInArrow(_count_paths, "path long, n long").groupBy("path").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST)
     slots = busy.select("path").mapInArrow(
         lambda it: (pa.record_batch([pa.array(np.unique(_bit(b.column(0).to_numpy().astype(np.int64))).astype(np.int32))], names=["slot"]) for b in it), "slot int").distinct()
@@ -265,46 +294,58 @@ def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     at = slots.toArrow().column("slot").to_numpy()
     np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
     seen = stored(texts.mapInArrow(_occurrences(spark.sparkContext.broadcast(bits)), _SEEN), "lines")
-    lines = seen.groupBy("path", "line").agg(F.max("body").alias("body"), F.count("*").alias("n"))
+    lines = seen.groupBy("path", "line").agg(F.max("body").alias("body"), F.count_distinct("doc").alias("n"))
     leaf = lines.groupBy("path").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
-    template = stored(lines.join(leaf, "path").select("path", "line", "body", "n").groupBy("path").applyInArrow(_templates, "line long, template long"), "templates", 16)
+    lines = stored(lines.join(leaf, "path").select("path", "line", "body", "n"), "distinct", 16)
+    template = stored(templates(lines), "templates", 16)
     met = stored(seen.select("line", "doc").join(template, "line").select("template", "doc").distinct(), "met", 16)
     by_group = met.join(_groups(seen), "doc", "left").groupBy("template", F.coalesce("group", "doc").alias("group")).agg(F.count("*").alias("n"))
     counts = by_group.groupBy("template").agg(F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside"))
     recur = stored(counts.where(F.col("outside") >= LEAST), "recurring", 16)
     drop = stored(template.join(recur.select("template"), "template").select("line", "template"), "dropped", 16)
-    discard(seen, met, template)
+    discard(seen, met, template, lines)
     return drop, recur
 
 
-def _strip(text: str, dropped) -> tuple[str, list[int]]:
-    """The text without dropped lines, and their places; a document keeps its last line."""
-    lines, kept = _lines(text)
-    out = [k for k, tokens, _ in kept if dropped(line_id(tokens))] if len(kept) > 1 else []
-    if not out:
-        return text, []
-    if len(out) == len(kept):
-        out = out[:-1]
-    gone = set(out)
-    return "\n".join(line for k, line in enumerate(lines) if k not in gone), out
+def _gone(lines: Lines, hit: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """(text, places) of what goes from each text: its hits, but never its last or only line."""
+    of_text = np.bincount(lines.text)
+    hit = hit & (of_text[lines.text] > 1)
+    for t in np.unique(lines.text[hit]).tolist():
+        at = np.flatnonzero(hit & (lines.text == t)) if len(of_text) == 1 else np.arange(*np.searchsorted(lines.text, [t, t + 1]))
+        at = at[hit[at]]
+        places = lines.place[at].tolist()
+        yield t, places[:-1] if len(places) == of_text[t] else places
 
 
 def _dropper(value, at: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = frozenset(value.value.tolist())
+        ids = value.value
         for batch in batches:
-            texts, places = [], []
-            for text in batch.column(at):
-                value_, out = _strip(text.as_py(), ids.__contains__) if text.is_valid else (None, [])
-                texts.append(value_)
-                places.append(out)
+            column = batch.column(at)
+            changed: dict[int, tuple[str, list[int]]] = {}
+            for begin, _, lines in _pieces(column):
+                slot = np.minimum(np.searchsorted(ids, lines.line), max(len(ids) - 1, 0))
+                hit = ids[slot] == lines.line if len(ids) else np.zeros(len(lines.line), bool)
+                if not hit.any():
+                    continue
+                for t, places in _gone(lines, hit):
+                    gone = set(places)
+                    text = "\n".join(x for k, x in enumerate(column[begin + t].as_py().split("\n")) if k not in gone)
+                    changed[begin + t] = (text, places)
             columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.record_batch([*columns, pa.array(places, pa.list_(pa.int32()))], names=[*batch.schema.names, "dropped_lines"])
+            if changed:
+                texts = column.to_pylist()
+                for k, (text, _) in changed.items():
+                    texts[k] = text
+                columns[at] = pa.array(texts, pa.string())
+            places = pa.array([changed[k][1] if k in changed else [] for k in range(batch.num_rows)], pa.list_(pa.int32()))
+            yield pa.record_batch([*columns, places], names=[*batch.schema.names, "dropped_lines"])
 
     return rows
 
 
+@contained
 def drop_recurring_lines(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """All rows and columns, the text without recurring lines, and ``dropped_lines``: the
     places (from 0, among all lines) of the lines that went.
@@ -314,38 +355,41 @@ def drop_recurring_lines(documents: DataFrame, text_col: str = "text") -> DataFr
     names, except that an input column ``dropped_lines`` is replaced.
     """
     spark = documents.sparkSession
-    lean_batches(spark)
     docs = documents.drop("dropped_lines").withColumn(text_col, F.col(text_col).cast("string"))
     drop, _ = recurring_lines(docs, text_col)
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema) + ", dropped_lines array<int>"
     at = docs.columns.index(text_col)
     if drop.count() <= BROADCAST_LINES:
-        ids = drop.select("line").toArrow().column("line").to_numpy()
+        ids = np.sort(drop.select("line").toArrow().column("line").to_numpy().astype(np.int64).view(np.uint64))
         return docs.mapInArrow(_dropper(spark.sparkContext.broadcast(ids), at), kinds)
     return _dropped_by_join(docs, drop, text_col)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, check, line, place, of) of texts with more than one line."""
     for batch in batches:
-        keys, ids, places, alone = [], [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            kept = _lines(text)[1]
-            if len(kept) > 1:
-                for k, tokens, _ in kept:
-                    keys.append(key)
-                    ids.append(line_id(tokens))
-                    places.append(k)
-                    alone.append(len(kept))
-        yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(alone, pa.int32())], names=["key", "line", "place", "of"])
+        for at, to, lines in _pieces(batch.column(2)):
+            of = np.bincount(lines.text, minlength=to - at)[lines.text]
+            some = np.flatnonzero(of > 1)
+            own = pa.array(at + lines.text[some])
+            yield pa.record_batch([
+                batch.column(0).take(own), batch.column(1).take(own), pa.array(lines.line[some].view(np.int64)), pa.array(lines.place[some].astype(np.int32)),
+                pa.array(of[some].astype(np.int32))], names=["key", "check", "line", "place", "of"])
 
 
 def _dropped_by_join(docs: DataFrame, drop: DataFrame, text_col: str) -> DataFrame:
-    """The same result where the dropped lines are too many to broadcast: by equi-joins."""
-    key = F.xxhash64(text_col)
-    lines = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(_places, "key long, line long, place int, of int").distinct()
-    gone = lines.join(drop.select("line"), "line").groupBy("key").agg(F.sort_array(F.collect_set("place")).alias("gone"), F.max("of").alias("of"))
-    gone = gone.select(F.col("key").alias("__key"), F.when(F.size("gone") == F.col("of"), F.slice("gone", 1, F.size("gone") - 1)).otherwise(F.col("gone")).alias("__gone"))
-    both = docs.withColumn("__key", key).join(gone, "__key", "left").withColumn("dropped_lines", F.coalesce("__gone", F.array().cast("array<int>")))
+    """The same result where the dropped lines are too many to broadcast: by equi-joins.
+
+    Texts are known by 128 bits of their hashes.
+    """
+    key, check, gone = free_names(docs, "key", "check", "gone")
+    hashes = {key: F.xxhash64(text_col), check: F.xxhash64(F.lit(3), text_col)}
+    lines = docs.where(F.col(text_col).isNotNull()).select(hashes[key].alias("key"), hashes[check].alias("check"), F.col(text_col).alias("text")).mapInArrow(
+        _places, "key long, check long, line long, place int, of int").distinct()
+    places = lines.join(drop.select("line"), "line").groupBy("key", "check").agg(F.sort_array(F.collect_set("place")).alias("gone"), F.max("of").alias("of"))
+    places = places.select(
+        F.col("key").alias(key), F.col("check").alias(check), F.when(F.size("gone") == F.col("of"), F.slice("gone", 1, F.size("gone") - 1)).otherwise(F.col("gone")).alias(gone))
+    both = docs.withColumns(hashes).join(places, [key, check], "left").withColumn("dropped_lines", F.coalesce(gone, F.array().cast("array<int>")))
     kept = F.filter(F.transform(F.split(text_col, "\n"), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: ~F.array_contains("dropped_lines", s["k"]))
     text = F.when(F.size("dropped_lines") == 0, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return both.withColumn(text_col, text).drop("__key", "__gone")
+    return both.withColumn(text_col, text).drop(key, check, gone)
