@@ -162,6 +162,26 @@ loose AS (SELECT user_id, place, s, amounts, percents, apr, len(list_filter(amou
 flags AS (SELECT user_id, place, unnest([CASE WHEN loose AND regexp_matches(s, {_re(C.REQUIREMENT)}) THEN 'requirement' END,
   CASE WHEN len(amounts) > 0 AND regexp_matches(s, {_re(C.INSUFFICIENCY)}) AND regexp_matches(s, {_re(C.COST_CONTEXT)}) THEN 'insufficiency' END,
   CASE WHEN len(list_filter(percents, lambda p: abs(p - apr) > 0.01)) > 0 AND regexp_matches(s, {_re(C.RETURNS)}) THEN 'returns' END]) AS kind FROM loose)"""
+_COMPUTED = _KNOWN.replace("[income, savings, rent, food, debt, ex, su, ", "[ex, su, ").replace("i <= 7", "i <= 2")
+_LABELS = "[{'label': 'income', 'value': income}, {'label': 'surplus', 'value': su}, {'label': 'savings', 'value': savings}, {'label': 'expenses', 'value': ex}, {'label': 'rent', 'value': rent}, {'label': 'food', 'value': food}, {'label': 'credit card debt', 'value': debt}]"
+_CATEGORY = f"""CASE WHEN list_contains(said, round(f.a, 2)) OR (f.pc AND round(f.a, 2) = apr) THEN 'USER_PROVIDED' WHEN NOT f.pc AND f.grounded THEN 'CALCULATED' WHEN f.pc AND round(f.a, 2) = 10 THEN 'ASSUMPTION'
+  WHEN requirement THEN 'UNKNOWN' WHEN regexp_matches(lower(s), {_re(C.ASSUMPTION)}) THEN 'ASSUMPTION' WHEN regexp_matches(lower(s), {_re(C.ESTIMATE)}) THEN 'ESTIMATE' ELSE 'UNKNOWN' END"""
+_QUOTED = "chr(39), s, chr(39)"
+_JUDGED = f"""{_UNSUPPORTED}, facts AS (SELECT user_id, apr, [income, savings, rent, food, debt]::DOUBLE[] AS said, {_COMPUTED.replace("[ex", "[ex::DOUBLE")} AS twice, {_LABELS} AS labels, lower(text) AS context FROM g),
+whole AS (SELECT user_id, place, s, amounts, percents, m, said, apr, labels, context, list_filter(twice, lambda g, i: list_position(twice, g) = i) AS known FROM (SELECT * EXCLUDE known FROM found) JOIN facts USING (user_id, apr)),
+marked AS (SELECT w.*, coalesce(loose AND regexp_matches(w.s, {_re(C.REQUIREMENT)}), false) AS requirement,
+  len(w.amounts) > 0 AND regexp_matches(w.s, {_re(C.INSUFFICIENCY)}) AND regexp_matches(w.s, {_re(C.COST_CONTEXT)}) AS insufficiency,
+  (len(w.amounts) > 0 AND len(list_filter(labels, lambda x: contains(lower(w.s), x.label) AND list_min(list_transform(w.amounts, lambda a: abs(a - x.value))) > 1)) > 0)
+    OR (len(w.percents) > 0 AND contains(lower(w.s), 'credit card debt') AND list_min(list_transform(w.percents, lambda a: abs(a - w.apr))) > 0.01) AS contradiction,
+  regexp_extract_all(lower(w.s), {_re(C.DRIFT)}, 1) AS hits FROM whole w JOIN (SELECT user_id, place, loose FROM loose) l USING (user_id, place)),
+figures AS (SELECT *, list_concat(list_transform(amounts, lambda a: {{'a': a, 'pc': false, 'grounded': {_GROUNDED}}}), list_transform(percents, lambda a: {{'a': a, 'pc': true, 'grounded': false}})) AS fs FROM marked),
+one AS (SELECT * EXCLUDE (fs), unnest(fs) AS f, unnest(range(len(fs)))::INTEGER AS nth FROM figures),
+judged AS (SELECT user_id, place, nth, s, f, {_CATEGORY} AS category FROM one),
+drifts AS (SELECT *, len(fs) > 0 AND len(hits) > 0 AND len(list_filter(hits, lambda h: contains(context, h))) = 0 AS drift FROM figures),
+issues AS (SELECT user_id, 0 AS kind, place, nth, concat('Presents ', CASE WHEN f.pc THEN concat(regexp_replace(f.a::VARCHAR, '\\.0$', ''), '%') ELSE {money_sql('f.a')} END, ' as a fact without support: ', {_QUOTED}) AS issue FROM judged WHERE category = 'UNKNOWN'
+  UNION ALL SELECT user_id, 1, place, 0, concat('Unsupported financial claim: ', {_QUOTED}) FROM drifts WHERE insufficiency
+  UNION ALL SELECT user_id, 2, place, 0, concat('Contradicts a figure the user already provided: ', {_QUOTED}) FROM drifts WHERE contradiction
+  UNION ALL SELECT user_id, 3, place, 0, concat('Topic drift / numeric claim unrelated to current intent: ', {_QUOTED}) FROM drifts WHERE drift)"""
 _LINES_OF = "list_transform(string_split(text, chr(10)), lambda x: trim(x))"
 _CLEAN = "trim(@, ' .:-')"
 _ITEM = f"regexp_extract(x, {_re(N.GOAL_ITEM)}, 1)"
@@ -186,6 +206,10 @@ ORACLES = {
       plain AS (SELECT conv_id, turn, trim(trim(regexp_replace(regexp_replace(lower(trim(text)), '[''’]', '', 'g'), '\\s+', ' ', 'g')), ' ?!,.;:') AS c FROM opened)
       SELECT conv_id, turn, c != '' AND (list_contains({quoted(C.FOLLOW_UPS)}, c) OR len(list_filter({quoted(C.FOLLOW_UP_STARTS)}, lambda p: starts_with(c, p))) > 0
         OR (len(string_split(c, ' ')) <= 2 AND list_contains(['why', 'how', 'what', 'explain'], string_split(c, ' ')[-1]))) AS follow_up FROM plain""",
+    "claim_kinds": f"{_JUDGED} SELECT place, nth, category, count(*) AS n FROM judged GROUP BY ALL",
+    "contradictions": f"{_JUDGED} SELECT place, count_if(contradiction) AS n_contradictions, count_if(drift) AS n_drifts FROM drifts GROUP BY place",
+    "reply_verdicts": f"""{_JUDGED}, firsts AS (SELECT user_id, issue, min(kind * 10000 + place * 100 + nth) AS o FROM issues GROUP BY ALL), told AS (SELECT user_id, string_agg(issue, chr(10) ORDER BY o) AS issues FROM firsts GROUP BY user_id)
+      SELECT user_id, told.issues IS NULL AS passed, coalesce(told.issues, '') AS issues FROM budgets LEFT JOIN told USING (user_id)""",
     "unsupported_claims": f"{_UNSUPPORTED} SELECT user_id, place, kind FROM flags WHERE kind IS NOT NULL",
     "refined_replies": f"{_B} SELECT user_id, (user_id % 4 + 1)::INTEGER % 4 AS attempt FROM budgets",
     "guarded_replies": f"""{_UNSUPPORTED}, bad AS (SELECT DISTINCT user_id FROM flags WHERE kind IS NOT NULL),
