@@ -82,3 +82,18 @@ def test_settings():
     assert config.for_source(config.settings({}, {}), "financebench")["filtering"]["min_answer_words"] == 1
     with pytest.raises(ValueError):
         config.settings({"split": {"train": 0.9}}, {})
+
+
+def test_requests(spark, tmp_path):
+    from ledgerloom.operators import requests as R
+    from ledgerloom.operators.tables import Store
+
+    s = Store(spark, str(tmp_path / "requests"))
+    id_ = s.create_conversation([{"role": "user", "content": "How do I save?"}])
+    assert R.rename_conversation(s, id_, "Saving") == id_ and R.get_conversation(s, id_).first()["title"] == "Saving" and R.list_conversations(s).count() == 1
+    for fails in (lambda: R.get_advice(s, "x"), lambda: R.save_advice(s, "x"), lambda: R.get_conversation(s, "x"), lambda: R.delete_conversation(s, id_, "other"), lambda: R.delete_memory(s, "x")):
+        with pytest.raises(R.NotFound):
+            fails()
+    with pytest.raises(ValueError):
+        R.rename_conversation(s, id_, "")
+    assert R.delete_conversation(s, id_) == id_ and R.list_conversations(s).count() == 0 and R.list_memories(s).count() == R.list_advice(s).count() == 0
