@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,8 +33,17 @@ def collapse_light(c: Column, max_newlines: int = 2) -> Column:
     return strip(F.regexp_replace(c, r"\n{3,}", "\n" * max_newlines))
 
 
+def named_once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where the plan holds c only once however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def fix_replacement(c: Column) -> Column:
     """U+FFFD between letters to an apostrophe, elsewhere to nothing."""
+    return named_once(c, lambda x: F.when(F.contains(x, F.lit("�")), _fixed(x)).otherwise(x))
+
+
+def _fixed(c: Column) -> Column:
     return F.replace(F.regexp_replace(c, "(?<=[A-Za-z])�(?=[A-Za-z])", "'"), F.lit("�"), F.lit(""))
 
 
@@ -107,6 +116,12 @@ def count_pii(c: Column) -> Column:
     return total
 
 
+def _redacted(c: Column, kind: str, pattern: str) -> Column:
+    """One kind of personal data to its mark; texts without an @ or a digit are passed by."""
+    held = (lambda x: F.contains(x, F.lit("@"))) if kind == "EMAIL" else lambda x: x.rlike("[0-9]")
+    return named_once(c, lambda x: F.when(held(x), F.regexp_replace(x, pattern, f"[{kind}]")).otherwise(x))
+
+
 def with_pii_count(df: DataFrame, texts: Sequence[str], name: str) -> DataFrame:
     """Adds how many replacements :func:`redact_pii` makes in some columns of texts.
 
@@ -119,32 +134,37 @@ def with_pii_count(df: DataFrame, texts: Sequence[str], name: str) -> DataFrame:
         mark = f"[{kind}]"
         before = {t: f"__{n}_{k}" for k, t in enumerate(texts)}
         after = {t: f"__{n}_{k}_" for k, t in enumerate(texts)}
-        out = out.withColumns({before[t]: now[t] for t in texts}).withColumns({after[t]: F.regexp_replace(before[t], pattern, mark) for t in texts})
+        out = out.withColumns({before[t]: now[t] for t in texts}).withColumns({after[t]: _redacted(F.col(before[t]), kind, pattern) for t in texts})
         more = [occurrences(F.col(after[t]), mark) - occurrences(F.col(before[t]), mark) for t in texts]
         out = out.withColumn(name, sum(more, F.col(name)))
         now = {t: F.col(after[t]) for t in texts}
     return out.select(*[c for c in columns if c != name], name)
 
 
-_STEPS = {"control": strip_control, "html": strip_html, "urls": strip_urls, "pii": redact_pii}
+#: Steps of the normalisation, and what a text must contain for one to change it.
+_STEPS = {"control": (strip_control, None), "html": (strip_html, "<"), "urls": (strip_urls, "://")}
 
 
-def with_normal_text(df: DataFrame, texts: Sequence[str], light: bool = False, unicode: bool = True, max_newlines: int = 2, **on: bool) -> DataFrame:
+def with_normal_text(df: DataFrame, texts: Sequence[str], light: bool = False, unicode: bool = True, pii: bool = True, max_newlines: int = 2, **on: bool) -> DataFrame:
     """The texts normalised in place, null to an empty text: replacement characters, Unicode,
     control characters, HTML, URLs, personal data, white space. A step whose name is given
-    as False is left out.
+    as False is left out. A filter on the result is not moved before it, where it would
+    compute the texts anew for each time that it names them: they come out of a generator.
     """
     out = df.withColumns({t: fix_replacement(F.coalesce(F.col(t), F.lit(""))) for t in texts})
     if unicode:
         out = out.withColumns({t: normalize_unicode(F.col(t)) for t in texts})
 
     def rest(c: Column) -> Column:
-        for name, step in _STEPS.items():
+        for name, (step, mark) in _STEPS.items():
             if on.get(name, True):
-                c = step(c)
+                c = named_once(c, lambda x: F.when(F.contains(x, F.lit(mark)), step(x)).otherwise(x)) if mark else step(c)
+        for kind, pattern in PII if pii else ():
+            c = _redacted(c, kind, pattern)
         return collapse_light(c, max_newlines) if light else squeeze(c)
 
-    return out.withColumns({t: rest(F.col(t)) for t in texts})
+    normal = F.struct(*[rest(F.col(t)).alias(t) for t in texts])
+    return out.select(*[c for c in df.columns if c not in texts], F.inline(F.array(normal))).select(*df.columns)
 
 
 def alpha_ratio(c: Column) -> Column:

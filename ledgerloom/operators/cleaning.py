@@ -77,7 +77,8 @@ def record_id(source: Column, ord_: Column) -> Column:
 
 
 def reason_counts(flagged: DataFrame) -> DataFrame:
-    return flagged.where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
+    counts = flagged.groupBy("source", "reason").agg(F.count("reason").alias("n"))
+    return counts.where("n > 0")
 
 
 def reason_pivot(flagged: DataFrame) -> DataFrame:
