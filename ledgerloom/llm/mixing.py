@@ -10,6 +10,9 @@ what is left of the target, so sources interleave evenly in any stretch of the s
 B = total / 2^20, at least 1 and at most 4096. A source's tokens are its target, rounded.
 Prefix sums and ranks go through chunks of about ``CHUNK`` rows, whose totals
 are summed first: no window spans a source, however large it is.
+
+Sizes, places and pieces are narrow rows; a text moves once at most, when it meets its spans,
+and every partition of the mix goes in the order of the schedule.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import stored
+from .work import contained, contained_lazy, discard, free_names, stored
 
 CHUNK = 4096
 SLOTS = 1 << 20
@@ -69,9 +72,10 @@ def _running(df: DataFrame, key: list[str], chunk: str, order: list[str], amount
         "before", F.col("chunk_before") + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop("chunk_before")
 
 
-def row_key(documents: DataFrame) -> Column:
-    """A hash of all columns: rows that share it are the same row."""
-    return F.xxhash64(F.lit(5), *[F.col(f"`{c}`") for c in documents.columns])
+def row_key(documents: DataFrame) -> tuple[Column, Column]:
+    """128 bits of hash of all columns: rows that share them are the same row."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return F.xxhash64(F.lit(5), *columns), F.xxhash64(F.lit(-7), *reversed(columns))
 
 
 def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -79,9 +83,10 @@ def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
     Rows are doc_id, the row's key and the size of its text; no text moves.
     """
+    key, check = row_key(documents)
     rows = stored(documents.select(
         "doc_id", word_count("text").alias("mix_size"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("mix_source"),
-        row_key(documents).alias("mix_hash")), "sizes")
+        key.alias("mix_hash"), check.alias("mix_check")), "sizes")
     totals = rows.groupBy("no_source", F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
     totals = stored(totals, "totals", 16)
     sources = stored(source_targets(totals).join(totals.select("no_source", "source", "n_docs"), ["no_source", "source"]), "sources", 16)
@@ -90,7 +95,7 @@ def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     keyed = rows.join(sources.select("no_source", F.col("source").alias("mix_source"), "sid", "source_size", "target", "n_docs"), ["no_source", "mix_source"])
     # The hash is uniform, so its upper part deals a source's rows into chunks of like size.
     chunk = F.floor((F.col("mix_hash") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("n_docs") / CHUNK)).cast("long")
-    placed = _running(keyed.withColumn("mix_chunk", chunk), ["sid"], "mix_chunk", ["mix_hash", "doc_id"], F.col("mix_size"))
+    placed = _running(keyed.withColumn("mix_chunk", chunk), ["sid"], "mix_chunk", ["mix_hash", "mix_check"], F.col("mix_size"))
     return placed, sources, block
 
 
@@ -139,6 +144,7 @@ def mix(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, pieces(placed, sources, block)
 
 
+@contained
 def mixed_sizes(documents: DataFrame) -> DataFrame:
     """Rows (doc_id, size, source_size, target, taken), one for each document."""
     placed, cut = mix(documents)
@@ -149,19 +155,28 @@ def mixed_sizes(documents: DataFrame) -> DataFrame:
         none.select(*columns, F.lit(0).cast("long").alias("taken")))
 
 
+@contained_lazy
 def mixed_documents(documents: DataFrame) -> DataFrame:
     """The mix as documents: each row once for every time that it is taken, cut where the
-    mix stops within it. Columns as in ``documents``; n_chars, if there, fits the text."""
+    mix stops within it. Columns as in ``documents``, whatever their names; n_chars, if
+    there, fits the text. Partitions go in the order of the schedule's slots."""
     columns = documents.columns
+    key, check, slot, length, size = free_names(documents, "mix_hash", "mix_check", "mix_slot", "mix_length", "mix_size")
     placed, cut = mix(documents)
-    spans = cut.groupBy("sid", "before", "epoch").agg(F.min("start").alias("mix_start"), F.sum("length").alias("mix_length"))
-    # Rows that are the same share a key; any pairing of them by number will do.
-    nth = F.row_number().over(Window.partitionBy("mix_hash").orderBy("mix_hash"))
-    spans = placed.where("mix_size > 0").withColumn("mix_nth", nth).select("sid", "before", "mix_hash", "mix_nth", "mix_size").join(spans, ["sid", "before"]).drop("sid", "before", "epoch")
-    rows = documents.withColumn("mix_hash", row_key(documents)).withColumn("mix_nth", nth).join(spans, ["mix_hash", "mix_nth"])
-    words = F.slice(F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != ""), (F.col("mix_start") + 1).cast("int"), F.col("mix_length").cast("int"))
-    text = F.when(F.col("mix_length") == F.col("mix_size"), F.col("text")).otherwise(F.array_join(words, " "))
-    rows = rows.withColumn("text", text)
+    spans = cut.groupBy("sid", "before", "epoch").agg(F.min("slot").alias(slot), F.sum("length").alias(length))
+    spans = stored(placed.where("mix_size > 0").select("sid", "before", F.col("mix_hash").alias(key), F.col("mix_check").alias(check), F.col("mix_size").alias(size)).join(
+        spans, ["sid", "before"]).select(key, check, slot, length, size), "spans", 4)
+    again = stored(placed.groupBy(F.col("mix_hash").alias(key), F.col("mix_check").alias(check)).agg(F.count("*").alias("n")).where("n > 1").select(key, check), "repeated", 16)
+    discard(placed)
+    hashed = dict(zip((key, check), row_key(documents)))
+    rows = documents.withColumns(hashed)
+    if again.limit(1).count():
+        # Rows that are the same in all columns meet the spans of all of them, once.
+        same = rows.join(again, [key, check], "left_semi").dropDuplicates([key, check])
+        rows = rows.join(again, [key, check], "left_anti").unionByName(same)
+    rows = rows.join(spans, [key, check]).sortWithinPartitions(slot)
+    words = F.slice(F.filter(F.split("text", f"[{_SPACE}]+"), lambda w: w != ""), F.lit(1), F.col(length).cast("int"))
+    rows = rows.withColumn("text", F.when(F.col(length) == F.col(size), F.col("text")).otherwise(F.array_join(words, " ")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return rows.select(*columns)
+    return rows.select(*[F.col(f"`{c}`") for c in columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import contained, free_names, join_hot, stored
+from .work import contained_lazy, free_names, join_hot, stored
 
 LABELLED = 40_000
 BINS = 12
@@ -176,7 +176,7 @@ def site_rates(scored: DataFrame, labels: DataFrame | None = None) -> tuple[Data
     return sites, centre, k_host, k_path
 
 
-@contained
+@contained_lazy
 def classify(
     documents: DataFrame, evidence: Evidence, labels: DataFrame | None = None, text_col: str = "text", host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id",
     keep_text: bool = True,
@@ -196,17 +196,17 @@ def classify(
     scorer = _scorer(spark.sparkContext.broadcast(evidence), docs.columns.index(text_col), [docs.columns.index(c) for c in columns], odds)
     site = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     measured = stored(docs.mapInArrow(scorer, f"{kinds}, {odds} double"), "measured").withColumns({host: site(host_col), path: site(path_col)})
-    own = 1 / (1 + F.exp(-F.col(odds)))
-    sites, centre, k_host, k_path = site_rates(measured.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), own.alias("p")), labels)
+    p = lambda c: 1 / (1 + F.exp(-c))
+    sites, centre, k_host, k_path = site_rates(measured.select(F.col(id_col).alias("doc_id"), F.col(host).alias("host"), F.col(path).alias("path"), p(F.col(odds)).alias("p")), labels)
+    packed = sites.select(F.struct("host", "path").alias("key"), "rows", F.struct("n", "good", "hn", "hgood").alias("site"))
+    rows = measured.select(F.struct(F.col(host).alias("host"), F.col(path).alias("path")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.col(odds).alias("odds"))
+    met = rows.join(F.broadcast(packed.drop("rows")), "key") if sites.count() <= BROADCAST_SITES else join_hot(rows, packed, "key", "rows")
     # What the site says without this document.
-    less, mine = F.when(F.col(odds).isNull(), 0.0).otherwise(SOFT), F.coalesce(SOFT * own, F.lit(0.0))
+    less, mine = F.when(F.col("odds").isNull(), 0.0).otherwise(SOFT), F.coalesce(SOFT * p(F.col("odds")), F.lit(0.0))
     s = lambda c: F.col("site")[c]
     host_rate = (s("hgood") - mine + k_host * centre) / (s("hn") - less + k_host)
     rate = (s("good") - mine + k_path * host_rate) / (s("n") - less + k_path)
     safe = F.least(F.greatest(rate, F.lit(1e-4)), F.lit(1 - 1e-4))
     shift = F.log(safe / (1 - safe)) - float(np.log(centre / (1 - centre)))
-    packed = sites.select(F.struct("host", "path").alias("key"), "rows", F.struct("n", "good", "hn", "hgood").alias("site"))
-    rows = measured.select(F.struct(F.col(host).alias("host"), F.col(path).alias("path")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in columns], odds).alias("row"))
-    met = rows.join(F.broadcast(packed.drop("rows")), "key") if sites.count() <= BROADCAST_SITES else join_hot(rows, packed, "key", "rows")
-    full = met.select("site", "row.*").withColumn("quality_score", F.when(F.col(odds).isNull(), 0.0).otherwise(1 / (1 + F.exp(-(F.col(odds) + shift)))))
-    return full.withColumn("quality_kept", F.col("quality_score") >= KEEP).select(*[F.col(f"`{c}`") for c in columns], "quality_score", "quality_kept")
+    score = F.when(F.col("odds").isNull(), 0.0).otherwise(p(F.col("odds") + shift))
+    return met.select("row.*", score.alias("quality_score")).withColumn("quality_kept", F.col("quality_score") >= KEEP)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -62,28 +63,47 @@ def contained(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     Arrow batch size, small meanwhile, is put back: texts in a batch are held several times
     over by a Python worker, and 10,000 of them are a lot.
     """
+    return _contained(operator, True)
 
+
+def contained_lazy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """As :func:`contained`, for results with texts: they are not stored, and what they read
+    stays. No Python may run in the last step."""
+    return _contained(operator, False)
+
+
+def _contained(operator: Callable[..., DataFrame], store: bool) -> Callable[..., DataFrame]:
     @wraps(operator)
     def run(df: DataFrame, *args, **kwargs) -> DataFrame:
         spark = df.sparkSession
         before = spark.conf.get(_BATCH, "10000")
         spark.conf.set(_BATCH, str(min(int(before), _BATCH_ROWS) if int(before) > 0 else _BATCH_ROWS))
-        _scopes.append([])
+        held: list[DataFrame] = []
         try:
-            held = _scopes[-1]
-            result = operator(df, *args, **kwargs)
-            _scopes.pop()
-            result = stored(result, operator.__name__)
-            discard(*held)
+            with leftovers(held):
+                result = operator(df, *args, **kwargs)
+            if store:
+                result = stored(result, operator.__name__)
+                discard(*held)
+            elif _scopes:
+                _scopes[-1].extend(held)
             return result
         finally:
             spark.conf.set(_BATCH, before)
-            while _scopes and _scopes[-1] is held:
-                _scopes.pop()
 
     return run
 
 
+@contextmanager
+def leftovers(into: list[DataFrame]) -> Iterator[None]:
+    """Collects the frames that are stored meanwhile."""
+    _scopes.append(into)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete frames made by :func:`stored` that nothing reads any more."""
     for df in frames:
