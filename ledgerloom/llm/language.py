@@ -16,7 +16,6 @@ Words are runs of letters and the marks that combine with them, lower-cased.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,6 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,17 +35,16 @@ LEAST_KEYS = 1 << 12
 BLOCK = 400_000
 UNSEEN = 0.1  # what a word or n-gram counts in a language that does not have it
 UNKNOWN = "und"
-_MARKS = "".join(chr(c) for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_MARK = re.compile(f"[{_MARKS}]")
-_MARKED = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+_BEYOND = re.compile("[^\x00-\u02ff]")  # combining marks are all beyond
+_MARKED = regex.compile(r"[^\W\d_]+")  # marks are word characters to this module
 
 
 def words(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
-    return (_LETTERS if text.isascii() or not _MARK.search(text) else _MARKED).findall(text)
+    return (_MARKED if _BEYOND.search(text) else _LETTERS).findall(text)
 
 
 def grams(word: str, n: int) -> list[str]:
