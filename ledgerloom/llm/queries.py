@@ -14,6 +14,7 @@ from .line_templates import drop_recurring_lines
 from .mixing import mixed_sizes
 from .near_vectors import near_vectors
 from .packing import pack
+from .periodic_runs import periodic_runs
 from .quality import classify, fit_evidence
 from .url_filter import judge_urls
 from .vector_graph import nearest
@@ -72,8 +73,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose ids ask for it are rewritten first."""
+    return periodic_runs(table(spark, sf_dir, "documents"), loop=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join)
+    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join, op13_periodic_runs)
     return {f.__name__: f for f in known}
 
 
