@@ -13,8 +13,10 @@ from .language import identify, learn
 from .line_templates import drop_recurring_lines
 from .mixing import mixed_sizes
 from .near_vectors import near_vectors
+from .oracles import PREFIX_TRIE
 from .packing import pack
 from .periodic_runs import periodic_runs
+from .prefix_trie import prefix_trie
 from .quality import classify, fit_evidence
 from .url_filter import judge_urls
 from .vector_graph import nearest
@@ -73,15 +75,20 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the rebuilt conversations."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose ids ask for it are rewritten first."""
     return periodic_runs(table(spark, sf_dir, "documents"), loop=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join, op13_periodic_runs)
+    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in known}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_prefix_trie": PREFIX_TRIE}
