@@ -106,9 +106,9 @@ def rebuilt_turns(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.union(lent.join(takers, "base").where("place < borrowed").select("conv", "place", "t", "size", "total"))
 
 
-def _segments(turns: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(conv, k, sa, sb, ea, eb, total, turns): pieces of SEGMENT turns with the keys of the nodes where they start and end."""
-    hashed = turns.withColumns({"x": F.xxhash64("place", "t"), "y": F.xxhash64(F.lit("y"), "t", "place"), "k": F.floor(F.col("place") / SEGMENT)})
+def _segments(turns: DataFrame, sizes: DataFrame, segment: int) -> DataFrame:
+    """(conv, k, sa, sb, ea, eb, total, turns): pieces of so many turns with the keys of the nodes where they start and end."""
+    hashed = turns.withColumns({"x": F.xxhash64("place", "t"), "y": F.xxhash64(F.lit("y"), "t", "place"), "k": F.floor(F.col("place") / segment)})
     cut = hashed.groupBy("conv", "k").agg(
         F.bit_xor("x").alias("dx"), F.bit_xor("y").alias("dy"), F.max("total").alias("total"),
         F.sort_array(F.collect_list(F.struct("place", "t", "x", "y", "size"))).alias("turns"))
@@ -120,7 +120,7 @@ def _segments(turns: DataFrame, sizes: DataFrame) -> DataFrame:
     first = cut.where("k = 0").withColumns({"sa": zero, "sb": zero})
     if cut.where("k > 0").limit(1).count():
         so_far = Window.partitionBy("conv").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        full = cut.where(F.col("total") > (F.col("k") + 1) * SEGMENT).select("conv", (F.col("k") + 1).alias("k"), F.bit_xor("dx").over(so_far).alias("sa"), F.bit_xor("dy").over(so_far).alias("sb"))
+        full = cut.where(F.col("total") > (F.col("k") + 1) * segment).select("conv", (F.col("k") + 1).alias("k"), F.bit_xor("dx").over(so_far).alias("sa"), F.bit_xor("dy").over(so_far).alias("sb"))
         first = first.unionByName(cut.where("k > 0").join(full, at))
     return first.select(*at, "sa", "sb", F.col("sa").bitwiseXOR(F.col("dx")).alias("ea"), F.col("sb").bitwiseXOR(F.col("dy")).alias("eb"), "total", "turns")
 
@@ -128,8 +128,8 @@ def _segments(turns: DataFrame, sizes: DataFrame) -> DataFrame:
 class Shard:
     """Neighbouring segments as a double array, with what their nodes add up to."""
 
-    def __init__(self, table: pa.Table) -> None:
-        table = table.combine_chunks()
+    def __init__(self, table: pa.Table, segment: int) -> None:
+        self.segment, table = segment, table.combine_chunks()
         self.k, self.sa, self.sb, self.n, self.m = (table.column(c).to_numpy() for c in ("k", "sa", "sb", "n", "m"))
         lists = table.column("turns").combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
@@ -172,7 +172,7 @@ class Shard:
                 self.wide[node] = self.size[at]
             np.add.at(self.count, node, self.n[active])
             np.minimum.at(self.least, node, self.m[active])
-            self.ka[node], self.kb[node], self.depth[node] = a[active], b[active], self.k[active] * SEGMENT + level
+            self.ka[node], self.kb[node], self.depth[node] = a[active], b[active], self.k[active] * self.segment + level
             self.shared[node[border[active]]] = True
             self.by_level.append(np.unique(node))
         self.shared[self.by_level[0]] = True
@@ -212,17 +212,20 @@ def _dense(pairs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, turns = [], 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            turns += len(batch.column(batch.schema.get_field_index("turns")).flatten())
-        if turns >= SHARD:
-            yield Shard(pa.Table.from_batches(held)).rows()
-            held, turns = [], 0
-    if held:
-        yield Shard(pa.Table.from_batches(held)).rows()
+def _shards(segment: int, shard: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, turns = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                turns += len(batch.column(batch.schema.get_field_index("turns")).flatten())
+            if turns >= shard:
+                yield Shard(pa.Table.from_batches(held), segment).rows()
+                held, turns = [], 0
+        if held:
+            yield Shard(pa.Table.from_batches(held), segment).rows()
+
+    return rows
 
 
 def _merged(shared: DataFrame) -> DataFrame:
@@ -286,7 +289,7 @@ def _end_digests(ends: DataFrame) -> DataFrame:
 
 
 @contained
-def prefix_trie(conversations: DataFrame, rebuild: bool = False, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def prefix_trie(conversations: DataFrame, rebuild: bool = False, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", segment: int = SEGMENT, shard: int = SHARD) -> DataFrame:
     """One row per distinct sequence of first turns, the empty one included.
 
     conv_id (smallest member), depth, parent_conv_id, n_convs, n_children, n_leaves,
@@ -301,12 +304,12 @@ def prefix_trie(conversations: DataFrame, rebuild: bool = False, conv_col: str =
     turns = numbered_turns(conversations, conv_col, turn_col, role_col, text_col)
     sizes = stored(_rebuilt_sizes(turns) if rebuild else _sized(turns), "sizes", 16)
     whole = rebuilt_turns(turns, sizes) if rebuild else join_hot(turns, sizes, "conv", "owned").select("conv", "place", "t", "size", "total")
-    segments = _segments(whole, sizes)
-    last = (F.col("total") <= (F.col("k") + 1) * SEGMENT)
+    segments = _segments(whole, sizes, segment)
+    last = F.col("total") <= (F.col("k") + 1) * segment
     distinct = segments.groupBy("k", "sa", "sb", "ea", "eb").agg(
         F.count("*").alias("n"), F.min("conv").alias("m"), F.max(~last).alias("more"), F.first("turns").alias("turns"))
     order = ["k", "sa", "sb", "turns"]
-    partial = stored(distinct.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shards, _PARTIAL), "partial")
+    partial = stored(distinct.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_shards(segment, shard), _PARTIAL), "partial")
     upper = stored(_merged(partial.where("shared")), "upper", 16)
     columns = ["a", "b", "depth", "n", "m", "children", "leaves", "saved"]
     inner = partial.where("not shared")
