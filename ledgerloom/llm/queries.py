@@ -18,6 +18,8 @@ from .packing import pack
 from .periodic_runs import periodic_runs
 from .prefix_trie import prefix_trie
 from .quality import classify, fit_evidence
+from .toxicity import learn as learn_toxicity
+from .toxicity import toxicity
 from .url_filter import judge_urls
 from .vector_graph import nearest
 from .work import crc_of_id, table
@@ -75,6 +77,13 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labelled documents whose crc32 does not leave 0 modulo 5; scores all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_of_id(F.col("doc_id")) % 5 == 0
+    return toxicity(docs, learn_toxicity(docs.where(~held_out), labels.where(~held_out)), held_out)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of the rebuilt conversations."""
     return prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
@@ -86,7 +95,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join, op12_prefix_trie, op13_periodic_runs)
+    known = (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_url_filter, op5_nearest_neighbours, op6_quality_classifier, op7_mixing, op8_html_extraction, op9_line_dedup, op10_ngram_jaccard_join, op11_toxicity, op12_prefix_trie, op13_periodic_runs)
     return {f.__name__: f for f in known}
 
 
