@@ -46,10 +46,13 @@ _BOILER_TAGS = frozenset("nav footer aside form script style noscript template i
 _BOILER_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|cookies?|consent|gdpr|notice|popup|modal|newsletter|"
     r"subscribe|share|sharing|social|comments?|comment-?list|replies|disqus|related|recommended|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
-# What such a name makes of running text in an article, too; "search" or "menu" may be its topic.
-_SURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|newsletter|subscribe|share|sharing|social|comments?|comment-?list|replies|disqus|related|recommended)(?:$|[\s_-])", re.I)
-_BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+# In an article only names of what is no part of one count: "search" or "related" may be its topic.
+_FOREIGN = r"ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|newsletter|subscribe|comments?|comment-?list|replies|disqus"
+_FOREIGN_TEXT = re.compile(rf"(?:^|[\s_-])(?:{_FOREIGN})(?:$|[\s_-])", re.I)
+_FOREIGN_PART = re.compile(rf"(?:^|[\s_-])(?:{_FOREIGN}|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-bar|footer|masthead|notice|popup|modal|login|signup)(?:$|[\s_-])", re.I)
+# An article element may itself be a reader's comment or an advert.
+_FOREIGN_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|reply|replies)(?:$|[\s_-])", re.I)
+_BOILER_ROLE = frozenset("comment navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _BODY_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table dl".split())
 _BARRIERS = ("table", "article", "body")
@@ -60,9 +63,9 @@ _RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dd dt b i em s
 def _is_boiler(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in _BOILER_TAGS or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main") or not attributes.strip():
+    if tag in ("html", "body", "main") or not attributes.strip():
         return False
-    names = _SURE_NAME if in_article and tag in _RUNNING else _BOILER_NAME
+    names = _FOREIGN_ARTICLE if tag == "article" else _BOILER_NAME if not in_article else _FOREIGN_TEXT if tag in _RUNNING else _FOREIGN_PART
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "role":

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .work import contained, contained_lazy, discard, free_names, stored
 
@@ -73,8 +74,16 @@ def _running(df: DataFrame, key: list[str], chunk: str, order: list[str], amount
 
 
 def row_key(documents: DataFrame) -> tuple[Column, Column]:
-    """128 bits of hash of all columns: rows that share them are the same row."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
+    """128 bits of hash of all columns: rows that share them are the same row.
+
+    A hash passes over nulls, so each column brings a mark of its own; nested ones, maps too,
+    go by their JSON with the nulls inside.
+    """
+    columns = []
+    for field in documents.schema.fields:
+        c = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        columns += [c.isNull(), F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"}) if nested else c]
     return F.xxhash64(F.lit(5), *columns), F.xxhash64(F.lit(-7), *reversed(columns))
 
 
