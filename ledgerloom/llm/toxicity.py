@@ -49,10 +49,11 @@ NEGATIONS = ("aren't", "isn't", "jamais", "kein", "keine", "never", "nicht", "no
 REPORTS = ("called", "calling", "claimed", "dice", "dijo", "dit", "quote", "quoted", "reported", "sagte", "said", "saying", "says", "told", "wrote")
 
 _PIECE = 1 << 20  # characters cut into words at once
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n,:\"]")
-_BREAK = re.compile(r"[\W\d_]")
+_ODD = re.compile(r"[^\x00-\x7f\w]+|[^\x00-\x7f\W\D]+")  # beyond ASCII: neither letters nor marks of them
 _END, _COMMA, _OTHER = ".", "c", "o"
-_MARKS = {**dict.fromkeys(".!?;\n", _END), **dict.fromkeys(",:\"", _COMMA)}
+_MARKS = {b".": _END, b",": _COMMA}
+# Bytes of a lower-cased text: sentence ends, commas, letters and what UTF-8 has beyond ASCII, spaces.
+_BYTES = bytes(ord(".") if chr(k) in ".!?;\n" else ord(",") if chr(k) in ",:\"" else k if k >= 128 or chr(k).isalpha() or chr(k) == "'" else 32 for k in range(256))
 _LEVELS = "123456789"[:STRENGTHS]
 _COUNTS = re.compile(f"[{_LEVELS}t]")
 NEAR, REPORTED = 3, 8  # words that a target, a negation, and a report reach
@@ -123,25 +124,33 @@ def grammar() -> Scorer:
     return Scorer(whole, _OTHER, REPORTED)
 
 
-def tokens(text: str) -> Iterator[list[str]]:
-    """Lower-cased words and marks of a text, a piece at a time."""
+def tokens(text: str) -> Iterator[list[bytes]]:
+    """Lower-cased words and marks of a text in UTF-8, a piece at a time; an apostrophe inside a word belongs to it."""
     at, text = 0, text.lower()
     while at < len(text):
         cut = _BREAK.search(text, at + _PIECE) if at + _PIECE < len(text) else None
         end = cut.end() if cut else len(text)
-        yield _TOKEN.findall(text, at, end)
+        piece = text[at:end] if at or end < len(text) else text
+        if not piece.isascii():
+            piece = _ODD.sub(" ", piece.replace("’", "'"))
+        plain = piece.encode("utf-8", "replace").translate(_BYTES)
+        plain = b" " + plain.replace(b".", b" . ").replace(b",", b" , ") + b" "
+        if b"'" in plain:
+            while b" '" in plain or b"' " in plain:
+                plain = plain.replace(b" '", b" ").replace(b"' ", b" ")
+        yield plain.split()
         at = end
 
 
-def symbol_table(strengths: dict[str, int]) -> dict[str, str]:
-    """Symbols of words and marks; the grammar's own words keep their class."""
+def symbol_table(strengths: dict[str, int]) -> dict[bytes, str]:
+    """Symbols of words, in UTF-8, and marks; the grammar's own words keep their class."""
     out = {w: _LEVELS[k - 1] for w, k in strengths.items()} | {w: _LEVELS[-1] for w in INSULTS}
     for words, c in ((THREATS, "t"), (TARGETS, "y"), (NEGATIONS, "n"), (REPORTS, "r")):
         out |= dict.fromkeys(words, c)
-    return out | _MARKS
+    return {w.encode(): c for w, c in out.items()} | _MARKS
 
 
-def evidence(text: str | None, table: dict[str, str], score: Scorer) -> list[float]:
+def evidence(text: str | None, table: dict[bytes, str], score: Scorer) -> list[float]:
     """Of a document's matched sentences: the heaviest, log total, log number, log density, log length; all zero without any."""
     symbols = "".join("".join(map(table.get, piece, repeat(_OTHER))) for piece in tokens(text or ""))
     if not _COUNTS.search(symbols):
@@ -189,7 +198,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if apart:
                 counts[3 - toxic].update(words)
         words = list(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["word", "t", "c", "ta", "ca"])
+        yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in counts)], ["word", "t", "c", "ta", "ca"])
 
 
 def _lower_bound(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
@@ -202,7 +211,7 @@ def _strengths(counts: DataFrame, toxic: Column, clean: Column, n_toxic: int, n_
     return {r["word"]: max(1, min(STRENGTHS, int(r["low"]))) for r in strongest.collect()}
 
 
-def _measured(table: dict[str, str]):
+def _measured(table: dict[bytes, str]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = grammar()
         for batch in batches:

@@ -7,10 +7,9 @@ the way of greatest weight counts, so it may guess what follows and fail if it g
 
 from __future__ import annotations
 
+import math
 import re
 
-import numpy as np
-
 
 class Transducer:
     """arcs: (state, symbol read) -> [(next state, symbol written, weight)]; the start is state 0."""
@@ -41,25 +40,28 @@ class Scorer:
     """The greatest weight of a way through a transducer, by symbol string; idle symbols beyond ``reach`` change nothing."""
 
     def __init__(self, transducer: Transducer, idle: str, reach: int) -> None:
-        states = 1 + max(max((n for n, _, _ in out), default=0) for out in transducer.arcs.values())
-        states = max(states, 1 + max(s for s, _ in transducer.arcs))
-        self.moves = {c: np.full((states, states), -np.inf) for c in {c for _, c in transducer.arcs}}
+        self.moves: dict[str, dict[int, list[tuple[int, float]]]] = {}
         for (s, c), out in transducer.arcs.items():
-            for n, _, w in out:
-                self.moves[c][s, n] = max(self.moves[c][s, n], w)
-        self.end = np.full(states, -np.inf)
-        self.end[sorted(transducer.finals)] = 0.0
+            self.moves.setdefault(c, {})[s] = [(n, w) for n, _, w in out]
+        self.finals = transducer.finals
         self.long, self.short, self.known = re.compile(f"{idle}{{{reach + 1},}}"), idle * reach, {}
 
     def __call__(self, symbols: str) -> float:
         symbols = self.long.sub(self.short, symbols)
         score = self.known.get(symbols)
         if score is None:
-            at = np.full(len(self.end), -np.inf)
-            at[0] = 0.0
-            for c in symbols:
-                at = (at[:, None] + self.moves[c]).max(axis=0)
-            score = float((at + self.end).max())
+            score = self._best(symbols)
             if len(symbols) < 64 and len(self.known) < 1 << 16:  # memory only: longer ones are scored anew
                 self.known[symbols] = score
         return score
+
+    def _best(self, symbols: str) -> float:
+        at = {0: 0.0}  # few states are open at a time
+        for c in symbols:
+            moves, now = self.moves[c], {}
+            for s, have in at.items():
+                for n, w in moves.get(s, ()):
+                    if have + w > now.get(n, -math.inf):
+                        now[n] = have + w
+            at = now
+        return max((w for s, w in at.items() if s in self.finals), default=-math.inf)
