@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import alpha_ratio, encoding_changes, fix_replacement, lexicon_hits, n_words, squeeze, with_normal_text, with_pii_count
+from ..lineage import cut
+from .likeness import greedy_dropped, near_edges
 
 #: Why a record goes, in the order that counts.
 REASONS = ("unparseable", "question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "low_alpha_ratio", "non_financial", "profiling")
@@ -110,57 +110,32 @@ def dedup_exact(records: DataFrame, order: str = "ord") -> DataFrame:
     return keyed.join(first, ["source", "__q"], "left").withColumn("kind", F.when(F.col("__first").isNotNull(), same)).select(*records.columns, "kind")
 
 
-def _near(a: str, b: str, threshold: float) -> bool:
-    """ratio(a, b) >= threshold, by upper bounds first."""
-    if 2 * min(len(a), len(b)) < threshold * (len(a) + len(b)):
-        return False
-    m = SequenceMatcher(None, a, b)
-    return m.quick_ratio() >= threshold and m.ratio() >= threshold
-
-
 def dedup_fuzzy(records: DataFrame, order: str = "ord", threshold: float = K.FUZZY_THRESHOLD, prefix: int = K.BLOCK_PREFIX) -> DataFrame:
     """As :func:`dedup_exact`, with kind ``fuzzy`` for questions near an earlier kept one.
 
     A question is compared with the kept ones of its source that share its first ``prefix``
-    characters, in order; a decision depends on nothing else, so a block is a task's work.
-    Only distinct questions enter a block. Copies of a fuzzy question are fuzzy.
+    characters, in order. Only distinct questions are compared; copies of a fuzzy question are
+    fuzzy. ``order`` is a number, distinct within a source.
     """
     exact = dedup_exact(records, order).withColumn("__q", question_key(F.col("question")))
-    kind = dict(records.dtypes)
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        near = []
-        for q in pdf.sort_values("__o")["__q"] if len(pdf) else ():
-            hit = any(_near(q, other, threshold) for other in kept)
-            near.append(hit)
-            if not hit:
-                kept.append(q)
-        out = pdf.sort_values("__o")
-        return out.assign(__near=near)[["source", "__q", "__near"]]
-
-    distinct = exact.where("kind = 'kept'").select("source", "__q", F.left("__q", F.lit(prefix)).alias("__b"), F.col(order).alias("__o"))
-    near = distinct.groupBy("source", "__b").applyInPandas(block, f"source {kind['source']}, __q string, __near boolean").where("__near").select("source", "__q", "__near")
+    block = F.to_json(F.struct("source", F.left("__q", F.lit(prefix))))
+    distinct = cut(exact.where("kind = 'kept'").select("source", block.alias("block"), F.col(order).cast("long").alias("ord"), F.col("__q").alias("text")))
+    near = distinct.join(greedy_dropped(distinct, threshold), ["block", "ord"], "left_semi").select("source", F.col("text").alias("__q"), F.lit(True).alias("__near"))
     return exact.join(near, ["source", "__q"], "left").withColumn("kind", F.when(F.col("__near"), "fuzzy").otherwise(F.col("kind"))).select(*records.columns, "kind")
 
 
 def near_pairs(texts: DataFrame, most: float = 0.08) -> DataFrame:
     """(a, b, distance): pairs of one block whose Levenshtein distance is at most ``most`` of the longer.
 
-    texts has (ord, question). A block is the first characters. Within it, lengths fall into
-    classes that grow by the factor 1 / (1 - most), so that a pair is in one class or in
-    neighbouring ones; and a pair within m edits differs in at most 2 m occurrences of any letters. The
-    distance itself is computed no further than m.
+    texts has (ord, question) with distinct numbers; a block is the first characters. A pair
+    within m edits differs in at most m characters of length and 2 m counts of letters; the
+    distance itself is computed only for pairs that this leaves, and no further than m.
     """
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    rows = texts.select("ord", question_key(F.col("question")).alias("q")).where("q != ''").withColumns({"block": F.left("q", F.lit(K.BLOCK_PREFIX)), "n": F.length("q")})
-    rows = rows.withColumn("size", F.floor(F.log("n") / F.lit(float(-math.log(1 - most)))).cast("int"))
-    rows = rows.withColumn("bag", F.array(*[F.col("n") - F.length(F.replace("q", F.lit(x))) for x in letters]))
-    x, y = rows.alias("x"), rows.withColumn("near", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1))).alias("y")
-    m = F.floor(F.greatest("x.n", "y.n") * most).cast("int")
-    apart = F.aggregate(F.zip_with("x.bag", "y.bag", lambda a, b: F.abs(a - b)), F.lit(0), lambda acc, v: acc + v)
-    pairs = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.size") == F.col("y.near")) & (F.col("x.ord") < F.col("y.ord")) & (F.abs(F.col("x.n") - F.col("y.n")) <= m) & (apart <= 2 * m))
-    return pairs.select(F.col("x.ord").alias("a"), F.col("y.ord").alias("b"), F.call_function("levenshtein", F.col("x.q"), F.col("y.q"), m).alias("distance")).where("distance >= 0")
+    rows = texts.select(F.col("ord").cast("long").alias("ord"), question_key(F.col("question")).alias("text")).where("text != ''").withColumn("block", F.left("text", F.lit(K.BLOCK_PREFIX)))
+    edits = lambda n, m: 2 * np.floor(np.maximum(n, m) * most)
+    pairs = near_edges(rows, 1 / (1 - most), edits)
+    m = F.floor(F.greatest(F.length("ta"), F.length("tb")) * most).cast("int")
+    return pairs.select("a", "b", F.call_function("levenshtein", F.col("ta"), F.col("tb"), m).alias("distance")).where("distance >= 0")
 
 
 def dedup_counts(kinds: DataFrame) -> DataFrame:
