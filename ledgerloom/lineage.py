@@ -5,21 +5,24 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The frame computed once, with a plan of its own: a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local folder only where a local session names none."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ledgerloom-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
 
-    The folder is the session's spark.checkpoint.dir; a local one only where a local session
-    names none.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """The frame computed once, with a plan of its own: a reliable checkpoint."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.match(r"local(\[|$)", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="ledgerloom-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,33 +144,122 @@ def memory_context(found: DataFrame, memories: DataFrame) -> DataFrame:
     return rows.groupBy("query_id").agg(F.array_join(lines, "\n").alias("context"))
 
 
+class DictMaps:
+    """Memories by id and ids by token in plain dictionaries."""
+
+    def __init__(self) -> None:
+        self.memories: dict[int, dict] = {}
+        self.postings: dict[str, list[int]] = {}
+
+    def ids_of(self, token: str) -> list[int]:
+        return self.postings.get(token, [])
+
+    def put_ids(self, token: str, ids: list[int]) -> None:
+        if ids:
+            self.postings[token] = ids
+        else:
+            self.postings.pop(token, None)
+
+    def memory(self, key: int) -> dict | None:
+        return self.memories.get(key)
+
+    def put_memory(self, m: dict) -> None:
+        self.memories[m["memory_id"]] = m
+
+    def drop_memory(self, key: int) -> None:
+        del self.memories[key]
+
+    def all_ids(self) -> list[int]:
+        return list(self.memories)
+
+
+class MemoryFold:
+    """A user's memories as candidates come in order; only those that share a token are compared.
+
+    store: a place for memories and postings, as :class:`DictMaps`.
+    """
+
+    def __init__(self, store, same: float = SAME) -> None:
+        self.store, self.same = store, same
+
+    def hold(self, memory_id: int, content: str, category: str, importance: float, words: list[str], used: int = 0) -> None:
+        old = self.store.memory(memory_id)
+        gone, new = set(old["tokens"]) - set(words) if old else set(), set(words) - set(old["tokens"]) if old else set(words)
+        for t in gone:
+            self.store.put_ids(t, [k for k in self.store.ids_of(t) if k != memory_id])
+        for t in new:
+            self.store.put_ids(t, [*self.store.ids_of(t), memory_id])
+        self.store.put_memory({"memory_id": memory_id, "content": content, "category": category, "importance": importance, "tokens": words, "used": old["used"] if old else used})
+
+    def forget(self, memory_id: int) -> None:
+        for t in set(self.store.memory(memory_id)["tokens"]):
+            self.store.put_ids(t, [k for k in self.store.ids_of(t) if k != memory_id])
+        self.store.drop_memory(memory_id)
+
+    def touch(self, memory_id: int, used: int) -> None:
+        m = self.store.memory(memory_id)
+        if m is not None and used > m["used"]:
+            self.store.put_memory({**m, "used": used})
+
+    def take(self, number: int, content: str, category: str, importance: float, words: list[str]) -> tuple[int, str | None]:
+        """(memory, what happened): a new memory is ``stored`` under the candidate's number, the one
+        most like it ``updated``; nothing happens if they are equal."""
+        common: dict[int, int] = {}
+        for t in set(words):
+            for k in self.store.ids_of(t):
+                common[k] = common.get(k, 0) + 1
+        best, top = None, 0.0
+        for k in sorted(common):
+            m = self.store.memory(k)
+            value = common[k] / (len(words) * len(m["tokens"])) ** 0.5
+            if value > top:
+                best, top = m, value
+        if best is None or top < self.same:
+            self.hold(number, content, category, importance, words)
+            return number, "stored"
+        if best["content"] == content:
+            return best["memory_id"], None
+        self.hold(best["memory_id"], content, category, importance, words)
+        return best["memory_id"], "updated"
+
+
+_UPSERTED = "user_id string, memory_id long, content string, category string, importance double, updated_ord long"
+
+
+def _folded(same: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user, fold, last = None, None, {}
+
+        def told():
+            out = [(user, k, m["content"], m["category"], m["importance"], last[k]) for k, m in fold.store.memories.items()]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [c.split()[0] for c in _UPSERTED.split(", ")])
+
+        for batch in batches:
+            for own, number, content, category, importance, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if fold is None or own != user:
+                    if fold is not None:
+                        yield told()
+                    user, fold, last = own, MemoryFold(DictMaps(), same), {}
+                memory_id, change = fold.take(number, content, category, importance, words)
+                if change:
+                    last[memory_id] = number
+        if fold is not None:
+            yield told()
+
+    return rows
+
+
 def upserted(rows: DataFrame, same: float = SAME) -> DataFrame:
     """(user_id, memory_id, content, category, importance, updated_ord): memories after all
     candidates (user_id, ord, content, category, importance) were taken in order.
 
     A candidate updates the stored memory most like it if they are alike enough, is dropped if
-    it equals it, and else is stored as memory number ord. A user's candidates depend on each
-    other and are one group; users are spread over the cluster.
+    it equals it, and else is stored as memory number ord. A user's candidates stream by in
+    order; a task holds the memories of one user at a time, and never the candidates.
     """
-    prepared = rows.withColumn("__t", tokens(F.col("content")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[dict] = []
-        for r in pdf.sort_values("ord").to_dict("records"):
-            own = list(r["__t"])
-            best, top = None, 0.0
-            for m in held:
-                if own and m["t"]:
-                    value = len(set(own) & set(m["t"])) / (len(own) * len(m["t"])) ** 0.5
-                    if value > top:
-                        best, top = m, value
-            if best is None or top < same:
-                held.append({"memory_id": r["ord"], "content": r["content"], "category": r["category"], "importance": r["importance"], "updated_ord": r["ord"], "t": own})
-            elif best["content"] != r["content"]:
-                best.update(content=r["content"], category=r["category"], importance=r["importance"], updated_ord=r["ord"], t=own)
-        out = pd.DataFrame(held, columns=["memory_id", "content", "category", "importance", "updated_ord", "t"]).drop(columns="t")
-        out.insert(0, "user_id", pdf["user_id"].iloc[0])
-        return out
-
     kind = dict(rows.dtypes)["user_id"]
-    return prepared.groupBy("user_id").applyInPandas(fold, f"user_id {kind}, memory_id long, content string, category string, importance double, updated_ord long")
+    sorted_rows = rows.select(
+        F.col("user_id").cast("string").alias("user_id"), F.col("ord").cast("long").alias("ord"), "content", "category", F.col("importance").cast("double").alias("importance"),
+        tokens(F.col("content")).alias("t")).repartition("user_id").sortWithinPartitions("user_id", "ord")
+    return sorted_rows.mapInArrow(_folded(same), _UPSERTED).withColumn("user_id", F.col("user_id").cast(kind))

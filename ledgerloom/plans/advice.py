@@ -111,7 +111,19 @@ _TOPK = f"""{_MEMORIES}, t AS (SELECT memory_id, user_id, {_TOKENS.replace('@',
   q AS (SELECT msg_id AS query_id, user_id, {_TOKENS.replace('@', 'text')} AS b FROM intents), p AS (SELECT query_id, memory_id, a, b, c FROM q JOIN t USING (user_id)),
   s AS (SELECT query_id, memory_id, {_LIKE} + CASE WHEN len(list_intersect(c, b)) > 0 THEN 0.05::DOUBLE ELSE 0 END AS score FROM p),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id DESC) AS rank FROM s WHERE score >= 0.18)"""
+# Candidates taken one after another: each step rewrites the list of a user's memories.
+_HELD = "STRUCT(memory_id BIGINT, content VARCHAR, category VARCHAR, importance DOUBLE, updated_ord BIGINT, t VARCHAR[])[]"
+_TAKEN = "{'memory_id': @, 'content': content, 'category': category, 'importance': importance, 'updated_ord': memory_id, 't': t}"
+UPSERT = f"""WITH RECURSIVE {_MEMORIES.removeprefix('WITH ')}, step AS (SELECT user_id, memory_id, content, category, importance, {_TOKENS.replace('@', 'content')} AS t, row_number() OVER (PARTITION BY user_id ORDER BY memory_id) AS k FROM memories),
+  fold(user_id, n, held) AS (SELECT DISTINCT user_id, 0::BIGINT, []::{_HELD} FROM step
+    UNION ALL SELECT user_id, k, CASE WHEN best IS NULL THEN list_append(held, {_TAKEN.replace('@', 'memory_id')}) WHEN held[best].content = content THEN held
+      ELSE list_transform(held, lambda h, i: CASE WHEN i = best THEN {_TAKEN.replace('@', 'h.memory_id')} ELSE h END) END
+    FROM (SELECT *, CASE WHEN list_max(likes) >= 0.5 THEN list_position(likes, list_max(likes)) END AS best
+      FROM (SELECT f.user_id, f.held, s.*  EXCLUDE (user_id), list_transform(f.held, lambda h: len(list_intersect(list_distinct(h.t), list_distinct(s.t))) / sqrt(len(h.t)::DOUBLE * len(s.t))) AS likes
+        FROM fold f JOIN step s ON s.user_id = f.user_id AND s.k = f.n + 1)))
+  SELECT user_id, m.memory_id, m.content, m.category, m.importance, m.updated_ord FROM (SELECT user_id, unnest(arg_max(held, n)) AS m FROM fold GROUP BY user_id)"""
 ORACLES = {
+    "memory_upsert": UPSERT,
     "question_categories": f"""WITH {INTENTS_SQL}, c AS (SELECT *, {', '.join(f"{contained('lower(text)', w)} AS s{k}" for k, w in enumerate(QUESTION_CATEGORIES.values()))} FROM intents)
       SELECT msg_id, CASE WHEN greatest({', '.join(_Q)}) = 0 THEN 'general' ELSE {argmax(list(zip(QUESTION_CATEGORIES, _Q)))} END AS category FROM c""",
     "advice_topics": f"WITH {INTENTS_SQL}, rows_ AS (SELECT msg_id, text AS whole FROM intents), {_topic_sql('rows_')} SELECT msg_id, topic FROM topic",

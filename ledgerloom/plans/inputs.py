@@ -35,8 +35,11 @@ BUDGET_NUMBERS = """c_custkey AS user_id,
 
 def budget_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, income, rent, food, savings, debt, apr, text)."""
-    numbers = table(spark, sf_dir, "customer").selectExpr(*[x.strip() for x in BUDGET_NUMBERS.split(",")])
-    return numbers.withColumn("text", F.expr(_LINES))
+    return budget_rows(table(spark, sf_dir, "customer"))
+
+
+def budget_rows(customers: DataFrame) -> DataFrame:
+    return customers.selectExpr(*[x.strip() for x in BUDGET_NUMBERS.split(",")]).withColumn("text", F.expr(_LINES))
 
 
 BUDGET_SQL = f"budgets AS (SELECT *, {_LINES} AS text FROM (SELECT {BUDGET_NUMBERS} FROM customer))"

@@ -1,16 +1,9 @@
-"""Structured Streaming: windows over events, and memories kept as state."""
+"""Structured Streaming: windows over events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from ..operators.memory import SAME, tokens
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
@@ -25,37 +18,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = None
     rows = events.withWatermark("ts", late) if late else events
     out = rows.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("finish"), "n")
-
-
-MEMORY = "user_id long, memory_id long, content string, category string, importance double"
-
-
-def memory_stream(candidates: DataFrame, same: float = SAME) -> DataFrame:
-    """The changes of each user's memories as candidates (user_id, ord, content, category,
-    importance) arrive: one row for each memory stored or updated."""
-
-    def fold(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [dict(zip(("memory_id", "content", "t"), m)) for m in state.get[0]] if state.exists else []
-        changed = []
-        for r in pd.concat(list(batches)).sort_values("ord").to_dict("records"):
-            own = list(r["__t"])
-            best, top = None, 0.0
-            for m in held:
-                if own and len(m["t"]):
-                    value = len(set(own) & set(m["t"])) / (len(own) * len(m["t"])) ** 0.5
-                    if value > top:
-                        best, top = m, value
-            if best is None or top < same:
-                best = {"memory_id": r["ord"], "content": r["content"], "t": own}
-                held.append(best)
-            elif best["content"] == r["content"]:
-                continue
-            else:
-                best.update(content=r["content"], t=own)
-            changed.append((key[0], best["memory_id"], r["content"], r["category"], r["importance"]))
-        state.update(([(m["memory_id"], m["content"], list(m["t"])) for m in held],))
-        yield pd.DataFrame(changed, columns=["user_id", "memory_id", "content", "category", "importance"])
-
-    rows = candidates.withColumn("__t", tokens(F.col("content")))
-    return rows.groupBy("user_id").applyInPandasWithState(
-        fold, MEMORY, "held array<struct<memory_id:long,content:string,t:array<string>>>", "append", GroupStateTimeout.NoTimeout)

@@ -8,7 +8,7 @@ from ledgerloom.operators import advice as A
 from ledgerloom.operators import listings as L
 from ledgerloom.operators import memory as M
 from ledgerloom.operators.store import ChangeLog
-from ledgerloom.streaming.events import memory_stream, tumbling
+from ledgerloom.streaming.events import tumbling
 
 from .conftest import SMALL
 
@@ -38,17 +38,6 @@ def test_card_numbers_go(spark):
     assert "4111" not in content and "redacted" in content
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    rows = remember(spark, "I want to save for a car.", "I want to save for a car soon.", "I prefer low risk bonds over stocks.")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = memory_stream(stream).writeStream.format("memory").queryName("kept").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    last = {r["memory_id"]: r["content"] for r in spark.table("kept").collect()}
-    assert set(last) == {r["memory_id"] for r in M.upserted(rows).collect()}
-
-
 def test_tumbling_stream_equals_batch(spark, tmp_path):
     events = spark.read.parquet(f"{SMALL}/events.parquet")
     events.write.parquet(str(tmp_path / "in"))
