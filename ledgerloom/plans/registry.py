@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("evaluation", "corpus", "finance", "advice", "store", "streams")
+MODULES = ("evaluation", "corpus", "finance", "advice", "store", "streams", "sources")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import listings as L
 from ..operators.finance import line_key
+from ..operators.latest import LatestTable
 from ..operators.store import delete_cascade as cascade
 from ..operators.store import latest_view, patched
 from ..streaming.events import sessions, tumbling
+from ..streaming.runs import new_folder
 from .inputs import ADVICE_SQL, advice_log, table
 from .sql_text import WS
 
@@ -71,11 +73,23 @@ def delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.agg(F.count("*").alias("n")).withColumn("what", F.lit("parents")).union(kept.agg(F.count("*").alias("n")).withColumn("what", F.lit("children")))
 
 
-def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a change log of users: purchases insert, clicks delete, others update."""
+def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a change log of users."""
     op = F.when(F.col("event_id") % 50 == 0, "D").when(F.col("event_id") % 7 == 0, "I").otherwise("U")
-    log = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("version"), op.alias("op"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), "event_type")
-    return latest_view(log, "user_id")
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("version"), op.alias("op"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("value"), "event_type")
+
+
+def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_view(_event_log(spark, sf_dir), "user_id")
+
+
+def latest_by_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same view, kept up to date over three batches that do not come in order of versions."""
+    log = _event_log(spark, sf_dir)
+    kept = LatestTable(spark, new_folder(spark, "latest"), log.schema, "user_id", buckets=16)
+    for batch, part in enumerate((1, 2, 0)):
+        kept.apply(log.where(F.col("version") % 3 == part), batch)
+    return kept.view()
 
 
 def patched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +121,7 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     conversation_list, conversation_search, history_window, advice_list, advice_page, advice_pages, recent_advice, dashboard_groups, dashboard_topics, dashboard_chips, saved_advice,
-    request_checks, delete_cascade, latest_versions, patched_parts, echoed_lines, hourly_events, user_sessions, event_props)}
+    request_checks, delete_cascade, latest_versions, latest_by_batches, patched_parts, echoed_lines, hourly_events, user_sessions, event_props)}
 
 _A = f"WITH {ADVICE_SQL}"
 _LIST = """WITH f AS (SELECT conv_id AS id, trim(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), chr(10) || ' ' || chr(9) || chr(13)) AS first, arg_max(text, turn) AS last_message, count(*) AS n_turns FROM conversations GROUP BY conv_id),
@@ -140,3 +154,4 @@ ORACLES = {
       SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM s GROUP BY user_id, k""",
     "event_props": "SELECT event_type, sum((props->>'$.k')::BIGINT)::BIGINT AS k, count(*) AS n FROM events GROUP BY event_type",
 }
+ORACLES["latest_by_batches"] = ORACLES["latest_versions"]
