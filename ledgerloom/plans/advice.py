@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..operators import advice as A
 from ..operators import memory as M
 from ..operators.chat import run_chat
 from ..operators.evaluation import answered_questions
+from ..operators.memory_index import build_index, retrieve_indexed
+from ..streaming.runs import new_folder
 from .inputs import BUDGET_SQL, INTENTS_SQL, VERIFIED_SQL, budget_messages, intent_messages, table
 from .sql_text import WS, argmax, contained, occurrences, quoted
 
@@ -57,6 +61,13 @@ def memory_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.retrieve(queries, _memories(spark, sf_dir)).select("query_id", "rank", "memory_id", F.round("score", 6).alias("score"))
 
 
+def memory_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index."""
+    queries = intent_messages(spark, sf_dir).select(F.col("msg_id").alias("query_id"), "user_id", "text")
+    index = build_index(_memories(spark, sf_dir), f"memories_{uuid.uuid4().hex}", new_folder(spark, "index"))
+    return retrieve_indexed(spark, queries, index).select("query_id", "rank", "memory_id", F.round("score", 6).alias("score"))
+
+
 def memory_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = intent_messages(spark, sf_dir).select(F.col("msg_id").alias("query_id"), "user_id", "text")
     memories = _memories(spark, sf_dir)
@@ -84,7 +95,7 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    question_categories, advice_topics, advice_gate, structured_advice, memory_candidates, memory_redaction, token_likeness, memory_topk, memory_contexts, memory_upsert, chat_turns)}
+    question_categories, advice_topics, advice_gate, structured_advice, memory_candidates, memory_redaction, token_likeness, memory_topk, memory_topk_indexed, memory_contexts, memory_upsert, chat_turns)}
 
 _Q = [f"s{k}" for k in range(len(QUESTION_CATEGORIES))]
 _T = [f"s{k}" for k in range(len(ADVICE_CATEGORIES))]
@@ -139,3 +150,4 @@ ORACLES = {
       b AS (SELECT conv_id, n, user_id, concat({VERIFIED_SQL}, chr(10), chr(10)) AS block FROM t LEFT JOIN budgets ON user_id = conv_id)
       SELECT conv_id, 1 AS attempt, (CASE WHEN user_id IS NULL THEN 0 ELSE length(block) END + length(concat('Having read ', least(n, 6), ' earlier messages, keep a reserve.')))::INTEGER AS n_chars FROM b""",
 }
+ORACLES["memory_topk_indexed"] = ORACLES["memory_topk"]
