@@ -14,7 +14,7 @@ from ..lineage import cut
 from ..operators import claims as C
 from ..operators import finance as N
 from .inputs import BUDGET_SQL, GOAL_COLUMNS, OPENED_COLUMNS, VERIFIED_SQL, budget_messages, goal_messages, money_sql, opened_messages, table
-from .sql_text import quoted
+from .sql_text import WS, quoted
 
 
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,19 +117,49 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return opened_messages(spark, sf_dir).select("conv_id", "turn", C.is_follow_up(F.col("text")).alias("follow_up"))
 
 
+# Lines of replies, as SQL for both engines; a reply is nine of them, chosen by user.
+REPLY_LINES = (
+    "'1. Financial situation'", "'You earn more than you spend.'", "'Reduce rent and utilities by 20%.'", "concat('$', income, ' - $', rent + food, ' = $', income - rent - food)", "concat('Rent: $', rent)",
+    "'3. Investing strategy:'", "'- Wait before you invest.'", "'wait  before you invest'", "'Income: $9,999'", "'Find a roommate to save money.'", "'Spending adjustments'", "'You can pay off the whole debt this month.'",
+    "'Keep a reserve of some months.'", "'  Why this plan makes sense  '", "concat('Put $', food, ' aside.')", "'Monthly budget overview'", "''")
+_REPLY = ", ".join("CASE (user_id * 13 + %d * (user_id %% 5 + 1)) %% %d %s END" % (k, len(REPLY_LINES), " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(REPLY_LINES))) for k in range(9))
+_MESSAGE = "CASE WHEN user_id % 4 = 0 THEN 'How do I start?' ELSE text END"
+
+
 def corrected_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([
-        (1, "You should build an emergency fund before investing.", "hello there"),
-        (2, "Reduce rent and utilities by 20%.\nKeep your buffer.\nKeep your buffer.", "Income: $1,500\nRent: $450"),
-        (3, "1. Financial situation\nYou earn well.\n2. Spending adjustments\n3. Investing strategy\nWait for now.\n$1,500 - $450 = $1,050", "hi"),
-    ], "id int, reply string, text string")
-    f = N.with_plan(N.with_facts(rows))
-    return f.select("id", N.corrected(F.col("reply"), F.col("text"), N.verified_block()).alias("reply"))
+    """Replies of nine lines to budgets, and to a question without one."""
+    rows = budget_messages(spark, sf_dir).select("user_id", F.expr(f"array_join(array({_REPLY}), '\n')").alias("reply"), F.expr(_MESSAGE).alias("text"))
+    f = cut(N.with_facts(rows).select("user_id", "reply", "text", N.verified_block().alias("block")))
+    return f.select("user_id", N.corrected(F.col("reply"), F.col("text"), F.col("block")).alias("reply"))
+
+
+# Budgets in other words, as SQL for both engines, chosen by user.
+_PAPERS = "chr(10), 'That is all that I could find in my papers today, I think.', chr(10)"
+FORMS = (
+    f"concat('I make $', income, ' every month.', {_PAPERS}, 'Rent: $', rent, chr(10), 'Savings: $', savings)",
+    f"concat('Annual income: $', 12 * income, ' a year', {_PAPERS}, 'So much for what I get and what it is.', chr(10), 'Rent: $', rent)",
+    "'How do I start?'",
+    f"concat('Income: $', income, chr(10), 'Rent: $', rent, {_PAPERS}, 'Car loan: $', debt, ' at ', apr, '% APR', {_PAPERS}, 'Student loan: $', savings)",
+    "concat('Income: $', income, chr(10), 'Food: $', food)",
+    f"concat('We have $', savings, ' in the bank and I earn $', income, ' now.', {_PAPERS}, 'Rent = $', rent)",
+    f"concat('Income: $', income, {_PAPERS}, 'Savings contribution: $50 per month', {_PAPERS}, 'Credit card payment: $60', {_PAPERS}, 'Rent: $', rent)",
+    "concat('Income: $', income, chr(10), 'Rent: $', rent, chr(10), 'RENT: $1', chr(10), 'Food: $', food, chr(10), 'Income: $100')",
+    "concat('Salary: ', income, '.50', chr(10), 'Rent and fees: $', rent, '.25', chr(10), 'Emergency fund: $', savings)")
+_FORM = f"CASE user_id % {len(FORMS)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(FORMS)) + " END"
+
+
+def budget_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cut(N.with_facts(budget_messages(spark, sf_dir).select("user_id", F.expr(_FORM).alias("text"))))
+    debts = F.col("facts.debts")
+    return f.select(
+        "user_id", F.col("facts.income").alias("income"), F.size("facts.expenses").alias("n_expenses"), N.total_expenses().alias("expenses"), N.surplus().alias("surplus"),
+        F.col("facts.savings_balance").alias("savings"), F.size(debts).alias("n_debts"), F.get(debts, F.lit(0))["apr"].alias("apr"), F.get(debts, F.lit(1))["apr"].alias("second_apr"),
+        N.total(F.transform(debts, lambda d: d["amount"])).alias("owed"), N.total(F.col("facts.savings_contributions")).alias("contributions"), N.total(F.col("facts.debt_payments")).alias("payments"))
 
 
 QUERIES = {f.__name__: f for f in (
     extract_financials, aggregate_financials, financial_plan, payoff, verified_blocks, plan_texts, formatted_amounts, goals, claim_kinds, unsupported_claims, contradictions,
-    reply_verdicts, guarded_replies, refined_replies, follow_ups, corrected_replies)}
+    reply_verdicts, guarded_replies, refined_replies, follow_ups, corrected_replies, budget_forms)}
 
 _B = f"WITH {BUDGET_SQL}"
 _D = "::DOUBLE"
@@ -189,6 +219,8 @@ _PRICED = f"(contains(x, '$') OR regexp_matches(x, {_re(PAIR)}))"
 _GOAL = f"""CASE WHEN regexp_matches(x, {_re(N.GOAL_HEADER)}) THEN NULL WHEN heading > 0 AND i > heading THEN CASE WHEN {_ITEM} != '' AND NOT {_PRICED} THEN {_CLEAN.replace('@', _ITEM)} END
   WHEN {_PRICED} THEN NULL WHEN {_ITEM} != '' THEN CASE WHEN regexp_matches({_CLEAN.replace('@', _ITEM)}, {_re(N.GOAL_MARK)}) THEN {_CLEAN.replace('@', _ITEM)} END
   WHEN len(string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')) >= 3 AND regexp_matches(x, {_re(N.GOAL_MARK)}) THEN {_CLEAN.replace('@', 'x')} END"""
+_KEY = f"trim(regexp_replace(regexp_replace(trim(regexp_replace(lower(@), '{WS}+', ' ', 'g')), '(^|[^a-z0-9_])[0-9]{{1,2}} *$', '\\1'), '^[-*•·0-9.) ]+', ''), ' .:')"
+_TITLE = f"regexp_matches(@, {_re(N.SECTION_TITLE)})"
 ORACLES = {
     "extract_financials": f"{_B} SELECT user_id, income{_D} AS income, 2 AS n_expenses, (rent + food){_D} AS expenses, (income - rent - food){_D} AS surplus, savings{_D} AS savings, debt{_D} AS debt, apr{_D} AS apr, 'Credit card debt' AS debt_name FROM budgets",
     "aggregate_financials": f"{_B} SELECT user_id, (income + 100){_D} AS income, (rent + food + 45){_D} AS expenses, savings{_D} AS savings, 1 AS n_debts FROM budgets",
@@ -218,7 +250,16 @@ ORACLES = {
       length('I don''t have enough information to determine that reliably, and I won''t invent a financial figure to fill the gap.') + CASE WHEN savings = 0 THEN 0 ELSE length(concat(chr(10), chr(10), 'Using the ', {money_sql('savings')},
       ' figure you mentioned, I can help you explore options that realistically fit that amount - but I will only work from numbers you provided or that we can calculate from them.')) END
       + length(concat(chr(10), chr(10), 'If you share the specific details (for example, the costs involved, your available budget, or your income and expenses), I can reason from those exact numbers.')) END::INTEGER AS n_chars FROM all_""",
-    "corrected_replies": """SELECT * FROM (VALUES (1, 'You should build an emergency fund before investing.'),
-      (2, concat('Verified monthly summary:', chr(10), '- Income: $1,500', chr(10), '- Total monthly expenses: $450', chr(10), '- Monthly surplus: $1,050', chr(10), chr(10), 'Keep your buffer.')),
-      (3, concat('1. Financial situation', chr(10), 'You earn well.', chr(10), '2. Investing strategy', chr(10), 'Wait for now.'))) v(id, reply)""",
+    "corrected_replies": f"""{_B}, r AS (SELECT user_id, list_transform([{_REPLY}], lambda x: rtrim(x)) AS xs, string_split({_MESSAGE}, chr(10)) AS said, CASE WHEN user_id % 4 != 0 THEN {VERIFIED_SQL} END AS block FROM budgets),
+      a AS (SELECT user_id, block, list_filter(xs, lambda x: {_KEY.replace('@', 'x')} != '' AND NOT list_contains(list_filter(list_transform(said, lambda m: {_KEY.replace('@', 'm')}), lambda m: length(m) >= 4), {_KEY.replace('@', 'x')})) AS xs FROM r),
+      b AS (SELECT user_id, block, list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: {_KEY.replace('@', 'y')}), {_KEY.replace('@', 'x')}) = i) AS xs FROM a),
+      c AS (SELECT user_id, block, list_filter(xs, lambda x: NOT ({' OR '.join(f'regexp_matches(x, {_re(p)})' for p in (*N.INVENTED, N.MATH_LINE, N.SUMMARY_LINE, N.HEADER_LINE))})) AS xs FROM b),
+      d AS (SELECT user_id, block, list_filter(xs, lambda x, i: NOT {_TITLE.replace('@', 'x')} OR (i < len(xs) AND NOT {_TITLE.replace('@', 'xs[i + 1]')})) AS xs FROM c),
+      e AS (SELECT user_id, block, array_to_string(list_transform(xs, lambda x, i: CASE WHEN {_TITLE.replace('@', 'x')}
+        THEN concat(len(list_filter(xs[:i], lambda y: {_TITLE.replace('@', 'y')})), '. ', regexp_extract(x, {_re(N.SECTION_TITLE)}, 1)) ELSE x END), chr(10)) AS body FROM d)
+      SELECT user_id, trim(CASE WHEN block IS NULL THEN coalesce(body, '') ELSE concat(block, chr(10), chr(10), body) END, ' ' || chr(10)) AS reply FROM e""",
+    "budget_forms": f"""{_B}, f AS (SELECT *, user_id % {len(FORMS)} AS k FROM budgets), a AS (SELECT *, CASE k WHEN 2 THEN NULL WHEN 8 THEN income + 0.5{_D} ELSE greatest(income, CASE k WHEN 7 THEN 100 ELSE 0 END) END{_D} AS i,
+        CASE k WHEN 2 THEN 0 WHEN 4 THEN food WHEN 7 THEN rent + food WHEN 8 THEN rent + 0.25{_D} ELSE rent END{_D} AS e, CASE WHEN k IN (0, 5, 8) THEN savings END{_D} AS s FROM f)
+      SELECT user_id, i AS income, CASE k WHEN 2 THEN 0 WHEN 7 THEN 2 ELSE 1 END AS n_expenses, e AS expenses, CASE WHEN k != 2 THEN i - e END AS surplus, s AS savings, CASE k WHEN 3 THEN 2 ELSE 0 END AS n_debts,
+        CASE k WHEN 3 THEN apr END{_D} AS apr, NULL{_D} AS second_apr, CASE k WHEN 3 THEN debt + savings ELSE 0 END{_D} AS owed, CASE k WHEN 6 THEN 50 ELSE 0 END{_D} AS contributions, CASE k WHEN 6 THEN 60 ELSE 0 END{_D} AS payments FROM a""",
 }
