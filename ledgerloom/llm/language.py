@@ -40,10 +40,18 @@ _BEYOND = re.compile("[^\x00-\u02ff]")  # combining marks are all beyond
 _MARKED = regex.compile(r"[^\W\d_]+")  # marks are word characters to this module
 
 
+# Texts within Latin-1 are cut on bytes: what is no letter there is a space.
+_LATIN = bytes(k if _LETTERS.match(chr(k)) else 32 for k in range(256))
+
+
 def words(text: str | None) -> list[str]:
     if not text:
         return []
     text = text.lower()
+    try:
+        return text.encode("latin-1").translate(_LATIN).decode("latin-1").split()
+    except UnicodeEncodeError:
+        pass
     return (_MARKED if _BEYOND.search(text) else _LETTERS).findall(text)
 
 
@@ -72,22 +80,30 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _table(counts)
 
 
-def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    for batch in batches:
-        for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            for size in range(1, LONGEST + 1):
-                for g in grams(word, size):
-                    counts[lang, g] += n
-            if len(counts) > BLOCK:
-                yield _table(counts)
-                counts.clear()
-    yield _table(counts)
+def _by_key(counts: DataFrame, tasks: int) -> DataFrame:
+    """(key, counts): one row for each key, with (lang, n) for the languages that have it."""
+    # Dealt by key once: neither grouping moves rows again.
+    return counts.repartition(tasks, "key").groupBy("lang", "key").agg(F.sum("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
+
+
+def _pieces(marked: Column, n: int) -> Column:
+    """The n-grams of a marked word, one after another."""
+    last = F.length(marked) - (n - 1)
+    return F.transform(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(marked, k, F.lit(n)))
+
+
+def _gram_counts(word_counts: DataFrame) -> DataFrame:
+    """(lang, key, n) of the n-grams of counted words."""
+    marked = F.concat(F.lit("<"), F.col("key"), F.lit(">"))
+    each = word_counts.select(marked.alias("marked"), F.explode("counts").alias("c")).select("marked", "c.lang", "c.n")
+    every = F.concat(*[_pieces(F.col("marked"), n) for n in range(1, LONGEST + 1)])
+    return each.select("lang", F.explode(every).alias("key"), "n").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def _most_frequent(counts: DataFrame, room: int) -> pd.DataFrame:
-    """The rows of the most frequent keys, of at most ``room`` keys."""
-    total = counts.groupBy("key").agg(F.sum("n").alias("all")).withColumn("c", F.floor(F.log2("all") * 4).cast("int"))
+    """The rows (lang, key, n) of the most frequent keys, of at most ``room`` keys."""
+    all_ = F.aggregate("counts", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+    total = counts.withColumn("c", F.floor(F.log2(all_) * 4).cast("int"))
     least, left = None, room
     for r in total.groupBy("c").count().orderBy(F.desc("c")).collect():
         if (left := left - r["count"]) < 0:
@@ -95,7 +111,7 @@ def _most_frequent(counts: DataFrame, room: int) -> pd.DataFrame:
         least = r["c"]
     if least is None:
         return pd.DataFrame({"lang": [], "key": [], "n": []})
-    return counts.join(total.where(F.col("c") >= least).select("key"), "key").select("lang", "key", "n").toArrow().to_pandas()
+    return total.where(F.col("c") >= least).select("key", F.inline("counts")).toArrow().to_pandas()
 
 
 def _gain(n):
@@ -105,7 +121,7 @@ def _gain(n):
 
 @dataclass
 class LanguageModel:
-    """Languages with their log shares of documents; tables (lang, key, n) of words and n-grams;
+    """Languages with their log shares of documents; tables (key, counts by language) of words and n-grams;
     the log frequencies of unseen keys by language; the frequent words and their gains."""
 
     langs: list[str]
@@ -123,8 +139,8 @@ class LanguageModel:
 
 
 def _unseen(counts: DataFrame, langs: int) -> np.ndarray:
-    sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    keys = counts.select("key").distinct().count()
+    sums = {r["lang"]: r["n"] for r in counts.select(F.inline("counts")).groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    keys = counts.count()
     return np.log(UNSEEN / (np.array([sums.get(k, 0) for k in range(langs)], float) + UNSEEN * (keys + 1)))
 
 
@@ -137,11 +153,11 @@ def learn(training: DataFrame) -> LanguageModel:
     spark = training.sparkSession
     number = F.broadcast(spark.createDataFrame(list(zip(langs, range(len(langs)))), "lang string, number int"))
     texts = training.select("text", F.col("lang").cast("string").alias("lang")).join(number, "lang").select("text", "number")
-    counted = lambda df, how: df.mapInArrow(how, _COUNTS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    word_counts = stored(counted(texts, _count_words), "words", 2)
-    # Read back in few splits, so dealt anew: taking words apart is work.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    gram_counts = stored(counted(word_counts.repartition(tasks), _count_grams), "grams", 2)
+    word_counts = stored(_by_key(texts.mapInArrow(_count_words, _COUNTS), tasks), "words")
+    # Read back in few splits, so dealt anew: taking words apart is work. By size, so that a look-up reads its own.
+    gram_counts = _by_key(_gram_counts(word_counts.repartition(tasks)), tasks).withColumn("size", F.length("key"))
+    gram_counts = stored(gram_counts.sortWithinPartitions("size"), "grams")
     found = _most_frequent(word_counts, max(LEAST_KEYS, CELLS // len(langs)))
     codes, names = pd.factorize(found["key"])
     gains = np.zeros((len(names), len(langs)))
@@ -186,25 +202,19 @@ def _partial(value):
     return rows
 
 
-def _by_key(counts: DataFrame) -> DataFrame:
-    """(key, gains): one row for each key, with (lang, gain) for the languages that have it."""
-    return counts.groupBy("key").agg(F.collect_list(F.struct("lang", _gain(F.col("n")).alias("gain"))).alias("gains"))
-
-
 def _looked_up(found: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows (word, n, whole, gains) for rows (word, n): gains of the word itself (whole) or the
     mean of those of its longest known n-grams. Words without any have no row."""
     marked = stored(found.select(F.monotonically_increasing_id().alias("id"), "word", "n"), "other", 4)
-    known = marked.join(_by_key(model.words).withColumnRenamed("key", "word"), "word").select("id", F.lit(True).alias("whole"), "gains")
+    gains = F.transform("counts", lambda c: F.struct(c["lang"].alias("lang"), _gain(c["n"]).alias("gain"))).alias("gains")
+    known = marked.join(model.words.withColumnRenamed("key", "word"), "word").select("id", F.lit(True).alias("whole"), gains)
     parts = [stored(known, "known", 4)]
     rest = stored(marked.join(parts[0].select("id"), "id", "left_anti").select("id", F.concat(F.lit("<"), "word", F.lit(">")).alias("marked")), "rest", 4)
-    lists = stored(_by_key(model.grams), "lists", 4)
     for n in range(LONGEST, 0, -1):
         if not rest.limit(1).count():
             break
-        pieces = F.transform(F.sequence(F.lit(1), F.length("marked") - (n - 1)), lambda k: F.substring("marked", k, F.lit(n)))
-        cut = rest.where(F.length("marked") >= n).select("id", F.explode(pieces).alias("key"))
-        each = cut.join(lists.where(F.length("key") == n), "key").groupBy("id").agg(F.count("*").alias("of"), F.flatten(F.collect_list("gains")).alias("all"))
+        cut = rest.select("id", F.explode(_pieces(F.col("marked"), n)).alias("key"))
+        each = cut.join(model.grams.where(F.col("size") == n).select("key", gains), "key").groupBy("id").agg(F.count("*").alias("of"), F.flatten(F.collect_list("gains")).alias("all"))
         mean = each.select("id", "of", F.explode("all").alias("g")).groupBy("id", "g.lang").agg((F.sum("g.gain") / F.first("of")).alias("gain"))
         parts.append(stored(mean.groupBy("id").agg(F.collect_list(F.struct("lang", "gain")).alias("gains")).select("id", F.lit(False).alias("whole"), "gains"), "grams", 4))
         left = stored(rest.join(parts[-1].select("id"), "id", "left_anti"), "rest", 4)
