@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one row kept.
 
 Vectors of one label and length are compared exactly. Spherical k-means divides them into
-cells, level by level: a cell of more than ``CELL`` vectors gets up to ``FAN`` centroids,
+cells, level by level: a label of more than ``FIRST`` vectors gets half as many centroids as the root of
+their number, a cell of more than ``CELL`` vectors as many as make it small, ``FAN`` at most,
 trained in a task of its own on at most about ``SAMPLE`` of its vectors, and every vector a home
 among them, until cells are small or do not come apart.
 A neighbour y of x with cos(x, y) >= c lies at most |x - y| = sqrt(2 - 2c) away, so x can
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .work import contained, discard, stored
+from .work import contained, discard, join_hot, stored
 
 SAMPLE = 4_096
+FIRST = 64
 CELL = 2_048
 FAN = 64
 BLOCK = 2_048
@@ -116,9 +118,9 @@ def _cells(nodes: DataFrame, reach: float) -> DataFrame:
     kinds = dict(nodes.dtypes)
     now = nodes.select("id", "dim", "copies", "v", F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home"))
     done, before = None, None
-    for _ in range(MOST_LEVELS):
+    for level in range(MOST_LEVELS):
         sizes = now.groupBy("cell").agg(F.count_if("home").alias("n"), F.count("*").alias("all"), F.first("parent").alias("parent") if before is not None else F.lit(None).cast("long").alias("parent"))
-        sizes = sizes.where(f"n > {CELL}")
+        sizes = sizes.where(F.col("n") > (CELL if level else min(FIRST, CELL)))
         if before is not None:  # a cell that keeps nearly all of its parent does not come apart
             sizes = sizes.join(before, "parent").where("n < 0.9 * parent_n")
         sizes = stored(sizes.select("cell", "n", "all"), "sizes", 16)
@@ -126,7 +128,9 @@ def _cells(nodes: DataFrame, reach: float) -> DataFrame:
             break
         small = now.join(sizes.select("cell"), "cell", "left_anti").select("id", "dim", "copies", "v", "cell", "home")
         large = now.join(sizes, "cell").select("id", "dim", "copies", "v", "cell", "home", "n", "all")
-        k = F.least(F.lit(FAN), F.greatest(F.lit(2), F.ceil(F.col("n") / CELL))).cast("int")
+        wanted = F.ceil(F.col("n") / CELL)
+        wanted = wanted if level else F.greatest(wanted, F.ceil(F.sqrt("n") / 2))
+        k = F.least(F.lit(FAN), F.greatest(F.lit(2), wanted)).cast("int")
         picked = large.where(F.col("home") & (F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 30)) < F.lit(float(SAMPLE)) / F.col("n") * (1 << 30)))
         model = stored(picked.select("cell", "v", k.alias("k")).groupBy("cell").applyInArrow(_train, "cell long, centroids array<double>"), "centroids", 16)
         parts = F.ceil(F.col("all") / ROWS).cast("int")
@@ -177,6 +181,12 @@ def _products(threshold: float):
     return rows
 
 
+def distinct_vectors(good: DataFrame) -> DataFrame:
+    """(id, label, dim, least, copies, v): equal vectors of a label as one, numbered."""
+    groups = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    return groups.select(F.monotonically_increasing_id().alias("id"), "label", "dim", "least", "copies", "v")
+
+
 @contained
 def near_vectors(embeddings: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each input row.
@@ -189,8 +199,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, id_col: str = "
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), components_of(embeddings, vector_col).alias("v")).withColumn("dim", F.size("v"))
     takes_part = usable("v") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     good = raw.where(takes_part)
-    groups = good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    nodes = stored(groups.select(F.monotonically_increasing_id().alias("id"), "label", "dim", "least", "copies", "v"), "vectors")
+    nodes = stored(distinct_vectors(good), "vectors")
     placed = _cells(nodes, math.sqrt(2 - 2 * threshold))
     sizes = placed.groupBy("cell", "dim").agg(
         F.ceil(F.count_if("home") / BLOCK).cast("int").alias("nh"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nm")).where("nh > 0")
@@ -204,11 +213,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98, id_col: str = "
     counts = found.groupBy("id").agg(F.sum("n").alias("others"))
     # A component is named by the smallest id of its rows; each row finds its node by its vector.
     info = nodes.join(counts, "id", "left").join(label.withColumnRenamed("node", "id"), "id", "left").select(
-        "label", "dim", "v", "least", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
+        "label", "dim", "v", "least", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"))
     info = stored(info, "info")
     names = info.groupBy("component").agg(F.min("least").alias("component_id"))
-    info = info.join(names, "component").select("label", "dim", "v", "n_links", "component_id")
-    linked = good.join(info, ["label", "dim", "v"]).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    info = info.join(names, "component").select("label", "dim", "v", "copies", "n_links", "component_id")
+    linked = join_hot(good, info, ["label", "dim", "v"], "copies").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     alone = raw.where(~takes_part).select(
         "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     return linked.union(alone)

@@ -126,7 +126,7 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], weight: str) -> DataFrame:
     """An inner join with a frame of one row for each key, whose ``weight`` column counts the key's rows on the left.
 
     Keys with at least 1 / HOT_SHARE of all rows are HOT_SHARE at most, so they are

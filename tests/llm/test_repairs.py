@@ -1,5 +1,7 @@
 """Rows that differ only in where a null stands, nested columns in mixing, comments in article elements."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.html_text import Page
@@ -46,3 +48,27 @@ def test_nothing_else_in_an_article_goes_by_name():
     assert text_of(f"<article>{inside}</article>") == "a b c d"
     assert text_of('<article><p>x</p><div class="ad">buy</div><div class="comments"><p>me too</p></div><p class="advert">now</p><div class="sidebar">s</div></article>') == "x"
     assert text_of('<body><p>x</p><div class="search">go</div><div class="related">more</div></body>') == "x"
+
+
+def test_cells_are_used_on_the_given_vectors(spark):
+    """Every label comes apart, every vector lives in one cell and visits few of the others."""
+    from ledgerloom.llm import near_vectors as V
+
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    nodes = V.stored(V.distinct_vectors(rows.where(V.usable("v") & F.col("label").isNotNull()).withColumn("dim", F.size("v"))), "vectors")
+    placed = V._cells(nodes, math.sqrt(2 - 2 * 0.98)).join(nodes.select("id", "label"), "id")
+    by_label = placed.groupBy("label").agg(F.count_distinct("cell").alias("cells"), F.count_if("home").alias("homes"), F.count("*").alias("seen"), F.count_distinct("id").alias("n")).collect()
+    assert all(r["cells"] >= 5 and r["homes"] == r["n"] for r in by_label)
+    assert sum(r["seen"] for r in by_label) < 0.8 * sum(r["n"] * r["cells"] for r in by_label)
+    print([(r["cells"], r["n"], round(r["seen"] / r["n"], 2)) for r in by_label])
+
+
+def test_a_vector_with_a_third_of_the_rows(spark):
+    from ledgerloom.llm.near_vectors import near_vectors
+
+    rows = [(k, [1.0, 0.0] if k % 3 == 0 else [math.cos(0.37 * k), math.sin(0.37 * k)], 1) for k in range(150)]
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()}
+    for a, v, _ in rows:
+        links = sum(1 for b, w, _ in rows if a != b and v[0] * w[0] + v[1] * w[1] >= 0.98)
+        assert got[a]["n_links"] == links
+    assert got[3]["component_id"] == 0 and not got[3]["kept"]
