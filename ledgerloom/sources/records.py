@@ -10,7 +10,8 @@ the byte where it begins, its text. Lines stay text, so Spark parses them and pr
   them, filters on ord and on file leave out whole ranges.
 * Sink. Tasks write files aside; the commit of a job (of a stream: of a batch) moves them into
   place and last writes a manifest, which is what readers go by. A job that fails leaves
-  nothing that is read, and a batch that runs again replaces itself.
+  nothing that is read (tasks that still run when it is given up may leave files aside), and a batch
+  that runs again finds itself there.
 """
 
 from __future__ import annotations

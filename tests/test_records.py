@@ -110,7 +110,7 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="no"):
         R.write_records(bad, at)
     assert sorted(r["id"] for r in R.read_records(spark, at, KIND).collect()) == list(range(5))
-    assert not os.path.isdir(f"{at}/_staging") or not os.listdir(f"{at}/_staging")
+    assert len(R.listed(at)) == len([f for f in os.listdir(at) if f.endswith(".jsonl")])
 
 
 def test_a_batch_commits_once(tmp_path):
