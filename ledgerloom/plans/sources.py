@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..lineage import cut
+from ..sources import epochs as E
 from ..sources.records import read_records, write_records
 from ..streaming.runs import new_folder
 from .inputs import table
@@ -32,8 +33,40 @@ def first_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(read_records(spark, _written(spark, sf_dir), _KIND, first=100, size=1 << 18)).select("ord", "doc_id", "source")
 
 
-QUERIES = {"records_round_trip": records_round_trip, "first_records": first_records}
+def resumed_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third epoch of the records, broken off after two fifths and taken up again by two shards."""
+    order = E.EpochOrder(spark, _written(spark, sf_dir), _KIND, _SEED, _GROUP, 1 << 18)
+    some, token = order.take(E.Token(_EPOCH), order.n * 2 // 5)
+    rest = [order.take(token, shard=k, shards=2)[0] for k in (0, 1)]
+    rows = some.withColumn("take", F.lit(0)).union(rest[0].withColumn("take", F.lit(1))).union(rest[1].withColumn("take", F.lit(2)))
+    return rows.select("take", "position", "ord", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
+_SEED, _EPOCH, _GROUP = 17, 2, 64
+
+
+def _rounds_sql(name: str, n: str, lane: str) -> str:
+    """CTEs that permute x of ``name``_0 below n, a round each."""
+    out = []
+    for k, (shift, step, a, b, c) in enumerate(E.round_keys(_SEED, _EPOCH)):
+        u = f"((greatest(x, y) + {lane} * {step} + {b}) % {E.PRIME})"
+        out.append(
+            f"{name}_{k + 1} AS (SELECT * EXCLUDE y REPLACE (CASE WHEN ({u} * {u} % {E.PRIME} * {a} + {c}) % {E.PRIME} < {E.PRIME // 2} THEN y ELSE x END AS x) "
+            f"FROM (SELECT *, (({shift} + {lane} * {step}) % {n} + {n} - x) % {n} AS y FROM {name}_{k}))")
+    return ", ".join(out)
+
+
+_EPOCH_SQL = f"""WITH o AS (SELECT doc_id, md5(coalesce(text, '')) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS ord, count(*) OVER () AS n FROM documents),
+g_0 AS (SELECT ord // {_GROUP} AS grp, count(*) AS size, any_value((n + {_GROUP - 1}) // {_GROUP}) AS groups, ord // {_GROUP} AS x FROM o GROUP BY ord // {_GROUP}),
+{_rounds_sql('g', 'groups', '0')},
+dealt AS (SELECT grp, size, x AS place, coalesce(sum(size) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM g_{E.ROUNDS}),
+r_0 AS (SELECT o.*, d.*, ord - grp * {_GROUP} AS x FROM o JOIN dealt d ON d.grp = o.ord // {_GROUP}),
+{_rounds_sql('r', 'size', '(grp + 1)')}
+SELECT CASE WHEN before + x < n * 2 // 5 THEN 0 ELSE 1 + place % 2 END::INTEGER AS take, before + x AS position, ord, doc_id, text_md5 FROM r_{E.ROUNDS}"""
+
+QUERIES = {"records_round_trip": records_round_trip, "first_records": first_records, "resumed_epoch": resumed_epoch}
 ORACLES = {
     "records_round_trip": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, lang, source, n_chars::BIGINT AS n_chars, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "first_records": "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, doc_id, source FROM documents ORDER BY doc_id LIMIT 100",
+    "resumed_epoch": _EPOCH_SQL,
 }

@@ -306,13 +306,18 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Records)
 
 
-def _lines_of(spark: SparkSession, path: str, size: int, first: int | None) -> DataFrame:
+def count_ranges(spark: SparkSession, path: str, size: int) -> list[int]:
+    """The lines of each range."""
     register(spark)
-    source = spark.read.format(NAME).option("path", path).option("range", size)
-    parts = ranges(listed(path), size)
-    counts = [0] * len(parts)
-    for k, n in source.option("count", "true").load().where("n > 0").collect():  # a number a range, MOST_RANGES at most
+    counts = [0] * len(ranges(listed(path), size))
+    counted = spark.read.format(NAME).option("path", path).option("range", size).option("count", "true").load()
+    for k, n in counted.where("n > 0").collect():  # a number a range, MOST_RANGES at most
         counts[k] = n
+    return counts
+
+
+def _lines_of(spark: SparkSession, path: str, size: int, first: int | None) -> DataFrame:
+    counts = count_ranges(spark, path, size)
     source = spark.read.format(NAME).option("path", path).option("range", size).option("counts", json.dumps(counts))
     return (source if first is None else source.option("first", first)).load()
 
