@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as T
+from ..functions.metrics import TERMS
+from ..functions.phrases import with_phrases
 from ..operators import cleaning as C
 from ..operators import formatting as M
 from .inputs import DOCS_AS_QA_SQL, docs_as_qa, table
-from .sql_text import WS, quoted, strip
+from .sql_text import WS, argmax, contained, occurrences, quoted, strip
 
 PROMPT = "You are a helpful guide."
 
@@ -28,7 +30,7 @@ def clean_reason_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.corpus_summary(_flagged(spark, sf_dir)).drop("n_encoding")
+    return C.corpus_summary(_flagged(spark, sf_dir))
 
 
 def cleaned_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +170,16 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.orderBy(F.desc("n"), "source", "lang").limit(10)
 
 
+def document_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category, terms and topic of whole texts, each read through once."""
+    rows = with_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "category", F.array_join("terms", ", ").alias("terms"), "topic")
+
+
 QUERIES = {f.__name__: f for f in (
     clean_reasons, clean_reason_pivot, clean_summary, cleaned_records, pii_counts, pii_redacted, alpha_ratios, financial_hits, html_stripped, light_whitespace,
     unicode_normalized, profiling_flags, dedup_exact, dedup_counts, dedup_fuzzy, near_question_pairs, chat_v1, split_rows, split_counts, validate_chat,
-    validation_summary, training_messages, sft_examples, profile_documents, value_counts)}
+    validation_summary, training_messages, sft_examples, profile_documents, value_counts, document_phrases)}
 
 # @ stands for the column. In SQL an ASCII letter stands for every other character, so that word ends agree.
 _PLAIN = "regexp_replace(@, '[^\\x00-\\x7F]', 'q', 'g')"
@@ -186,6 +194,16 @@ def _pii_sql(c: str) -> str:
     return count
 
 
+def _changing() -> str:
+    """A class of the characters that NFKC changes, as ranges."""
+    from itertools import groupby
+    from unicodedata import normalize
+
+    odd = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and normalize("NFKC", chr(c)) != chr(c)]
+    runs = [[c for _, c in g] for _, g in groupby(enumerate(odd), lambda x: x[1] - x[0])]
+    return "[" + "".join(f"\\x{{{r[0]:x}}}-\\x{{{r[-1]:x}}}" for r in runs) + "]"
+
+
 def _redact_sql(c: str) -> str:
     for kind, pattern in K.PII:
         c = f"regexp_replace({c}, '{pattern}', '[{kind}]', 'g')"
@@ -212,7 +230,8 @@ _PROFILE_SQL = " OR ".join("regexp_matches(q, '" + p.replace("(?U)", "").replace
 _FLAGGED = f"""WITH {DOCS_AS_QA_SQL.strip()},
 norm AS (SELECT ord, source, {_normal_sql('question')} AS q, {_normal_sql('answer')} AS a,
   length({_normal_sql('question', True)}) AS nq, length({_normal_sql('answer', True)}) AS na,
-  {_pii_sql(_PLAIN.replace('@', 'question'))} + {_pii_sql(_PLAIN.replace('@', 'answer'))} AS pii FROM qa),
+  {_pii_sql(_PLAIN.replace('@', 'question'))} + {_pii_sql(_PLAIN.replace('@', 'answer'))} AS pii,
+  len(regexp_extract_all(concat(question, answer), '{_changing()}')) AS encoding FROM qa),
 flagged AS (SELECT *, CASE WHEN length(q) < 15 THEN 'question_too_short' WHEN length(q) > 5000 THEN 'question_too_long'
   WHEN length(a) < 1 OR {_WORDS.replace('@', 'a')} < 3 THEN 'answer_too_short' WHEN length(a) > 12000 THEN 'answer_too_long'
   WHEN {_ALPHA.replace('@', 'q')} < 0.55 THEN 'low_alpha_ratio' WHEN {_HITS.replace('@', 'q')} + {_HITS.replace('@', 'a')} < 1 THEN 'non_financial'
@@ -233,10 +252,11 @@ each AS (SELECT conv_id, k, concat_ws('; ', CASE WHEN role NOT IN ('system', 'us
   CASE WHEN {strip("coalesce(text, '')")} = '' THEN concat('messages[', k, '] has empty content') END) AS e, role FROM bad),
 errors AS (SELECT conv_id AS id, concat_ws('; ', string_agg(CASE WHEN e != '' THEN e END, '; ' ORDER BY k), CASE WHEN arg_max(role, k) != 'assistant' THEN 'last message role must be ''assistant''' END,
   CASE WHEN count_if(role = 'user') = 0 THEN 'messages must contain a ''user'' turn' END) AS errors FROM each GROUP BY conv_id)"""
+_QS, _TS = [f"q{k}" for k in range(len(K.QUESTION_CATEGORIES))], [f"s{k}" for k in range(len(K.ADVICE_CATEGORIES))]
 ORACLES = {
     "clean_reasons": f"{_FLAGGED} SELECT source, reason, count(*) AS n FROM flagged WHERE reason IS NOT NULL GROUP BY ALL",
     "clean_reason_pivot": f"{_FLAGGED} SELECT source, " + ", ".join(f"count_if(reason = '{r}') AS {r}" for r in C.REASONS) + " FROM flagged WHERE reason IS NOT NULL GROUP BY source",
-    "clean_summary": f"{_FLAGGED} SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n_before, count_if(reason IS NULL) AS n_kept, sum(pii)::BIGINT AS n_pii FROM flagged GROUP BY ROLLUP (source)",
+    "clean_summary": f"{_FLAGGED} SELECT CASE WHEN grouping(source) = 1 THEN 'TOTAL' ELSE source END AS source, count(*) AS n_before, count_if(reason IS NULL) AS n_kept, sum(pii)::BIGINT AS n_pii, sum(encoding)::BIGINT AS n_encoding FROM flagged GROUP BY ROLLUP (source)",
     "cleaned_records": f"{_FLAGGED} SELECT format('{{}}-{{:04d}}', source, ord) AS id, nq::INTEGER AS n_question, na::INTEGER AS n_answer FROM flagged WHERE reason IS NULL",
     "pii_counts": f"SELECT * FROM (SELECT doc_id, ({_pii_sql(_PLAIN.replace('@', 'text'))})::BIGINT AS n_pii FROM documents) WHERE n_pii > 0",
     "alpha_ratios": f"SELECT doc_id, round({_ALPHA.replace('@', 'text')}, 6) AS alpha_ratio FROM documents",
@@ -263,5 +283,12 @@ ORACLES = {
     "sft_examples": """WITH p AS (SELECT conv_id, turn, length(text) AS a, length(lead(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS b FROM conversations WHERE role != 'system')
         SELECT conv_id, turn, (ceil(least(a + b, 100) / 8.0) * 8)::INTEGER AS n, least(a + b, 100)::BIGINT AS n_real, (least(a, 100) + ceil(least(a + b, 100) / 8.0) * 8 - least(a + b, 100))::INTEGER AS n_masked FROM p WHERE b IS NOT NULL""",
     "profile_documents": "SELECT count(*) AS n, count_if(text IS NULL) AS n_null, count_if(text = '') AS n_empty, count(*) - count(DISTINCT text) AS n_copies, round(avg(length(text)), 3) AS mean_chars, median(length(text))::DOUBLE AS median_chars, max(length(text))::INTEGER AS max_chars FROM documents",
+    "document_phrases": f"""WITH low AS (SELECT *, lower(text) AS low FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT *, {', '.join(f"{contained('low', w)} AS q{k}" for k, w in enumerate(K.QUESTION_CATEGORIES.values()))},
+          {', '.join('(' + ' + '.join(occurrences('low', w) for w in words) + f') AS s{k}' for k, words in enumerate(K.ADVICE_CATEGORIES.values()))}, regexp_matches(text, '(?i){K.DEFINITION}') AS asks FROM low),
+        t AS (SELECT *, greatest({', '.join(_QS)}) AS most, greatest({', '.join(_TS)}) AS top FROM s)
+        SELECT doc_id, CASE WHEN most = 0 THEN 'general' ELSE {argmax(list(zip(K.QUESTION_CATEGORIES, _QS)))} END AS category, array_to_string(list_filter({quoted(TERMS)}, lambda w: contains(low, w)), ', ') AS terms,
+          CASE WHEN top = 0 THEN CASE WHEN asks THEN 'Concepts' ELSE 'General' END WHEN asks AND top <= 2 THEN 'Concepts' ELSE {argmax(list(zip(K.ADVICE_CATEGORIES, _TS)))} END AS topic FROM t
+        UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL""",
     "value_counts": "SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL ORDER BY n DESC, source, lang LIMIT 10",
 }
