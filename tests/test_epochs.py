@@ -104,4 +104,4 @@ def test_no_records(spark, tmp_path):
 def test_broken_lines_give_nulls(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1}\nnot json\n{"id": 3')
     got = rows(E.EpochOrder(spark, str(tmp_path), KIND).take(E.Token())[0])
-    assert sorted((o, i) for _, o, i in got) == [(0, 1), (1, None), (2, None)] or sorted(o for _, o, _ in got) == [0, 1, 2]
+    assert sorted((o, i) for _, o, i in got if o < 2) == [(0, 1), (1, None)] and len(got) == 3
