@@ -44,7 +44,7 @@ BITS = 1 << 23
 BROADCAST_LINES = 1 << 21
 _FIELD = "\x00"
 _PIECE = 1 << 18
-_SEEN_TEXTS = 500_000
+_SEEN_TEXTS = 1 << 17  # hashes of texts, and of lines, that a task remembers in order not to say things twice
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _DIGITS = np.isin(np.arange(256), np.arange(48, 58))
 _BYTES = np.where(_SPACES, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
@@ -257,20 +257,24 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(lines: DataFrame) -> DataFrame:
-    """(line, template) for rows (path, line, body, n), each line of the leaves once.
+    """(line, n, template) for rows (path, line, body, n), each line of the leaves once.
 
-    A template is named by the smallest of its lines.
+    A template is named by the smallest of its lines. A line that heads a large share of all
+    links is joined apart.
     """
     parts = stored(lines.select("line", "body").mapInArrow(_parts, _BODY_FORM).join(lines.select("line", "path", "n"), "line").withColumn(
         "key", F.xxhash64("path", "nth", "part")), "parts", 4)
     heads = parts.groupBy("key").agg(F.max(F.struct("n", "line")).alias("h"), F.count("*").alias("rows")).where("rows > 1").select("key", F.col("h.line").alias("head"), "rows")
     links = join_hot(parts.select("key", "line"), stored(heads, "heads", 16), "key", "rows").where("line != head").select("line", "head").distinct()
+    links = stored(links, "links", 4)
     body = lines.select("line", F.split("body", " ").alias("tokens"))
-    both = links.join(body, "line").join(body.select(F.col("line").alias("head"), F.col("tokens").alias("other")), "head")
+    others = links.groupBy("head").agg(F.count("*").alias("n")).join(body.select(F.col("line").alias("head"), F.col("tokens").alias("other")), "head")
+    both = join_hot(links, stored(others, "others", 16), "head", "n").join(body, "line")
     same = F.size(F.filter(F.zip_with("tokens", "other", lambda x, y: x == y), lambda e: e))
     alike = (F.size("tokens") == F.size("other")) & (same >= F.ceil(F.size("tokens") * ALIKE - 1e-9))
     found = components(both.where(alike).select(F.col("line").alias("u"), F.col("head").alias("v")))
-    return lines.select("line").join(found.withColumnRenamed("node", "line"), "line", "left").select("line", F.coalesce("component", "line").alias("template"))
+    discard(parts, links)
+    return lines.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left").select("line", "n", F.coalesce("component", "line").alias("template"))
 
 
 def _groups(seen: DataFrame) -> DataFrame:
@@ -298,7 +302,7 @@ def recurring_lines(documents: DataFrame, text_col: str = "text") -> tuple[DataF
     leaf = lines.groupBy("path").agg(F.sum("n").alias("all")).where(F.col("all") >= LEAST)
     lines = stored(lines.join(leaf, "path").select("path", "line", "body", "n"), "distinct", 16)
     template = stored(templates(lines), "templates", 16)
-    met = stored(seen.select("line", "doc").join(template, "line").select("template", "doc").distinct(), "met", 16)
+    met = stored(join_hot(seen.select("line", "doc"), template, "line", "n").select("template", "doc").distinct(), "met", 16)
     by_group = met.join(_groups(seen), "doc", "left").groupBy("template", F.coalesce("group", "doc").alias("group")).agg(F.count("*").alias("n"))
     counts = by_group.groupBy("template").agg(F.sum("n").alias("docs"), (F.sum("n") - F.max("n")).alias("outside"))
     recur = stored(counts.where(F.col("outside") >= LEAST), "recurring", 16)
