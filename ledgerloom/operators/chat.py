@@ -96,7 +96,7 @@ def run_chat(requests: DataFrame, turns: DataFrame, memories: DataFrame, author:
     earlier = N.merge_facts(N.with_facts(said), "conv_id", "turn").select("conv_id", facts_text().alias("known"))
     every = N.merge_facts(N.with_facts(said.union(now)), "conv_id", "turn")
     ask = requests.select(F.col("conv_id").alias("query_id"), "user_id", F.col("message").alias("text"))
-    found = M.memory_context(M.retrieve(ask, memories), memories).withColumnRenamed("query_id", "conv_id").withColumnRenamed("context", "remembered")
+    found = M.contexts(ask, memories).withColumnRenamed("query_id", "conv_id").withColumnRenamed("context", "remembered")
     rows = requests.join(packed, "conv_id", "left").join(earlier, "conv_id", "left").join(every, "conv_id", "left").join(found, "conv_id", "left")
     empty = F.array().cast("array<struct<role:string,content:string>>")
     rows = rows.withColumn("history", F.coalesce("history", empty))

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt to as many tasks as shuffles have: a table of short rows is a file of few row groups,
+    and what is made of a row costs far more than to read it. A given number is not merged again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def docs_as_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ord, source, question, answer): the first line asks, the rest answers."""
     text = F.col("text")
@@ -35,7 +41,7 @@ BUDGET_NUMBERS = """c_custkey AS user_id,
 
 def budget_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, income, rent, food, savings, debt, apr, text)."""
-    return budget_rows(table(spark, sf_dir, "customer"))
+    return budget_rows(spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey"))
 
 
 def budget_rows(customers: DataFrame) -> DataFrame:
@@ -73,7 +79,7 @@ INTENT_COLUMNS = f"p_partkey AS msg_id, p_partkey % 37 AS user_id, replace({_CHO
 
 def intent_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(msg_id, user_id, text): template messages over the parts."""
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey").select(
         F.col("p_partkey").alias("msg_id"), (F.col("p_partkey") % 37).alias("user_id"), F.expr(f"replace({_CHOICE}, '{{}}', p_name)").alias("text"))
 
 
