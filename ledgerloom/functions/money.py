@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip, word_list
+from .text import named_once, strip, word_list
 
 # A labelled amount, and hints near it.
 PAIR = r"(?U)([A-Za-z][A-Za-z0-9 &'()/%-]{1,40}?)[ \t]*[:=][ \t]*\$?[ \t]*([\d,]+(?:\.\d{1,2})?)\b"
@@ -40,18 +40,23 @@ def spans(text: Column, pattern: str, groups: int = 1) -> Column:
     The engine returns matches without places. They follow from the pieces between the
     matches: a match starts after all earlier pieces and matches.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    captured = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k + 1)) for k in range(groups)]
-    rows = F.transform(hits, lambda h, k: F.struct(
-        h.alias("all"), F.array(*[F.get(c, k) for c in captured]).alias("groups"), F.length(F.get(between, k)).alias("gap"), F.length(h).alias("size")))
     empty = F.array().cast(SPAN)
 
-    def add(acc: Column, r: Column) -> Column:
-        start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + r["gap"]
-        return F.concat(acc, F.array(F.struct(r["all"].alias("all"), r["groups"].alias("groups"), start.alias("start"), (start + r["size"]).alias("end"))))
+    def placed(m: Column) -> Column:
+        rows = F.transform(m["hits"], lambda h, k: F.struct(
+            h.alias("all"), F.array(*[F.get(m[f"g{j}"], k) for j in range(groups)]).alias("groups"), F.length(F.get(m["between"], k)).alias("gap"), F.length(h).alias("size")))
 
-    return F.aggregate(rows, empty, add)
+        def add(acc: Column, r: Column) -> Column:
+            start = F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + r["gap"]
+            return F.concat(acc, F.array(F.struct(r["all"].alias("all"), r["groups"].alias("groups"), start.alias("start"), (start + r["size"]).alias("end"))))
+
+        return F.aggregate(rows, empty, add)
+
+    # A lambda computes what it names for each element anew, so matches, pieces and groups are bound first;
+    # a text without a match is looked through once.
+    found = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    parts = lambda hits: F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("between"), *[found(j + 1).alias(f"g{j}") for j in range(groups)])
+    return named_once(found(0), lambda hits: F.when(F.size(hits) > 0, named_once(parts(hits), placed)).otherwise(F.when(hits.isNotNull(), empty)))
 
 
 def amount(raw: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import (
     APR, DEBT_LABELS, HAVE_FUNDS, INCOME_LABELS, INCOME_PHRASE, INCOME_VERB, MONTHLY, PAIR, SAVING_LABELS,
     amount, around, dollars, label_key, monthly, payoff_months, short_number, spans, stands_for)
-from ..functions.text import n_words, strip
+from ..functions.text import n_words, named_once, strip
 
 # Assumptions of the plan.
 HIGH_APR = 10.0
@@ -27,19 +27,24 @@ _DEBT = "struct<description:string,amount:double,apr:double>"
 
 def _goals(text: Column) -> Column:
     """Items after a goals heading; else items and sentences that sound like goals."""
-    lines = F.transform(F.split(text, r"\r\n|\n|\r"), strip)
-    heading = F.array_position(F.transform(lines, lambda x: x.rlike(GOAL_HEADER)), True)
-
-    def goal(line: Column, k: Column) -> Column:
-        item = F.regexp_extract(line, GOAL_ITEM, 1)
-        priced = F.contains(line, F.lit("$")) | line.rlike(PAIR)
+    def goal(line: Column, k: Column, heading: Column) -> Column:
+        # What a line is decided by is computed once a line; most lines have no mark and no item.
         clean = lambda c: F.regexp_replace(c, r"^[ .:-]+|[ .:-]+$", "")
-        listed = F.when((item != "") & ~priced, clean(item))
-        free = F.when(priced, None).when(item != "", F.when(clean(item).rlike(GOAL_MARK), clean(item))).when(
-            (n_words(line) >= 3) & line.rlike(GOAL_MARK), clean(line))
-        return F.when(line.rlike(GOAL_HEADER), None).when((heading > 0) & (k >= heading), listed).otherwise(free)
+        priced = F.contains(line, F.lit("$")) | line.rlike(PAIR)
+
+        def told(item: Column) -> Column:
+            listed = F.when((item != "") & ~priced, clean(item))
+            free = F.when((item == "") & ~line.rlike(GOAL_MARK), None).when(priced, None).when(item != "", named_once(clean(item), lambda c: F.when(c.rlike(GOAL_MARK), c))).when(
+                n_words(line) >= 3, clean(line))
+            return F.when((heading > 0) & (k >= heading), listed).otherwise(free)
 
-    return F.array_distinct(F.filter(F.transform(lines, goal), lambda g: g != ""))
+        return F.when(line.rlike(GOAL_HEADER), None).otherwise(named_once(F.regexp_extract(line, GOAL_ITEM, 1), told))
+
+    def found(lines: Column) -> Column:
+        heading = F.array_position(F.transform(lines, lambda x: x.rlike(GOAL_HEADER)), True)
+        return named_once(heading, lambda h: F.array_distinct(F.filter(F.transform(lines, lambda x, k: goal(x, k, h)), lambda g: g != "")))
+
+    return named_once(F.transform(F.split(text, r"\r\n|\n|\r"), strip), found)
 
 
 def with_facts(messages: DataFrame, text: str = "text") -> DataFrame:
@@ -63,8 +68,11 @@ def with_facts(messages: DataFrame, text: str = "text") -> DataFrame:
     payment = lambda p: F.contains(p["key"], F.lit("payment")) | p["monthly"]
     rate = lambda p: F.when(p["near"].rlike(APR), F.regexp_extract(p["near"], APR, 1).cast("double"))
     expenses = F.filter("__pairs", lambda p: (p["kind"] == "expense") & (p["key"] != ""))
-    keys = F.transform(expenses, lambda p: p["key"])
-    first = F.filter(expenses, lambda p, k: F.array_position(keys, p["key"]) == k + 1)
+
+    def firsts(found: Column) -> Column:
+        return named_once(F.transform(found, lambda p: p["key"]), lambda keys: F.filter(found, lambda p, k: F.array_position(keys, p["key"]) == k + 1))
+
+    first = named_once(expenses, firsts)
     return out.withColumn("facts", F.struct(
         F.coalesce(labelled, told).alias("income"),
         F.transform(first, lambda p: F.struct(strip(p["label"]).alias("category"), money(p).alias("amount"))).alias("expenses"),
@@ -104,8 +112,7 @@ def merge_facts(rows: DataFrame, key: str, order: str) -> DataFrame:
         packed("goals").alias("goals"), packed("savings_contributions").alias("savings_contributions"), packed("debt_payments").alias("debt_payments"))
 
     def first_of(name: str, key) -> Column:
-        keys = F.transform(name, key)
-        return F.filter(name, lambda x, k: F.array_position(keys, key(x)) == k + 1)
+        return named_once(F.transform(name, key), lambda keys: F.filter(name, lambda x, k: F.array_position(keys, F.get(keys, k)) == k + 1))
 
     expense = lambda x: F.lower(x["category"])
     debt = lambda x: F.struct(F.lower(x["description"]).alias("d"), F.round(x["amount"], 2).alias("a"))
@@ -257,18 +264,31 @@ def corrected(reply: Column, message: Column, block: Column) -> Column:
     """The reply without echoes, repeats, invented changes and own sums, sections renumbered,
     after the verified block if there is one."""
     lines_of = lambda c: F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r")
-    lines = F.transform(lines_of(reply), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
-    said = F.filter(F.transform(lines_of(message), line_key), lambda k: F.length(k) >= 4)
-    lines = F.filter(lines, lambda x: (line_key(x) != "") & ~F.array_contains(said, line_key(x)))
-    keys = F.transform(lines, line_key)
-    lines = F.filter(lines, lambda x, k: F.array_position(keys, line_key(x)) == k + 1)
     bad = lambda x: F.coalesce(*[F.when(x.rlike(p), True) for p in (*INVENTED, MATH_LINE, SUMMARY_LINE, HEADER_LINE)], F.lit(False))
-    lines = F.filter(lines, lambda x: ~bad(x))
-    title = lambda x: x.rlike(SECTION_TITLE)
-    lines = F.filter(lines, lambda x, k: ~title(x) | F.coalesce(~title(F.get(lines, k + 1)), F.lit(False)))
-    heads = F.filter(F.transform(lines, lambda x, k: F.when(title(x), k)), lambda k: k.isNotNull())
-    lines = F.transform(lines, lambda x, k: F.when(title(x), F.concat(
-        F.array_position(heads, k).cast("string"), F.lit(". "), F.regexp_extract(x, SECTION_TITLE, 1))).otherwise(x))
+    keyed = F.transform(F.transform(lines_of(reply), lambda x: F.regexp_replace(x, r"(?U)\s+$", "")), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+
+    # Each step binds what the next one names: a lambda would compute it anew for each of its lines.
+    def unsaid(said: Column) -> Column:
+        return F.filter(keyed, lambda x: (x["key"] != "") & ~F.array_contains(said, x["key"]))
+
+    def once(rows: Column) -> Column:
+        return named_once(F.transform(rows, lambda x: x["key"]), lambda keys: F.filter(rows, lambda x, k: F.array_position(keys, x["key"]) == k + 1))
+
+    def titled(rows: Column) -> Column:
+        kept = F.filter(rows, lambda x: ~bad(x["line"]))
+        return F.transform(kept, lambda x: F.struct(x["line"].alias("line"), x["line"].rlike(SECTION_TITLE).alias("title")))
+
+    def filled(rows: Column) -> Column:
+        return F.filter(rows, lambda x, k: ~x["title"] | F.coalesce(~F.get(rows, k + 1)["title"], F.lit(False)))
+
+    def numbered(rows: Column) -> Column:
+        heads = F.filter(F.transform(rows, lambda x, k: F.when(x["title"], k)), lambda k: k.isNotNull())
+        return named_once(heads, lambda h: F.transform(rows, lambda x, k: F.when(x["title"], F.concat(
+            F.array_position(h, k).cast("string"), F.lit(". "), F.regexp_extract(x["line"], SECTION_TITLE, 1))).otherwise(x["line"])))
+
+    lines = named_once(F.filter(F.transform(lines_of(message), line_key), lambda k: F.length(k) >= 4), unsaid)
+    for step in (once, titled, filled, numbered):
+        lines = named_once(lines, step)
     body = F.array_join(lines, "\n")
     return strip(F.when(block.isNull(), body).otherwise(F.concat(block, F.lit("\n\n"), body)))
 
