@@ -105,7 +105,8 @@ def guarded_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refined_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in author that drops its made-up figure at the second or third try, or never."""
+    """A stand-in author that drops its made-up figure at the second or third try, or never. To some
+    users the figure is none: it is a year, a sum or so of theirs, and the first try passes."""
     def author(rows: DataFrame, attempt: int) -> DataFrame:
         fine = F.expr("concat('Your income is $', format_number(income, 0), '.')")
         return rows.withColumn("reply", F.when(F.col("user_id") % 4 < attempt, fine).otherwise("You need $75,000 to start."))
@@ -243,7 +244,8 @@ ORACLES = {
     "reply_verdicts": f"""{_JUDGED}, firsts AS (SELECT user_id, issue, min(kind * 10000 + place * 100 + nth) AS o FROM issues GROUP BY ALL), told AS (SELECT user_id, string_agg(issue, chr(10) ORDER BY o) AS issues FROM firsts GROUP BY user_id)
       SELECT user_id, told.issues IS NULL AS passed, coalesce(told.issues, '') AS issues FROM budgets LEFT JOIN told USING (user_id)""",
     "unsupported_claims": f"{_UNSUPPORTED} SELECT user_id, place, kind FROM flags WHERE kind IS NOT NULL",
-    "refined_replies": f"{_B} SELECT user_id, (user_id % 4 + 1)::INTEGER % 4 AS attempt FROM budgets",
+    "refined_replies": f"""{_JUDGED.replace(f"[{_CHOSEN}]", "['You need $75,000 to start.']").replace("range(5)", "range(1)")}, bad AS (SELECT DISTINCT user_id FROM issues)
+      SELECT x.user_id, CASE WHEN bad.user_id IS NULL THEN 1 ELSE (x.user_id % 4 + 1)::INTEGER % 4 END::INTEGER AS attempt FROM budgets x LEFT JOIN bad USING (user_id)""",
     "guarded_replies": f"""{_UNSUPPORTED}, bad AS (SELECT DISTINCT user_id FROM flags WHERE kind IS NOT NULL),
       all_ AS (SELECT x.user_id, x.savings, array_to_string([{_CHOSEN}], ' ') AS reply, bad.user_id IS NOT NULL AS is_clarification FROM budgets x LEFT JOIN bad USING (user_id))
       SELECT user_id, is_clarification, CASE WHEN NOT is_clarification THEN length(reply) ELSE
