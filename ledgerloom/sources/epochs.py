@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from .jsonl import CLEANED
-from .records import MOST_RANGES, RANGE, _filesystem, count_ranges, lines, listed, ranges
+from .records import MOST_RANGES, MOST_TASKS, RANGE, _filesystem, count_ranges, lines, listed, ranges
 
 NAME = "records_epoch"
 LINE = "position long, ord long, value string"
@@ -92,6 +92,7 @@ class EpochReader(DataSourceReader):
         self.n = self.before[-1]
         self.groups = -(-self.n // self.group)
         self.short = self.groups * self.group - self.n  # what the last group lacks
+        self.last = int(permuted(self.groups - 1, self.groups, self.keys)) if self.short else 0  # the place it is dealt to
         self.low, self.high = number("start", 0), min(self.n, number("stop", self.n))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -106,12 +107,12 @@ class EpochReader(DataSourceReader):
 
     def begin(self, place: int) -> int:
         """The first position of the group dealt to a place."""
-        short = self.short and place > int(permuted(self.groups - 1, self.groups, self.keys))
+        short = self.short and place > self.last
         return place * self.group - (self.short if short else 0)
 
     def partitions(self) -> list[Run]:
-        """Runs of one group, longer ones where that would be more than MOST_RANGES."""
-        step = self.groups // MOST_RANGES + 1
+        """Runs of one group, longer ones where that would be more than MOST_TASKS or MOST_RANGES."""
+        step = self.groups // min(MOST_TASKS, MOST_RANGES) + 1
         out = [Run(k, min(k + step, self.groups)) for k in range(0, self.groups, step)] if self.low < self.high else []
         out = [r for r in out if self.begin(r.first) < self.high and self.low < self.begin(r.last) and (step > 1 or r.first % self.shards == self.shard)]
         return out or [Run(0, 0)]

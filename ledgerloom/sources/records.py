@@ -38,6 +38,7 @@ LINE = "ord long, file string, at long, value string"
 COUNT = "k int, n long"
 RANGE = 32 << 20
 MOST_RANGES = 100_000  # ranges grow rather than being more than so many, as the driver plans each
+MOST_TASKS = 192  # a task reads neighbouring ranges one after another rather than being one of more than about so many: to start a Python task costs more than to read a range
 BATCH = 4096
 _MANIFEST, _STAGING = "_committed-", "_staging"
 
@@ -69,6 +70,18 @@ class Range(InputPartition):
     start: int
     end: int
     ord: int | None = None
+    more: tuple[Range, ...] = ()  # neighbours in the file that the same task reads
+
+
+def together(parts: list[Range]) -> list[Range]:
+    """The same ranges, neighbours of a file as one task where they are more than MOST_TASKS."""
+    step, out = -(-len(parts) // MOST_TASKS), []
+    for part in parts:
+        if out and out[-1].file == part.file and len(out[-1].more) + 1 < step:
+            out[-1].more += (part,)
+        else:
+            out.append(part)
+    return out
 
 
 def ranges(files: list[tuple[str, int]], size: int) -> list[Range]:
@@ -163,11 +176,11 @@ class RecordsReader(_Reader, DataSourceReader):
                     continue
             if self.files is None or part.file in self.files:
                 out.append(part)
-        return out or [Range(0, "", 0, 0, 0)]
+        return together(out) or [Range(0, "", 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if partition.file:
-            yield from self.batches(partition)
+        for part in (partition, *partition.more) if partition.file else ():
+            yield from self.batches(part)
 
 
 class RecordsStream(_Reader, DataSourceStreamReader):
