@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.text import alpha_ratio, encoding_changes, fix_replacement, lexicon_hits, n_words, squeeze, with_normal_text, with_pii_count
 from ..lineage import cut
-from .likeness import greedy_dropped, near_edges
+from .likeness import edit_distance, greedy_dropped, near_edges
+
+PAIR_CHUNK = 128  # texts of a chunk where all near pairs are asked for
 
 #: Why a record goes, in the order that counts.
 REASONS = ("unparseable", "question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "low_alpha_ratio", "non_financial", "profiling")
@@ -129,13 +131,13 @@ def near_pairs(texts: DataFrame, most: float = 0.08) -> DataFrame:
 
     texts has (ord, question) with distinct numbers; a block is the first characters. A pair
     within m edits differs in at most m characters of length and 2 m counts of letters; the
-    distance itself is computed only for pairs that this leaves, and no further than m.
+    distance itself is computed only for pairs that this leaves, and no further than m. Tiles are small:
+    a block of near texts is work for many tasks.
     """
     rows = texts.select(F.col("ord").cast("long").alias("ord"), question_key(F.col("question")).alias("text")).where("text != ''").withColumn("block", F.left("text", F.lit(K.BLOCK_PREFIX)))
     edits = lambda n, m: 2 * np.floor(np.maximum(n, m) * most)
-    pairs = near_edges(rows, 1 / (1 - most), edits)
-    m = F.floor(F.greatest(F.length("ta"), F.length("tb")) * most).cast("int")
-    return pairs.select("a", "b", F.call_function("levenshtein", F.col("ta"), F.col("tb"), m).alias("distance")).where("distance >= 0")
+    within = lambda later, earlier: edit_distance(later, earlier, int(np.floor(max(len(later), len(earlier)) * most)))
+    return near_edges(rows, 1 / (1 - most), edits, within, PAIR_CHUNK).select("a", "b", "distance")
 
 
 def dedup_counts(kinds: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@
   (1 - t) * (n + m) insertions and deletions, and each changes one letter count by one. So the
   letter counts, folded into ``CLASSES`` classes, differ by no more than that in sum, and the longer
   text has at most (2 - t) / t times the shorter's length. Both bounds are exact; what they
-  leave is compared character by character.
+  leave is compared character by character. An edit distance comes from a text's columns of the
+  table as bits of one number, a step for each character of the other text.
 * Tiles. A block's texts fall into length classes, and each class into chunks of ``CHUNK``. Near
   texts are in one class or in neighbouring ones, so tiles of two chunks meet all of them;
   a tile is a task's unit and its size does not depend on the block's.
@@ -58,6 +59,47 @@ def ratio_reaches(later: str, earlier: str, threshold: float) -> bool:
     return m.quick_ratio() >= threshold and m.ratio() >= threshold
 
 
+def edit_distance(a: str, b: str, most: int) -> int:
+    """The Levenshtein distance, -1 beyond ``most``.
+
+    A column of the table is two numbers: where it grows by one from row to row, and where it
+    falls (Myers; Hyyrö). So a step costs as much as adding numbers of so many bits.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > most:
+        return -1
+    if a == b:
+        return 0
+    begin, end = 0, len(a)
+    while begin < end and a[begin] == b[begin]:
+        begin += 1
+    more = len(b) - end
+    while end > begin and a[end - 1] == b[end + more - 1]:
+        end -= 1
+    a, b = a[begin:end], b[begin : end + more]
+    if not a:
+        return len(b)
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    top, whole, stop = len(a) - 1, (1 << len(a)) - 1, most + len(b) - 1
+    up, down, d = whole, 0, len(a)
+    for k, c in enumerate(b):
+        x = at.get(c, 0)
+        same = ((((x & up) + up) ^ up) | x | down) & whole
+        rise, fall = down | ((same | up) ^ whole), same & up
+        if rise >> top:
+            d += 1
+        elif fall >> top:
+            d -= 1
+        if d + k > stop:
+            return -1
+        rise = (rise << 1 | 1) & whole
+        up, down = (fall << 1 & whole) | ((same | rise) ^ whole), rise & same
+    return d
+
+
 def first_kept(texts: list[str], threshold: float) -> list[bool]:
     """The greedy rule over texts in order."""
     lengths, counts = profiles(texts)
@@ -117,23 +159,25 @@ def _tile_pairs(allowed: Callable, near: Callable | None):
                     if side[i] == 2 and j <= i:
                         continue
                     a, b = (i, j) if ords[i] < ords[j] else (j, i)
-                    if near is None or near(texts[b], texts[a]):
-                        found.append((blocks[0], ords[a], ords[b], texts[a] if near is None else None, texts[b] if near is None else None))
+                    distance = 0 if near is None else near(texts[b], texts[a])
+                    if distance >= 0:
+                        found.append((blocks[0], ords[a], ords[b], distance))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["block", "a", "b", "ta", "tb"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.int64(), pa.int32()))], ["block", "a", "b", "distance"])
 
     return rows
 
 
 def near_edges(rows: DataFrame, reach: float, allowed: Callable, near: Callable | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(block, a, b, ta, tb): pairs of a block, earlier first, that the bounds leave and ``near(later, earlier)`` confirms.
+    """(block, a, b, distance): pairs of a block, earlier first, that the bounds leave and ``near(later, earlier)``
+    confirms by a distance, which is below 0 for others.
 
     allowed(n, m) is the most by which the letter counts of near texts of these lengths differ
-    in sum; reach the most by which the longer of them is longer. Without ``near`` the
-    texts come along.
+    in sum; reach the most by which the longer of them is longer. Pairs are compared where they
+    meet: their texts, of which many pairs repeat one, are not moved again.
     """
     met = tiles(rows, reach, chunk)
-    return met.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(allowed, near), "block string, a long, b long, ta string, tb string")
+    return met.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(allowed, near), "block string, a long, b long, distance int")
 
 
 def first_independent(edges: DataFrame) -> DataFrame:
@@ -209,6 +253,6 @@ def greedy_dropped(rows: DataFrame, threshold: float, head: int = HEAD, chunk: i
     rest = join_counted(rows, heads, "block", "n").join(decided, at, "left_anti")
     met = cut(rest.select(*at, "text", "heads").mapInArrow(_near_heads(threshold), "block string, ord long, near boolean"))
     still = rows.join(met.where("not near"), at, "left_semi")
-    edges = near_edges(still, (2 - threshold) / threshold, lambda n, m: edits_allowed(n, m, threshold), lambda b, a: ratio_reaches(b, a, threshold), chunk)
+    edges = near_edges(still, (2 - threshold) / threshold, lambda n, m: edits_allowed(n, m, threshold), lambda b, a: 0 if ratio_reaches(b, a, threshold) else -1, chunk)
     node = lambda c: F.struct("block", F.col(c).alias("ord")).alias(c)
     return out.union(met.where("near").select(*at)).union(first_independent(edges.select(node("a"), node("b"))).select("id.*"))
