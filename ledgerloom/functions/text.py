@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,19 +51,32 @@ def count_replacement(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("�"), F.lit("")))
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
+_SLICE = 256  # texts of an Arrow batch that are Python objects at once
+
+
+def by_slices(f: Callable[[str], object], kind: pa.DataType) -> Callable[[pa.Array], pa.Array]:
+    """f of each text of an Arrow array, a slice after another: a batch of long texts, held as Python
+    strings before and after, is several times as large as it is in Arrow."""
+    def run(texts: pa.Array) -> pa.Array:
+        done = [pa.array([None if x is None else f(x) for x in texts.slice(k, _SLICE).to_pylist()], kind) for k in range(0, len(texts), _SLICE)]
+        return pa.concat_arrays(done) if done else pa.array([], kind)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return run
+
+
+def _nfkc(x: str) -> str:
     import unicodedata
 
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return unicodedata.normalize("NFKC", x)
 
 
-def _nfkc_changes(s: pd.Series) -> pd.Series:
+def _nfkc_changes(x: str) -> int:
     import re
     import unicodedata
     from collections import Counter
 
-    other = re.compile(_NOT_ASCII)
-    return s.map(lambda x: 0 if x is None else sum(n for c, n in Counter(other.findall(x)).items() if unicodedata.normalize("NFKC", c) != c))
+    return sum(n for c, n in Counter(re.findall(_NOT_ASCII, x)).items() if unicodedata.normalize("NFKC", c) != c)
 
 
 _NOT_ASCII = r"[^\x00-\x7F]"
@@ -74,7 +87,7 @@ def normalize_unicode(c: Column) -> Column:
 
     Give it a column rather than an expression, which it would name three times.
     """
-    c = F.coalesce(F.pandas_udf(_nfkc, "string")(F.when(c.rlike(_NOT_ASCII), c)), c)
+    c = F.coalesce(F.arrow_udf(by_slices(_nfkc, pa.string()), "string")(F.when(c.rlike(_NOT_ASCII), c)), c)
     single = {k: v for k, v in PUNCTUATION.items() if len(v) == 1}
     c = F.translate(c, "".join(single), "".join(single.values()))
     for k, v in PUNCTUATION.items():
@@ -85,7 +98,7 @@ def normalize_unicode(c: Column) -> Column:
 
 def encoding_changes(c: Column) -> Column:
     """How many characters NFKC would change."""
-    return F.coalesce(F.pandas_udf(_nfkc_changes, "int")(F.when(c.rlike(_NOT_ASCII), c)), F.lit(0))
+    return F.coalesce(F.arrow_udf(by_slices(_nfkc_changes, pa.int32()), "int")(F.when(c.rlike(_NOT_ASCII), c)), F.lit(0))
 
 
 def strip_html(c: Column) -> Column:
