@@ -19,39 +19,75 @@ from ..operators.memory import SAME, MemoryFold, tokens
 
 CHANGES = "user_id long, memory_id long, ord long, change string, content string, category string, importance double"
 _COLUMNS = [c.split()[0] for c in CHANGES.split(", ")]
+MOST_HELD = 1 << 14  # memories and postings of a user that a task holds at once
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _StateMaps:
-    """What :class:`MemoryFold` asks of its memories and postings, kept in Spark's state maps."""
+    """What :class:`MemoryFold` asks of its memories and postings, kept in Spark's state maps.
+
+    A call of the state store costs more than the work on what it gives. So what a user's rows of a
+    batch read and write stays at hand, up to ``MOST_HELD`` entries, and is written by :meth:`flush`,
+    each entry once: to be called before the processor turns to another user.
+    """
 
     def __init__(self, memories: Any, postings: Any) -> None:
         self.memories, self.postings = memories, postings
+        self.held: dict[int, dict | None] = {}
+        self.ids: dict[str, list[int]] = {}
+        self.changed: set[int | str] = set()
 
     def ids_of(self, token: str) -> list[int]:
-        return list(self.postings.getValue((token,))[0]) if self.postings.containsKey((token,)) else []
+        if token not in self.ids:
+            self._room()
+            self.ids[token] = list(self.postings.getValue((token,))[0]) if self.postings.containsKey((token,)) else []
+        return self.ids[token]
 
     def put_ids(self, token: str, ids: list[int]) -> None:
-        if ids:
-            self.postings.updateValue((token,), (ids,))
-        elif self.postings.containsKey((token,)):
-            self.postings.removeKey((token,))
+        self._room()
+        self.ids[token] = ids
+        self.changed.add(token)
 
     def memory(self, key: int) -> dict | None:
-        if not self.memories.containsKey((key,)):
-            return None
-        content, category, importance, words, used = self.memories.getValue((key,))
-        return {"memory_id": key, "content": content, "category": category, "importance": importance, "tokens": list(words), "used": used}
+        if key not in self.held:
+            self._room()
+            self.held[key] = None
+            if self.memories.containsKey((key,)):
+                content, category, importance, words, used = self.memories.getValue((key,))
+                self.held[key] = {"memory_id": key, "content": content, "category": category, "importance": importance, "tokens": list(words), "used": used}
+        return self.held[key]
 
     def put_memory(self, m: dict) -> None:
-        self.memories.updateValue((m["memory_id"],), (m["content"], m["category"], m["importance"], m["tokens"], m["used"]))
+        self._room()
+        self.held[m["memory_id"]] = m
+        self.changed.add(m["memory_id"])
 
     def drop_memory(self, key: int) -> None:
-        self.memories.removeKey((key,))
+        self._room()
+        self.held[key] = None
+        self.changed.add(key)
 
     def all_ids(self) -> list[int]:
+        self.flush()
         return [k[0] for k, _ in self.memories.iterator()]
 
+    def _room(self) -> None:
+        if len(self.held) + len(self.ids) >= MOST_HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if isinstance(key, str):
+                if self.ids[key]:
+                    self.postings.updateValue((key,), (self.ids[key],))
+                elif self.postings.containsKey((key,)):
+                    self.postings.removeKey((key,))
+            elif (m := self.held[key]) is not None:
+                self.memories.updateValue((key,), (m["content"], m["category"], m["importance"], m["tokens"], m["used"]))
+            elif self.memories.containsKey((key,)):
+                self.memories.removeKey((key,))
+        self.held, self.ids, self.changed = {}, {}, set()
+
 
 class KeptMemories(StatefulProcessor):
     """Rows of a user in order of ord: candidates, or (content null) accesses of memory number ord."""
@@ -82,12 +118,14 @@ class KeptMemories(StatefulProcessor):
             self._used(memory_id, used)
             if change:
                 changed.append((key[0], memory_id, int(r["ord"]), change, r["content"], r["category"], r["importance"]))
+        self.fold.store.flush()
         yield pd.DataFrame(changed, columns=_COLUMNS).astype({"ord": "Int64"})
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
         for r in initialState.to_dict("records"):
             self.fold.hold(int(r["memory_id"]), r["content"], r["category"], r["importance"], list(r["tokens"]))
             self._used(int(r["memory_id"]), int(r["used"]))
+        self.fold.store.flush()
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         now, gone = expiredTimerInfo.getExpiryTimeInMs(), []
@@ -96,6 +134,7 @@ class KeptMemories(StatefulProcessor):
             if m["used"] + self.keep_ms <= now:
                 self.fold.forget(memory_id)
                 gone.append((key[0], memory_id, None, "expired", m["content"], m["category"], m["importance"]))
+        self.fold.store.flush()
         yield pd.DataFrame(gone, columns=_COLUMNS).astype({"ord": "Int64"})
 
     def close(self) -> None:
