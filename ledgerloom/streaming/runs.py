@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..lineage import shared_folder
 from .memories import STATE_STORE
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Counting a store's rows would read each key before it is written or removed.
+_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": STATE_STORE, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false"}
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -23,13 +24,15 @@ def run_now(stream: DataFrame, at: str) -> DataFrame:
     State is kept in RocksDB.
     """
     spark = stream.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, STATE_STORE)
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 
 
