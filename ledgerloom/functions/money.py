@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import named_once, strip, word_list
+from .text import named_once, strip
 
 # A labelled amount, and hints near it.
 PAIR = r"(?U)([A-Za-z][A-Za-z0-9 &'()/%-]{1,40}?)[ \t]*[:=][ \t]*\$?[ \t]*([\d,]+(?:\.\d{1,2})?)\b"
@@ -81,7 +83,8 @@ def label_key(label: Column) -> Column:
 
 
 def stands_for(key: Column, labels: list[str]) -> Column:
-    return F.exists(word_list(labels), lambda x: (key == x) | F.endswith(key, F.concat(F.lit(" "), x)))
+    """Is the key one of the labels, or words and then one? One search, not two comparisons a label."""
+    return key.rlike("(?:^| )(?:" + "|".join(re.escape(x) for x in labels) + r")\z")
 
 
 def dollars(value: Column) -> Column:
