@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -277,13 +277,34 @@ def templates(lines: DataFrame) -> DataFrame:
     return lines.select("line", "n").join(found.withColumnRenamed("node", "line"), "line", "left").select("line", "n", F.coalesce("component", "line").alias("template"))
 
 
+def _stars(heads: bool):
+    """Of the band keys of a batch of documents: each key with its smallest document, or that document's
+    links to the key's others. A key of very many documents is a row a batch."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc = batch.column(1).flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(), BANDS)
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            if heads:
+                yield pa.record_batch([pa.array(key[head]), pa.array(doc[head])], names=["key", "doc"])
+                continue
+            first = doc[head][np.cumsum(head) - 1]
+            u, v = doc[doc != first], first[doc != first]
+            own = _once(u, v)
+            yield pa.record_batch([pa.array(u[own]), pa.array(v[own])], names=["u", "v"])
+
+    return rows
+
+
 def _groups(seen: DataFrame) -> DataFrame:
-    """Rows (doc, group) of the documents that are linked to another one."""
-    keys = stored(seen.where("sketch is not null").select("doc", F.explode("sketch").alias("key")), "bands", 4)
-    least = keys.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
-    met = join_hot(keys, stored(least.select("key", "first", "n"), "shared", 16), "key", "n").where(F.col("doc") != F.col("first"))
-    found = components(met.select(F.col("doc").alias("u"), F.col("first").alias("v")))
-    discard(keys)
+    """Rows (doc, group) of the documents that are linked to another one. The keys are shuffled once."""
+    sketches = seen.where("sketch is not null").select("doc", "sketch")
+    heads = sketches.mapInArrow(_stars(True), "key long, doc long").withColumn("first", F.min("doc").over(Window.partitionBy("key")))
+    met = heads.where("doc != first").select(F.col("doc").alias("u"), F.col("first").alias("v")).union(sketches.mapInArrow(_stars(False), "u long, v long"))
+    found = components(met)
     return found.select(F.col("node").alias("doc"), F.col("component").alias("group"))
 
 
