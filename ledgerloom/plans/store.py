@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import listings as L
@@ -100,9 +100,12 @@ def patched_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def echoed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines that a document of another source has as well, counted by source."""
-    lines = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).withColumn("key", line_key(F.col("line"))).where("length(key) >= 4")
-    wide = lines.groupBy("key").agg(F.min("source").alias("lo"), F.max("source").alias("hi")).where("lo != hi").select("key")
-    return lines.join(wide, "key", "left_semi").groupBy("source").agg(F.count("*").alias("n"))
+    # Each line's key is made once, and from then on a key goes about once for each of its sources.
+    keys = F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.length(k) >= 4)
+    lines = table(spark, sf_dir, "documents").select("source", F.explode(keys).alias("key")).groupBy("key", "source").agg(F.count("*").alias("n"))
+    of_key = Window.partitionBy("key")
+    wide = lines.withColumns({"lo": F.min("source").over(of_key), "hi": F.max("source").over(of_key)}).where("lo != hi")
+    return wide.groupBy("source").agg(F.sum("n").alias("n"))
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
