@@ -17,7 +17,7 @@ from ledgerloom.llm.line_templates import drop_recurring_lines
 from ledgerloom.llm.mixing import mixed_documents
 from ledgerloom.llm.packing import pack
 from ledgerloom.llm.quality import classify, fit_evidence
-from ledgerloom.llm.work import discard, leftovers, stored, table
+from ledgerloom.llm.work import discard, leftovers, split_by, stored, table
 
 _left: list[DataFrame] = []
 
@@ -56,14 +56,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked ones, that with the smallest id.
 
-    Rows without an id have no group and stay; of rows that repeat an id one stays.
+    Rows without an id have no group and stay; of rows that repeat an id one stays. Most
+    documents stay as they are, and their texts are not shuffled.
     """
-    keep = stored(jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept", 16)
-    once = docs.join(keep.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    again = docs.join(keep.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if keep.where("n > 1").limit(1).count():
-        once = once.union(again.dropDuplicates(["doc_id"]))
-    return once.union(docs.where("doc_id is null"))
+    counts = jaccard_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.col("doc_id") == F.col("component_id")).alias("n"))
+    marked = stored(counts.where("n != 1"), "marked", 16)
+    alone, others = split_by(docs.where("doc_id is not null"), marked, "doc_id")
+    out = alone.union(others.join(marked, "doc_id", "left_anti").select(*docs.columns))
+    if marked.where("n > 1").limit(1).count():
+        again = others.join(marked.where("n > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+        out = out.union(again.dropDuplicates(["doc_id"]))
+    return out.union(docs.where("doc_id is null"))
 
 
 @_stage

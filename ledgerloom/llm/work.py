@@ -22,6 +22,8 @@ _FOLDER = "ledgerloom-work"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BATCH_ROWS = 2000
 HOT_SHARE = 1000
+SLOTS = 1 << 25
+_BITMAP = 1 << 15  # bits of bitmap_construct_agg
 
 _own: dict[str, str] = {}
 _scopes: list[list[DataFrame]] = []  # what the running operators have stored, the innermost last
@@ -138,6 +140,23 @@ def join_hot(left: DataFrame, right: DataFrame, on: str | list[str], weight: str
     return left.join(F.broadcast(few), on).unionByName(left.join(rest, on))
 
 
+def split_by(rows: DataFrame, few: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose integer key is surely not among the keys of ``few``, and the other rows.
+
+    A bit of ``SLOTS`` is set for each key of few; the bits are broadcast (4 MB), so wide rows
+    are split where they are, and only the second part needs a join by key. The more
+    keys few has, the more rows are in the second part; which ones never changes a result.
+    """
+    slot = F.pmod(F.xxhash64(F.col(on).cast("long")), F.lit(SLOTS))
+    bucket, place, bits = free_names(rows, "bucket", "place", "bits")
+    placed = lambda df: df.withColumns({bucket: F.floor(slot / _BITMAP).cast("int"), place: F.pmod(slot, F.lit(_BITMAP))})
+    maps = placed(few.select(on)).repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(place).alias(bits))
+    at = placed(rows).join(F.broadcast(maps), bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    found = F.coalesce(F.bit_get(byte, F.expr(f"cast({place} % 8 as int)")) == 1, F.lit(False))
+    return at.where(~found).select(*rows.columns), at.where(found).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
