@@ -79,20 +79,23 @@ _CHOSEN = ", ".join("CASE (user_id * 11 + %d * (user_id %% 7 + 1)) %% %d %s END"
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Budgets with facts, plan and a reply; written down, as facts and plan are long expressions."""
-    rows = cut(C.with_grounding(_planned(spark, sf_dir)))
+    return _with_reply(cut(C.with_grounding(_planned(spark, sf_dir))))
+
+
+def _with_reply(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reply", F.expr(f"array_join(array({_CHOSEN}), ' ')".replace("''", "\\'"))).withColumn("context", F.col("text"))
 
 
 def claim_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.claims(C.claim_sentences(_replies(spark, sf_dir))).groupBy("place", "nth", "category").agg(F.count("*").alias("n"))
+    return C.claims(C.claim_sentences(_replies(spark, sf_dir), labels=False)).groupBy("place", "nth", "category").agg(F.count("*").alias("n"))
 
 
 def unsupported_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.unsupported(C.claim_sentences(_replies(spark, sf_dir))).select("user_id", "place", "kind")
+    return C.unsupported(C.claim_sentences(_replies(spark, sf_dir), sums=("grounds",), labels=False)).select("user_id", "place", "kind")
 
 
 def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = C.drifts(C.contradicts(C.claim_sentences(_replies(spark, sf_dir))))
+    rows = C.drifts(C.contradicts(C.claim_sentences(_with_reply(cut(N.with_facts(budget_messages(spark, sf_dir)))), sums=())))
     return rows.groupBy("place").agg(F.count_if("contradiction").alias("n_contradictions"), F.count_if("drift").alias("n_drifts"))
 
 
