@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .constants import GOOD_RUBRIC, QUESTION_CATEGORIES
-from .text import argmax, contained, plain_words, strip, word_list
+from .text import contained, from_argmax, named_once, plain_words, strip, word_list
 
 TERMS = sorted({t for words in QUESTION_CATEGORIES.values() for t in words}, key=lambda t: (-len(t), t))
 METRICS = ("word_count", "char_count", "length_adequacy", "repetition_score", "punctuation_score", "coherence", "keyword_coverage", "relevance", "rubric")
@@ -14,9 +14,8 @@ METRICS = ("word_count", "char_count", "length_adequacy", "repetition_score", "p
 
 def category_of(question: Column) -> Column:
     """The category with most key phrases in the question; general without any."""
-    q = F.lower(question)
-    name, top = argmax([(k, contained(q, words)) for k, words in QUESTION_CATEGORIES.items()])
-    return F.when(top > 0, name).otherwise(F.lit("general"))
+    return named_once(F.lower(question), lambda q: from_argmax(
+        [(k, contained(q, words)) for k, words in QUESTION_CATEGORIES.items()], lambda name, top: F.when(top > 0, name).otherwise(F.lit("general"))))
 
 
 def matched_terms(question: Column) -> Column:

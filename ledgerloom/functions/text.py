@@ -221,6 +221,17 @@ def argmax(scores: Sequence[tuple[str, Column]]) -> tuple[Column, Column]:
     return name, top
 
 
+def from_argmax(scores: Sequence[tuple[str, Column]], f: Callable[[Column, Column], Column]) -> Column:
+    """f(name, score) of :func:`argmax`, where each score is computed once a row."""
+    names, last = word_list([label for label, _ in scores]), F.lit(scores[-1][0])
+
+    def told(values: Column) -> Column:
+        top = F.array_max(values)
+        return f(F.coalesce(F.get(names, F.array_position(values, top).cast("int") - 1), last), top)
+
+    return named_once(F.array(*[s for _, s in scores]), told)
+
+
 def sentences(c: Column, newlines: bool = False) -> Column:
     """Sentences by end marks and white space (and newlines), blank ones dropped."""
     parts = F.split(c, r"(?U)(?<=[.!?])\s+|\n" if newlines else r"(?U)(?<=[.!?])\s+")

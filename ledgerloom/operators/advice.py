@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import ADVICE_CATEGORIES, ADVICE_MARKERS, DEFINITION
-from ..functions.text import argmax, n_words, occurrences, sentences, strip, truncate, word_list
+from ..functions.text import from_argmax, n_words, named_once, occurrences, sentences, strip, truncate, word_list
 
 # Marks that make a short reply advice, and role marks of models.
 GATE_MARKERS = [
@@ -28,10 +28,10 @@ def is_advice(reply: Column, least: int = 12, short: int = 4) -> Column:
 def topic(text: Column, question: Column | None = None) -> Column:
     """The topic with most mentions, the first of equals; definitions are Concepts."""
     whole = text if question is None else F.concat_ws(" ", F.when(text != "", text), F.when(question != "", question))
-    low = F.lower(whole)
-    name, top = argmax([(k, sum((occurrences(low, w) for w in words), F.lit(0))) for k, words in ADVICE_CATEGORIES.items()])
     asks = whole.rlike("(?U)(?i)" + DEFINITION)
-    return F.when(top == 0, F.when(asks, "Concepts").otherwise("General")).when(asks & (top <= 2), "Concepts").otherwise(name)
+    return named_once(F.lower(whole), lambda low: from_argmax(
+        [(k, sum((occurrences(low, w) for w in words), F.lit(0))) for k, words in ADVICE_CATEGORIES.items()],
+        lambda name, top: F.when(top == 0, F.when(asks, "Concepts").otherwise("General")).when(asks & (top <= 2), "Concepts").otherwise(name)))
 
 
 def clean(raw: Column) -> Column:
