@@ -38,7 +38,8 @@ def _goals(text: Column) -> Column:
                 n_words(line) >= 3, clean(line))
             return F.when((heading > 0) & (k >= heading), listed).otherwise(free)
 
-        return F.when(line.rlike(GOAL_HEADER), None).otherwise(named_once(F.regexp_extract(line, GOAL_ITEM, 1), told))
+        # A line with a price is no goal, whatever else it holds: most lines of a budget end here.
+        return F.when(F.contains(line, F.lit("$")) | line.rlike(GOAL_HEADER), None).otherwise(named_once(F.regexp_extract(line, GOAL_ITEM, 1), told))
 
     def found(lines: Column) -> Column:
         heading = F.array_position(F.transform(lines, lambda x: x.rlike(GOAL_HEADER)), True)
