@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.text import alpha_ratio, encoding_changes, fix_replacement, lexicon_hits, n_words, squeeze, with_normal_text, with_pii_count
 from ..lineage import cut
-from .likeness import edit_distance, greedy_dropped, near_edges
-
-PAIR_CHUNK = 128  # texts of a chunk where all near pairs are asked for
+from .likeness import greedy_dropped, within_edits
 
 #: Why a record goes, in the order that counts.
 REASONS = ("unparseable", "question_too_short", "question_too_long", "answer_too_short", "answer_too_long", "low_alpha_ratio", "non_financial", "profiling")
@@ -127,17 +124,12 @@ def dedup_fuzzy(records: DataFrame, order: str = "ord", threshold: float = K.FUZ
 
 
 def near_pairs(texts: DataFrame, most: float = 0.08) -> DataFrame:
-    """(a, b, distance): pairs of one block whose Levenshtein distance is at most ``most`` of the longer.
+    """(a, b, distance): all pairs whose Levenshtein distance is at most ``most`` of the longer, wherever they differ.
 
-    texts has (ord, question) with distinct numbers; a block is the first characters. A pair
-    within m edits differs in at most m characters of length and 2 m counts of letters; the
-    distance itself is computed only for pairs that this leaves, and no further than m. Tiles are small:
-    a block of near texts is work for many tasks.
+    texts has (ord, question) with distinct numbers; questions that are empty are left out.
     """
-    rows = texts.select(F.col("ord").cast("long").alias("ord"), question_key(F.col("question")).alias("text")).where("text != ''").withColumn("block", F.left("text", F.lit(K.BLOCK_PREFIX)))
-    edits = lambda n, m: 2 * np.floor(np.maximum(n, m) * most)
-    within = lambda later, earlier: edit_distance(later, earlier, int(np.floor(max(len(later), len(earlier)) * most)))
-    return near_edges(rows, 1 / (1 - most), edits, within, PAIR_CHUNK).select("a", "b", "distance")
+    rows = texts.select(F.col("ord").cast("long").alias("ord"), question_key(F.col("question")).alias("text")).where("text != ''")
+    return within_edits(rows, most)
 
 
 def dedup_counts(kinds: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@
 * Tiles. A block's texts fall into length classes, and each class into chunks of ``CHUNK``. Near
   texts are in one class or in neighbouring ones, so tiles of two chunks meet all of them;
   a tile is a task's unit and its size does not depend on the block's.
+* Pieces. Without blocks, an edit spoils one of a text's disjoint pieces at most, so of two texts within m edits
+  the shorter has all but m of the longer's pieces, each at most m characters away from its place. Pieces and what
+  stands at each place of the shorter meet by hash, length class and stretch of places; pairs that share enough are
+  compared. A phrase that many texts of about one length have in about one place gives a row a pair of them.
 * Greedy rule. "Drop a text near an earlier kept one" is the lexicographically first maximal
   independent set of the graph of near pairs. Each block's first ``HEAD`` texts are decided one by one,
   which settles small blocks; the others are compared with the kept ones among those. What is left
@@ -33,6 +37,9 @@ from ..skew import join_counted, runs_of
 CHUNK = 2048
 HEAD = 512
 CLASSES = 32
+PIECE = 11  # longer pieces are rarer, but fewer of them are left by the edits
+AT_ONCE = 1 << 20  # characters whose pieces are made at once
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +187,153 @@ def near_edges(rows: DataFrame, reach: float, allowed: Callable, near: Callable
     return met.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_pairs(allowed, near), "block string, a long, b long, distance int")
 
 
+def _class_of(n: np.ndarray, reach: float) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / math.log(reach * 1.0001)).astype(np.int64)
+
+
+def _piece_length(m: np.ndarray, most: float) -> np.ndarray:
+    """Characters of the pieces of a text in which m edits are allowed: it has more than m of them. Never falls as m grows."""
+    return np.clip(np.floor(m / most / (m + 1)), 1, PIECE).astype(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * _ODD[1]
+    return (h ^ h >> np.uint64(29)) * _ODD[2]
+
+
+def _hashes(points: np.ndarray, q: int) -> np.ndarray:
+    """A hash of the q characters from each place."""
+    h = np.full(max(0, len(points) - q + 1), q, np.uint64)
+    for k in range(q if len(h) else 0):
+        h = h * _ODD[0] + points[k : len(h) + k] + np.uint64(1)
+    return _mixed(h)
+
+
+def _dealt(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, number within the owner) of counts[owner] things each."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _keys(h: np.ndarray, length_class: np.ndarray, stretch: np.ndarray) -> np.ndarray:
+    return _mixed(h ^ (length_class.astype(np.uint64) << np.uint64(40) | stretch.astype(np.uint64)) * _ODD[1])
+
+
+def _stretch(length_class: np.ndarray, most: float, base: float) -> np.ndarray:
+    """Characters of a stretch of places: about as many as those in which a piece may be found."""
+    return np.maximum(1, 1.5 * np.floor(most * np.ceil(base ** (length_class + 1.0)))).astype(np.int64)
+
+
+def pieces(texts: list[str], most: float, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, times): the keys of texts and how often each has them.
+
+    whole: of a text's disjoint pieces, with all places and length classes where a shorter near text may have them;
+    else of what stands at each place. Texts within ``most`` edits of the longer share, counted by times, at
+    least :func:`needed` keys of the longer's.
+    """
+    reach = 1 / (1 - most)
+    base = reach * 1.0001
+    n = np.array([len(t) for t in texts], np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin, classes, m = np.cumsum(n) - n, _class_of(n, reach), np.floor(n * most).astype(np.int64)
+    owners, keys = [], []
+    # No edit: the text itself is its only piece.
+    for length in np.unique(n[m == 0]).tolist():
+        t = np.flatnonzero(n == length)
+        owners.append(t)
+        keys.append(_keys(_hashes(points, length)[begin[t]], classes[t], np.zeros(len(t), np.int64)))
+    if whole:
+        q = _piece_length(m, most)
+        for length in np.unique(q[m > 0]).tolist():
+            some = np.flatnonzero((q == length) & (m > 0))
+            t, k = _dealt(n[some] // length)
+            t, h = some[t], _hashes(points, length)
+            for lower in (0, 1):
+                c = classes - lower
+                short, long = np.floor(base ** c.astype(float)) - 1, np.ceil(base ** (c + 1.0)) + 1
+                least, largest = np.maximum(0, n - long), np.minimum(m, n - short)  # by how much the other text is shorter
+                use = ((c >= 0) & (least <= m))[t]
+                u, p, w = t[use], k[use] * length, _stretch(c, most, base)
+                back, on = np.floor((m + largest) / 2).astype(np.int64), np.floor((m - least) / 2).astype(np.int64)
+                first, last = np.maximum(0, p - back[u]) // w[u], (p + on[u]) // w[u]
+                at, more = _dealt(last - first + 1)
+                owners.append(u[at])
+                keys.append(_keys(h[begin[u[at]] + p[at]], c[u[at]], first[at] + more))
+    else:
+        longest = np.floor((n + 1) / (1 - most)) + 1
+        low, high = _piece_length(np.maximum(m, 1), most), _piece_length(np.maximum(1, np.floor(longest * most)), most)
+        w = _stretch(classes, most, base)
+        for length in range(int(low.min()), int(high.max()) + 1) if len(n) else ():
+            some = np.flatnonzero((low <= length) & (length <= high))
+            t, p = _dealt(np.maximum(0, n[some] - length + 1))
+            t = some[t]
+            owners.append(t)
+            keys.append(_keys(_hashes(points, length)[begin[t] + p], classes[t], p // w[t]))
+    owner, key = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*keys, np.zeros(0, np.uint64)]).astype(np.uint64)
+    order = np.lexsort((key, owner))
+    owner, key = owner[order], key[order]
+    new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (key[1:] != key[:-1])])) if len(key) else np.zeros(0, np.int64)
+    return owner[new], key[new], np.diff(np.append(new, len(key)))
+
+
+def needed(n: np.ndarray, most: float) -> np.ndarray:
+    """How many pieces of a text of length n are left by as many edits as are allowed."""
+    m = np.floor(n * most).astype(np.int64)
+    return np.where(m > 0, n // _piece_length(m, most) - m, 1)
+
+
+def _with_pieces(most: float, whole: bool):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ords, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            ends, begin = np.cumsum([len(t) for t in texts]), 0
+            while begin < len(texts):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + AT_ONCE, "right")))
+                part = texts[begin:end]
+                owner, key, times = pieces(part, most, whole)
+                n = np.array([len(t) for t in part], np.int64)
+                for k in range(0, len(key), 1 << 16):
+                    own = owner[k : k + (1 << 16)]
+                    columns = [pa.array(key[k : k + (1 << 16)].view(np.int64)), pa.array(ords[begin:end][own]), pa.array(n[own].astype(np.int32))]
+                    if whole:
+                        columns += [pa.array(times[k : k + (1 << 16)].astype(np.int32)), pa.array(needed(n, most)[own].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "y", "y_n", "times", "need"] if whole else ["key", "x", "x_n"])
+                begin = end
+
+    return rows
+
+
+def _distances(most: float):
+    allowed = lambda n: np.floor(n * most)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                a, b, first, second = (c.to_pylist() for c in batch.slice(k, 256).columns)
+                (n, p), (m, q) = profiles(first), profiles(second)
+                limit = allowed(np.maximum(n, m))
+                near = np.flatnonzero(np.abs(p - q).sum(axis=1) <= 2 * limit).tolist()
+                found = [(min(a[j], b[j]), max(a[j], b[j]), d) for j in near if (d := edit_distance(first[j], second[j], int(limit[j]))) >= 0]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.int32()))], ["a", "b", "distance"])
+
+    return rows
+
+
+def within_edits(texts: DataFrame, most: float) -> DataFrame:
+    """(a, b, distance): all pairs, smaller number first, whose Levenshtein distance is at most ``most`` of the longer.
+
+    texts has (ord long, text) with distinct numbers and no empty text; most is above 0 and below 1.
+    """
+    rows = cut(texts.select("ord", "text"))
+    longer = rows.mapInArrow(_with_pieces(most, True), "key long, y long, y_n int, times int, need int")
+    shorter = rows.mapInArrow(_with_pieces(most, False), "key long, x long, x_n int")
+    met = longer.join(shorter, "key").where((F.col("x_n") < F.col("y_n")) | (F.col("x_n") == F.col("y_n")) & (F.col("x") < F.col("y"))).where(F.col("y_n") - F.col("x_n") <= F.floor(F.col("y_n") * F.lit(most)))
+    pairs = met.groupBy("x", "y", "need").agg(F.sum("times").alias("times")).where("times >= need").select("x", "y")
+    both = pairs.join(rows.select(F.col("ord").alias("x"), F.col("text").alias("first")), "x").join(rows.select(F.col("ord").alias("y"), F.col("text").alias("second")), "y")
+    return both.select("x", "y", "first", "second").mapInArrow(_distances(most), "a long, b long, distance int")
+
+
 def first_independent(edges: DataFrame) -> DataFrame:
     """(id): the nodes that the greedy rule drops, from edges (a, b) with a before b.
 

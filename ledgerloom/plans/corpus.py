@@ -270,7 +270,7 @@ ORACLES = {
     "dedup_exact": f"{_KINDS} SELECT ord, kind FROM kinds",
     "dedup_counts": f"{_KINDS} SELECT source, kind, count(*) AS n FROM kinds WHERE kind IS NOT NULL GROUP BY ALL",
     "near_question_pairs": f"""WITH {DOCS_AS_QA_SQL.strip()}, f AS (SELECT {_KEY.replace('@', 'question')} AS k, min(ord) AS ord FROM qa GROUP BY 1 HAVING k != ''),
-        p AS (SELECT x.ord AS a, y.ord AS b, x.k AS q, y.k AS r, floor(greatest(length(x.k), length(y.k)) * 0.08::DOUBLE) AS m FROM f x JOIN f y ON left(x.k, 8) = left(y.k, 8) AND x.ord < y.ord)
+        p AS (SELECT x.ord AS a, y.ord AS b, x.k AS q, y.k AS r, floor(greatest(length(x.k), length(y.k)) * 0.08::DOUBLE) AS m FROM f x JOIN f y ON x.ord < y.ord)
         SELECT a, b, distance FROM (SELECT a, b, levenshtein({_BYTE.replace('@', 'q')}, {_BYTE.replace('@', 'r')})::INTEGER AS distance, m AS most FROM p WHERE abs(length(q) - length(r)) <= m) WHERE distance <= most""",
     "chat_v1": f"{_CHAT} SELECT id, source, md5(concat('system: {PROMPT}', chr(10), 'user: ', q, chr(10), 'assistant: ', a)) AS rendered, 3 AS n FROM chat",
     "split_rows": f"{_SPLIT} SELECT id, split FROM split",
