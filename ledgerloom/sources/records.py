@@ -39,6 +39,7 @@ COUNT = "k int, n long"
 RANGE = 32 << 20
 MOST_RANGES = 100_000  # ranges grow rather than being more than so many, as the driver plans each
 MOST_TASKS = 192  # a task reads neighbouring ranges one after another rather than being one of more than about so many: to start a Python task costs more than to read a range
+AHEAD = 1 << 12  # bytes beyond a range that are read at once for the end of its last line; twice as many each time it is not found
 BATCH = 4096
 _MANIFEST, _STAGING = "_committed-", "_staging"
 
@@ -95,17 +96,21 @@ def ranges(files: list[tuple[str, int]], size: int) -> list[Range]:
 def lines(system: fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
     """(at, line) of the lines that begin in a range, without blank ones."""
     with system.open_input_file(part.file) as f:
-        total = f.size()
         begin = max(0, part.start - 1)  # the byte before tells whether a line begins at the start
         data = f.read_at(part.end - begin, begin)
-        while not data.endswith(b"\n") and begin + len(data) < total:
-            data += f.read_at(1 << 16, begin + len(data))
-        # What was read on beyond the range belongs to it only up to its last line's end.
-        at = 0
-        if part.start:
-            at = data.find(b"\n") + 1
-            if not at:
-                return
+        at = data.find(b"\n") + 1 if part.start else 0
+        if not data.endswith(b"\n"):  # the last line ends beyond the range
+            held, step = [data], AHEAD
+            stop = begin + len(data)
+            while more := f.read_at(step, stop):
+                end = more.find(b"\n") + 1
+                held.append(more[:end] if end else more)
+                if end:
+                    break
+                stop, step = stop + len(more), min(step * 2, 1 << 22)
+            data = b"".join(held)
+        if part.start and not at:
+            return
         while at < len(data) and begin + at < part.end:
             end = data.find(b"\n", at)
             end = len(data) if end < 0 else end
