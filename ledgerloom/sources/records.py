@@ -99,6 +99,8 @@ def lines(system: fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
         begin = max(0, part.start - 1)  # the byte before tells whether a line begins at the start
         data = f.read_at(part.end - begin, begin)
         at = data.find(b"\n") + 1 if part.start else 0
+        if part.start and not 0 < at < len(data):  # no line begins here
+            return
         if not data.endswith(b"\n"):  # the last line ends beyond the range
             held, step = [data], AHEAD
             stop = begin + len(data)
@@ -109,8 +111,6 @@ def lines(system: fs.FileSystem, part: Range) -> Iterator[tuple[int, bytes]]:
                     break
                 stop, step = stop + len(more), min(step * 2, 1 << 22)
             data = b"".join(held)
-        if part.start and not at:
-            return
         while at < len(data) and begin + at < part.end:
             end = data.find(b"\n", at)
             end = len(data) if end < 0 else end

@@ -46,3 +46,11 @@ def test_ranges_stop_behind_their_last_line(tmp_path, size):
     got, read = _read(tmp_path / "a.jsonl", size)
     assert got == [(1001 * k, line) for k, line in enumerate(want)]
     assert read < 1.5 * 3_003_000
+
+
+def test_ranges_within_a_long_line_read_themselves_alone(tmp_path):
+    want = [b"a", b"b" * 3_000_000, b"c" * 10, b"d" * 70_000, b"e"]
+    (tmp_path / "a.jsonl").write_bytes(b"\n".join(want) + b"\n")
+    got, read = _read(tmp_path / "a.jsonl", 1 << 15)
+    assert [line for _, line in got] == want
+    assert read < 3 * 3_070_000
