@@ -19,7 +19,7 @@ import json
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -130,8 +130,7 @@ class EpochReader(DataSourceReader):
                 continue
             held, k = [], bisect_right(self.before, first) - 1
             while len(held) < n:
-                skip = max(0, first - self.before[k])
-                held += [v for j, (_, v) in enumerate(lines(system, parts[k])) if skip <= j < first + n - self.before[k]]
+                held += [v for _, v in islice(lines(system, parts[k]), max(0, first - self.before[k]), first + n - self.before[k])]
                 k += 1
             order = original(np.arange(max(0, self.low - begin), min(n, self.high - begin)), n, self.keys, g + 1)
             yield pa.RecordBatch.from_arrays([
